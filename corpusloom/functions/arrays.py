@@ -1,0 +1,39 @@
+"""Running totals inside one row's array, without a shuffle."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+_BLOCK = 512
+
+
+def running(items: Column, zero: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """Array of the running value after each item.
+
+    Appending to an array copies it, so a plain fold is quadratic in the array.
+    Folding block by block keeps the copies to ``_BLOCK`` per item, which a
+    file with hundreds of thousands of matches or lines needs.
+    """
+    starts = F.sequence(F.lit(1), F.size(items), F.lit(_BLOCK))
+    blocks = F.transform(starts, lambda s: F.slice(items, s, F.lit(_BLOCK)))
+
+    def fold(block: Column, carry: Column) -> Column:
+        return F.aggregate(
+            block,
+            F.array(carry),
+            lambda done, x: F.concat(done, F.array(step(F.element_at(done, -1), x))),
+        )
+
+    chained = F.aggregate(
+        blocks,
+        F.array(zero),
+        lambda done, block: F.concat(
+            done, F.slice(fold(block, F.element_at(done, -1)), F.lit(2), F.lit(_BLOCK))
+        ),
+    )
+    return F.when(
+        F.size(items) > 0, F.slice(chained, F.lit(2), F.size(items))
+    ).otherwise(F.slice(F.array(zero), F.lit(1), F.lit(0)))
