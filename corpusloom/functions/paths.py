@@ -44,7 +44,8 @@ def relative_to(path: Column | str, base: str) -> Column:
 
 def path_key(path: Column | str) -> Column:
     """Sort key for file order: compares component by component."""
-    return F.translate(_col(path), "/", _LOWEST)
+    # Not translate(), which takes NUL to mean deletion.
+    return F.replace(_col(path), F.lit("/"), F.lit(_LOWEST))
 
 
 def depth(path: Column | str) -> Column:

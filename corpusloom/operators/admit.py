@@ -40,10 +40,17 @@ def admit(files: DataFrame, max_size: str | int = DEFAULT_MAX_SIZE) -> DataFrame
     ``read_error`` where the source may fail to read. The first test that hits
     decides: size, extension, read error, content, encoding.
     """
+    return settle(admitted(files, max_size), "status", "reason", "content")
+
+
+def admitted(files: DataFrame, max_size: str | int = DEFAULT_MAX_SIZE) -> DataFrame:
+    """:func:`admit` as bare projections, which keep the order of sorted rows."""
     names = files.columns
     raw = F.col("raw") if "raw" in names else F.col("content").cast("binary")
     text = raw.cast("string") if "raw" in names else F.col("content")
-    failed = F.col("read_error") if "read_error" in names else F.lit(None).cast("string")
+    failed = F.when(raw.isNull(), "no content")
+    if "read_error" in names:
+        failed = F.coalesce("read_error", failed)
 
     reason = (
         F.when(_oversized(max_size), "oversize")
@@ -77,8 +84,7 @@ def admit(files: DataFrame, max_size: str | int = DEFAULT_MAX_SIZE) -> DataFrame
     )
     kept = [c for c in names if c not in ("raw", "read_error", "content", "absolute_path")]
     decided = files.withColumn("reason", reason).withColumn("status", status)
-    decided = decided.select(*kept, "status", "reason", content.alias("content"))
-    return settle(decided, "status", "reason", "content")
+    return decided.select(*kept, "status", "reason", content.alias("content"))
 
 
 def status_counts(admitted: DataFrame) -> DataFrame:

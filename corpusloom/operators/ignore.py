@@ -122,7 +122,7 @@ def _verdict(node: Column, is_dir: Column, rules: Column) -> Column:
         return below & (is_dir | ~r["dir_only"]) & F.regexp_like(inside, r["regex"])
 
     # Rules are held weakest first.
-    return ~F.element_at(F.filter(rules, matches), -1)["negated"]
+    return ~F.try_element_at(F.filter(rules, matches), F.lit(-1))["negated"]
 
 
 def ignored_files(files: DataFrame, rules: DataFrame) -> DataFrame:

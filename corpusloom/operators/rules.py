@@ -254,6 +254,18 @@ def rewrite(
     ``rule_counts`` holds ``{rule_id, type, matches}`` of every rule that hit.
     No shuffle: each row is rewritten where it is.
     """
+    done = rewritten(files, rules, counts=counts, on_bad_pattern=on_bad_pattern)
+    return settle(done, "status", "content", *(["rule_counts"] if counts else []))
+
+
+def rewritten(
+    files: DataFrame,
+    rules: Iterable[Rule] = DEFAULT_RULES,
+    *,
+    counts: bool = False,
+    on_bad_pattern: str = "raise",
+) -> DataFrame:
+    """:func:`rewrite` as bare projections, which keep the order of sorted rows."""
     kept = files.columns
     chain = _Chain(files, prepare(files.sparkSession, rules, on_bad_pattern))
     counted = []
@@ -280,11 +292,10 @@ def rewrite(
         chain.replace(step, gate)
     chain.stylesheets()
     if not counts:
-        return settle(chain.df.select(*kept), "status", "content")
+        return chain.df.select(*kept)
     empty = "array<struct<rule_id:int,type:string,matches:bigint>>"
     found = F.array_compact(F.array(*counted)) if counted else F.array().cast(empty)
-    done = chain.df.select(*kept, found.alias("rule_counts"))
-    return settle(done, "status", "content", "rule_counts")
+    return chain.df.select(*kept, found.alias("rule_counts"))
 
 
 def match_counts(files: DataFrame, rules: Iterable[Rule] = DEFAULT_RULES) -> DataFrame:
