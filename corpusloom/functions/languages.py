@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -75,5 +73,6 @@ FENCE_LANGUAGE = {
 
 def fence_language(path: Column | str) -> Column:
     """Language tag for a path, '' when the extension is unknown."""
-    table = F.create_map(*(F.lit(x) for x in chain.from_iterable(FENCE_LANGUAGE.items())))
+    pairs = ",".join(f"{ext}:{language}" for ext, language in FENCE_LANGUAGE.items())
+    table = F.str_to_map(F.lit(pairs), F.lit(","), F.lit(":"))
     return F.coalesce(F.try_element_at(table, extension(path)), F.lit(""))

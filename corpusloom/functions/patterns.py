@@ -78,45 +78,87 @@ def to_java(pattern: str) -> str:
     plain = "".join(t for t, inside in _tokens(pattern) if not inside)
     if _LOOK.search(plain):
         raise PatternError(f"look-around is not supported: {pattern}")
-    return "(?Ud)" + java.replace("(?P<", "(?<")
+    opening = opening_letters(pattern)
+    first = f"(?=[{opening}])" if opening else ""
+    return "(?Ud)" + first + java.replace("(?P<", "(?<")
 
 
-def required_text(pattern: str) -> str:
-    """Longest text every match must hold, '' if there is none to rely on.
+# An atom and its repeat; a class that holds a class is left as a lone bracket.
+_ATOM = re.compile(
+    r"(\\.|\[(?:\\.|[^\[\]\\])+\]|\(\?[a-zA-Z-]+\)|.)([?*+]|\{[^}]*\})?\??", re.S
+)
+_MAX_ALTERNATIVES = 4
 
-    A byte search for it skips the regex, and the decoding of the text, on rows
-    that cannot match. Only what stands outside groups and classes counts, and
-    nothing counts when case is ignored.
+
+def _caseless(text: str) -> bool:
+    return text.isascii() and text.lower() == text.upper()
+
+
+def required_text(pattern: str) -> tuple[str, ...]:
+    """Texts of which every match holds at least one; empty if none is certain.
+
+    A byte search for them spares rows that cannot match the regex and the
+    decoding of their text. Only what must occur counts: texts and small
+    character classes outside groups, not optional, and without letters when
+    case is ignored.
     """
     flags = "".join(_FLAGS.findall(pattern))
-    if "i" in flags or "x" in flags:
-        return ""
-    tokens = [t for t in _tokens(pattern)]
-    runs, run, level = [], "", 0
-    braces = False
-    for at, (token, inside) in enumerate(tokens):
-        follower = tokens[at + 1][0] if at + 1 < len(tokens) else ""
+    if "x" in flags:
+        return ()
+    usable = _caseless if "i" in flags else bool
+    found, run, level = [], "", 0
+    for atom, repeat in _ATOM.findall(pattern):
+        if atom == "[" or (atom == "|" and level == 0):
+            return ()
+        level += {"(": 1, ")": -1}.get(atom, 0)
+        certain = level == 0 and repeat in ("", "+")
         literal = ""
-        if inside:
-            pass
-        elif braces:
-            braces = token != "}"
-        elif token == "(":
-            level += 1
-        elif token == ")":
-            level -= 1
-        elif token == "|" and level == 0:
-            return ""
-        elif token == "{":
-            braces = True
-        elif token[0] == "\\":
-            literal = token[1:] if not token[1:].isalnum() else ""
-        elif token not in "[]^$.*+?|":
-            literal = token
-        if literal and level == 0 and follower not in ("?", "*", "{"):
+        if atom[0] == "\\":
+            literal = "" if atom[1].isalnum() else atom[1]
+        elif atom[0] == "[" and certain:
+            members = tuple(atom[1:-1])
+            if not set(members) & set("^-&\\") and all(map(usable, members)):
+                found.append(members)
+        elif len(atom) == 1 and atom not in "().^$|*+?":
+            literal = atom
+        if literal and certain and usable(literal):
             run += literal
-            if follower != "+":
+            if not repeat:
                 continue
-        runs.append(run)
+        found.append((run,))
         run = ""
-    return max([*runs, run], key=len)
+    found.append((run,))
+    safe = [f for f in found if all(f) and len(f) <= _MAX_ALTERNATIVES]
+    return max(safe, key=lambda f: (len(f[0]), -len(f)), default=())
+
+
+_FOLDED = {"s": "sS\u017f", "k": "kK\u212a"}
+_OPENING = re.compile(r"\(\?i\)(?:\(([^()\\\[]+(?:\[[^\[\]]*\][^()\\\[]*)*)\)(?![?*{])|([a-z]))", re.I)
+
+
+def opening_letters(pattern: str) -> str:
+    """Letters, in either case, that a match of a case-blind pattern can start with.
+
+    Looking for the first letter before trying the alternatives makes the
+    search for a case-blind word about twice as fast.
+    """
+    opening = _OPENING.match(pattern)
+    if not opening or (opening[2] and pattern[opening.end() :][:1] in ("?", "*", "{")):
+        return ""
+    words = opening[1].split("|") if opening[1] else [opening[2]]
+    if "|" in _outside_groups(pattern):
+        return ""
+    letters = {w[:1].lower() for w in words}
+    sure = all(w[:1].isascii() and w[:1].isalpha() and w[1:2] not in ("?", "*", "{") for w in words)
+    if not sure or "|" in "".join(re.findall(r"\[[^\]]*\]", opening[0])):
+        return ""
+    return "".join(_FOLDED.get(x, x + x.upper()) for x in sorted(letters))
+
+
+def _outside_groups(pattern: str) -> str:
+    kept, level = "", 0
+    for atom, _ in _ATOM.findall(pattern):
+        level += {"(": 1, ")": -1}.get(atom, 0)
+        if level == 0 and len(atom) == 1:
+            kept += atom
+    return kept

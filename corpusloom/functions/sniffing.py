@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -82,26 +79,29 @@ SIGNATURES = (
 _SNIFFED_BYTES = 1024
 _UTF8_MARK = "EFBBBF"
 
+# One pattern over the first bytes in hex; the tar signature lies too deep for it.
+_NEAR = 32
+_SIGNED = "^(?:%s)" % "|".join("." * 2 * at + sig for at, sig in SIGNATURES if at < _NEAR)
+
 
 def _hex(digits: str) -> Column:
     return F.lit(bytes.fromhex(digits))
 
 
 def has_binary_extension(ext: Column) -> Column:
-    return F.lower(ext).isin(*BINARY_EXTENSIONS)
+    names = F.split(F.lit(",".join(BINARY_EXTENSIONS)), ",")
+    return F.array_contains(names, F.lower(ext))
 
 
 def looks_binary(raw: Column | str) -> Column:
     """Known signature, or a NUL byte near the start of unmarked bytes."""
     raw = F.col(raw) if isinstance(raw, str) else raw
-    signed = [
-        F.startswith(raw, _hex(sig))
-        if at == 0
-        else F.substring(raw, at + 1, len(sig) // 2) == _hex(sig)
-        for at, sig in SIGNATURES
-    ]
+    signed = F.rlike(F.hex(F.substring(raw, 1, _NEAR)), F.lit(_SIGNED))
+    for at, sig in SIGNATURES:
+        if at >= _NEAR:
+            signed = signed | (F.substring(raw, at + 1, len(sig) // 2) == _hex(sig))
     nul = F.contains(F.substring(raw, 1, _SNIFFED_BYTES), _hex("00"))
-    return reduce(or_, signed) | (nul & ~F.startswith(raw, _hex(_UTF8_MARK)))
+    return signed | (nul & ~F.startswith(raw, _hex(_UTF8_MARK)))
 
 
 def is_utf8(raw: Column | str) -> Column:

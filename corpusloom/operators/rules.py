@@ -5,6 +5,8 @@ from __future__ import annotations
 import warnings
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,10 +104,10 @@ class Step:
     file_java: str | None = None
     error: str | None = None
 
-    @property
-    def needed(self) -> str:
-        text = required_text(self.rule.pattern)
-        return text if len(text) >= 3 else ""
+    def may_match(self, content: Column) -> Column:
+        """Cheap test that is never false where the pattern matches."""
+        needed = [F.contains(content, F.lit(text)) for text in required_text(self.rule.pattern)]
+        return reduce(or_, needed) if needed else F.lit(True)
 
 
 def _compiled(spark: SparkSession, pattern: str) -> str:
@@ -191,9 +193,7 @@ class _Chain:
         gate = F.col("__live")
         if step.file_java:
             gate = gate & F.col(f"__path{self.paths.index(step.file_java)}")
-        if step.needed and step.java:
-            gate = gate & F.contains(F.col("content"), F.lit(step.needed))
-        return gate
+        return gate & step.may_match(F.col("content")) if step.java else gate
 
     def replace(self, step: Step, gate: Column) -> None:
         new = F.regexp_replace("content", F.lit(step.java), F.lit(step.rule.replacement))
