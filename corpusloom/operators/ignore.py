@@ -167,7 +167,7 @@ def _directory_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
     above = F.concat(F.array(F.lit("")), ancestors("dir"), F.array("dir"))
     reached = dirs.select("dir", F.explode(F.array_distinct(above)).alias("owner"))
     stacks = (
-        reached.join(by_owner, "owner")
+        spread_join(reached, by_owner, ["owner"])
         .groupBy("dir")
         .agg(F.array_sort(F.flatten(F.collect_list("own_rules"))).alias("__rules"))
     )

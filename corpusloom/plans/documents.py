@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from ..functions.languages import fence_language
 from ..functions.paths import path_key
 from ..functions.sizes import byte_length, token_estimate
-from ..operators.admit import DEFAULT_MAX_SIZE, admitted
+from ..operators.admit import DEFAULT_MAX_SIZE, admitted, worth_reading
 from ..operators.rules import DEFAULT_RULES, Rule, rewritten
-from ..operators.tree import tree_lines
+from ..operators.tree import tree_lines, tree_order
+from ..sources.files import read_in_place, reading_tasks
 from ..sources.shipping import ship
 
 ship(__name__)
@@ -131,13 +132,18 @@ def pieces(
     rules: Iterable[Rule] = DEFAULT_RULES,
     max_size: str | int = DEFAULT_MAX_SIZE,
     escape: bool = False,
-    tree_order: str = "path",
+    tree: str = "path",
     ordered: bool = True,
     on_bad_pattern: str = "raise",
     firsts: DataFrame | None = None,
+    read_tasks: int | None = None,
 ) -> DataFrame:
     """Pieces of the document of each ``by`` (or of the whole corpus).
 
+    The corpus holds texts, or is a listing of files (with ``absolute_path``):
+    then only names and sizes are sorted, over ``read_tasks`` tasks, and files
+    are opened once, where their section is made.
+
     Columns: ``by``, ``rank``, ``key``, ``tie`` (the order) and ``piece``. JSON
     records come without the commas between them, unless ``firsts`` gives the
     ``first`` key of each of a bounded number of documents. Raw rows are sorted
@@ -147,9 +153,10 @@ def pieces(
     fmt = _format(format, escape)
     keys = [by] if by else []
     files = corpus.select(*keys, "path", "size", *_payload(corpus))
+    listing = "absolute_path" in corpus.columns
     lines = tree_lines(files.select(*keys, "path"), by)
-    tree_key = F.col("path") if tree_order == "path" else path_key("path")
-    tree = lines.select(
+    [tree_key, _] = tree_order(tree)
+    branches = lines.select(
         *keys,
         F.lit(_TREE).alias("rank"),
         tree_key.alias("key"),
@@ -176,9 +183,16 @@ def pieces(
     )
     if firsts is not None:
         body = body.join(F.broadcast(firsts), by)
-    rows = tree.unionByName(frame).unionByName(body, allowMissingColumns=True)
-    if ordered:
-        rows = rows.orderBy(*keys, "rank", "key", "tie")
+    rows = branches.unionByName(frame).unionByName(body, allowMissingColumns=True)
+    order = [*keys, "rank", "key", "tie"]
+    if ordered and listing:
+        rows = rows.repartitionByRange(read_tasks or reading_tasks(corpus), *order)
+        rows = rows.sortWithinPartitions(*order)
+    elif ordered:
+        rows = rows.orderBy(*order)
+    if listing:
+        opened = F.when(worth_reading(max_size), F.col("absolute_path"))
+        rows = read_in_place(rows.withColumn("absolute_path", opened))
     done = rewritten(admitted(rows, max_size), rules, on_bad_pattern=on_bad_pattern)
     text = fmt.section()
     if firsts is not None:
@@ -188,6 +202,8 @@ def pieces(
 
 
 def _payload(corpus: DataFrame) -> list[str]:
+    if "absolute_path" in corpus.columns:
+        return ["absolute_path"]
     return [c for c in ("raw", "content", "read_error") if c in corpus.columns]
 
 
@@ -202,6 +218,9 @@ def write_document(corpus: DataFrame, path: str, *, by: str | None = None, **opt
         _write_json(corpus, path, by, options)
         return
     rows = pieces(corpus, by=by, **options)
+    if by:
+        # One folder per document needs rows in order even after Python has read them.
+        rows = rows.sortWithinPartitions(by, "rank", "key", "tie")
     # The text writer ends each row with a line feed of its own.
     text = F.expr("substr(piece, 1, length(piece) - 1)").alias("value")
     out = rows.select(*keys, text).write
@@ -210,19 +229,15 @@ def write_document(corpus: DataFrame, path: str, *, by: str | None = None, **opt
 
 def _write_json(corpus: DataFrame, path: str, by: str | None, options: dict) -> None:
     keys = [by] if by else []
-    files = corpus.select(*keys, "path", "size", *_payload(corpus))
-    rows = files.orderBy(*keys, path_key("path"))
-    done = rewritten(
-        admitted(rows, options.get("max_size", DEFAULT_MAX_SIZE)),
-        options.get("rules", DEFAULT_RULES),
-        on_bad_pattern=options.get("on_bad_pattern", "raise"),
-    )
-    records = done.select(*keys, json_record().alias("value")).write
-    tree_key = F.col("path") if options.get("tree_order", "path") == "path" else path_key("path")
-    lines = tree_lines(files.select(*keys, "path"), by).orderBy(*keys, tree_key, F.desc("is_dir"))
-    tree = lines.select(*keys, F.col("line").alias("value")).write
-    for writer, name in ((records, "files"), (tree, "directory_tree")):
-        (writer.partitionBy(by) if by else writer).text(f"{path}/{name}")
+    rows = pieces(corpus, by=by, **options)
+    if by:
+        rows = rows.sortWithinPartitions(by, "rank", "key", "tie")
+    records = rows.where(F.col("rank") == _FILE).select(*keys, F.col("piece").alias("value"))
+    names = corpus.select(*keys, "path")
+    order = [*keys, *tree_order(options.get("tree", "path"))]
+    lines = tree_lines(names, by).orderBy(*order).select(*keys, F.col("line").alias("value"))
+    for rows, name in ((records, "files"), (lines, "directory_tree")):
+        (rows.write.partitionBy(by) if by else rows.write).text(f"{path}/{name}")
 
 
 def document_totals(corpus: DataFrame, *, by: str | None = None, **options) -> DataFrame:

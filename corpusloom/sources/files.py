@@ -14,6 +14,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.paths import normalize_path, relative_to
 from ..operators.admit import DEFAULT_MAX_SIZE, worth_reading
@@ -182,10 +183,11 @@ def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         paths = batch.column(batch.schema.get_field_index("absolute_path")).to_pylist()
         start, held, raw, errors = 0, 0, [], []
         for at, path in enumerate(paths):
+            data = error = None
             try:
-                data, error = _fetch(path), None
+                data = _fetch(path) if path is not None else None
             except OSError as e:
-                data, error = None, str(e)
+                error = str(e)
             raw.append(data)
             errors.append(error)
             held += len(data or b"")
@@ -202,11 +204,19 @@ def read_files(listed: DataFrame) -> DataFrame:
     Paths are dealt out by hash over enough tasks for their total size, so the
     files of one huge directory are read all over the cluster.
     """
-    spark = listed.sparkSession
+    return read_in_place(listed.repartition(reading_tasks(listed), "absolute_path"))
+
+
+def reading_tasks(listed: DataFrame) -> int:
+    """Number of tasks over which to read the listed files."""
     total = listed.agg(F.sum("size")).first()[0] or 0
-    tasks = max(spark.sparkContext.defaultParallelism, -(-total // _TASK_BYTES))
-    schema = listed.schema.add("raw", "binary").add("read_error", "string")
-    return listed.repartition(tasks, "absolute_path").mapInArrow(_read, schema)
+    return max(listed.sparkSession.sparkContext.defaultParallelism, -(-total // _TASK_BYTES))
+
+
+def read_in_place(listed: DataFrame) -> DataFrame:
+    """:func:`read_files` without moving rows; a null ``absolute_path`` is not read."""
+    kept = T.StructType(list(listed.schema.fields))
+    return listed.mapInArrow(_read, kept.add("raw", "binary").add("read_error", "string"))
 
 
 def read_corpus(
