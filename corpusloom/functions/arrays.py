@@ -17,8 +17,6 @@ def running(items: Column, zero: Column, step: Callable[[Column, Column], Column
     Folding block by block keeps the copies to ``_BLOCK`` per item, which a
     file with hundreds of thousands of matches or lines needs.
     """
-    starts = F.sequence(F.lit(1), F.size(items), F.lit(_BLOCK))
-    blocks = F.transform(starts, lambda s: F.slice(items, s, F.lit(_BLOCK)))
 
     def fold(block: Column, carry: Column) -> Column:
         return F.aggregate(
@@ -27,13 +25,14 @@ def running(items: Column, zero: Column, step: Callable[[Column, Column], Column
             lambda done, x: F.concat(done, F.array(step(F.element_at(done, -1), x))),
         )
 
+    def without_carry(done: Column) -> Column:
+        return F.slice(done, F.lit(2), F.greatest(F.size(done) - 1, F.lit(0)))
+
+    starts = F.sequence(F.lit(1), F.size(items), F.lit(_BLOCK))
+    blocks = F.transform(starts, lambda s: F.slice(items, s, F.lit(_BLOCK)))
     chained = F.aggregate(
         blocks,
         F.array(zero),
-        lambda done, block: F.concat(
-            done, F.slice(fold(block, F.element_at(done, -1)), F.lit(2), F.lit(_BLOCK))
-        ),
+        lambda done, block: F.concat(done, without_carry(fold(block, F.element_at(done, -1)))),
     )
-    return F.when(
-        F.size(items) > 0, F.slice(chained, F.lit(2), F.size(items))
-    ).otherwise(F.slice(F.array(zero), F.lit(1), F.lit(0)))
+    return without_carry(F.when(F.size(items) <= _BLOCK, fold(items, zero)).otherwise(chained))

@@ -70,7 +70,7 @@ def ancestors(path: Column | str) -> Column:
 def parent(path: Column | str) -> Column:
     """Directory holding the path, '' at the top."""
     path = _col(path)
-    return F.regexp_replace(path, r"(?s)(^|/)[^/]*\z", "")
+    return F.left(path, F.char_length(path) - F.char_length(file_name(path)) - 1)
 
 
 def under_directory(path: Column | str, name: str) -> Column:

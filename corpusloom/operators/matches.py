@@ -87,9 +87,8 @@ def match_table(
     # Piece i is the text between the starts of match i-1 and match i.
     n = F.size("found")
     before = F.slice(F.concat(F.array(F.lit("")), F.col("found")), F.lit(1), n)
-    pieces = F.zip_with(
-        before, F.slice("gaps", F.lit(1), n), lambda m, gap: _measure(F.concat(m, gap))
-    )
+    texts = F.zip_with(before, F.slice("gaps", F.lit(1), n), lambda m, gap: F.concat(m, gap))
+    pieces = F.transform(texts, _measure)
     zero = F.struct(*(F.lit(0).cast("bigint").alias(c) for c in _MEASURES))
     placed = found.withColumn("pieces", pieces).select(
         "path", "rule_id", "type", "found", running(F.col("pieces"), zero, _advance).alias("starts")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.paths import ancestors, depth, file_name, path_key
+from ..functions.paths import ancestors, depth, file_name, parent, path_key
 
 ROOT_LINE = "+ ."
 
@@ -13,11 +13,16 @@ ROOT_LINE = "+ ."
 def directories(files: DataFrame, by: str | None = None) -> DataFrame:
     """Distinct directories above the files, per ``by`` if given.
 
-    Repeats of a directory fold into one within each task before the shuffle,
-    so a directory holding most of the files costs one row per task.
+    Files fold into the distinct directories that hold them first, within each
+    task before the shuffle, so a directory with most of the files costs one
+    row per task, and only those directories are taken apart into ancestors.
     """
     keys = [by] if by else []
-    return files.select(*keys, F.explode(ancestors("path")).alias("path")).distinct()
+    above = parent("path")
+    above = F.when((above == "") & F.startswith("path", F.lit("/")), "/").otherwise(above)
+    holders = files.select(*keys, above.alias("path")).where("path <> ''").distinct()
+    chain = F.filter(F.concat(ancestors("path"), F.array("path")), lambda p: p != ".")
+    return holders.select(*keys, F.explode(chain).alias("path")).distinct()
 
 
 def tree(files: DataFrame, by: str | None = None) -> DataFrame:

@@ -19,9 +19,11 @@ from ..functions.paths import path_key
 from ..functions.sizes import byte_length, token_estimate
 from ..operators.admit import DEFAULT_MAX_SIZE, admitted, worth_reading
 from ..operators.rules import DEFAULT_RULES, Rule, rewritten
-from ..operators.tree import tree_lines, tree_order
+from ..operators.tree import ROOT_LINE, tree_lines, tree_order
+from ..operators.tree import tree as tree_rows
 from ..sources.files import read_in_place, reading_tasks
 from ..sources.shipping import ship
+from ..sources.workspace import workspace
 
 ship(__name__)
 
@@ -79,8 +81,8 @@ class _Markdown:
     def __init__(self, escape: bool):
         pass
 
-    def tree_line(self) -> Column:
-        return F.concat("line", F.lit("\n"))
+    def tree_line(self, line: Column, first: bool = False) -> Column:
+        return F.concat(line, F.lit("\n"))
 
     def section(self) -> Column:
         return markdown_section()
@@ -92,9 +94,8 @@ class _Xml(_Markdown):
     def __init__(self, escape: bool):
         self.escape = escape
 
-    def tree_line(self) -> Column:
-        line = _xml_escape(F.col("line")) if self.escape else F.col("line")
-        return F.concat(line, F.lit("\n"))
+    def tree_line(self, line: Column, first: bool = False) -> Column:
+        return F.concat(_xml_escape(line) if self.escape else line, F.lit("\n"))
 
     def section(self) -> Column:
         return xml_section(escape=self.escape)
@@ -103,9 +104,8 @@ class _Xml(_Markdown):
 class _Json(_Markdown):
     head, tree_end, end, between = '{"directory_tree":"', '","files":[', "]}", ","
 
-    def tree_line(self) -> Column:
-        gap = F.when(F.col("path") == "", "").otherwise("\\n")
-        return F.concat(gap, _json_inside(F.col("line")))
+    def tree_line(self, line: Column, first: bool = False) -> Column:
+        return F.concat(F.lit("" if first else "\\n"), _json_inside(line))
 
     def section(self) -> Column:
         return json_record()
@@ -154,28 +154,25 @@ def pieces(
     keys = [by] if by else []
     files = corpus.select(*keys, "path", "size", *_payload(corpus))
     listing = "absolute_path" in corpus.columns
-    lines = tree_lines(files.select(*keys, "path"), by)
     [tree_key, _] = tree_order(tree)
-    branches = lines.select(
+    branches = tree_rows(files.select(*keys, "path"), by).select(
         *keys,
         F.lit(_TREE).alias("rank"),
         tree_key.alias("key"),
         (~F.col("is_dir")).cast("int").alias("tie"),
-        fmt.tree_line().alias("fixed"),
-    )
-    # One set of fixed pieces per document, made from its root line.
-    fixed = [(_HEAD, fmt.head), (_TREE_END, fmt.tree_end), (_END, fmt.end)]
-    parts = F.inline(
-        F.array(
-            *(
-                F.struct(F.lit(rank).alias("rank"), F.lit(text).alias("fixed"))
-                for rank, text in fixed
-                if text
-            )
-        )
+        fmt.tree_line(F.col("line")).alias("fixed"),
     )
+    # The pieces that every document has once; the root line has the lowest key.
+    once = [
+        (_HEAD, F.lit(fmt.head)),
+        (_TREE, fmt.tree_line(F.lit(ROOT_LINE), first=True)),
+        (_TREE_END, F.lit(fmt.tree_end)),
+    ]
+    if fmt.end:
+        once.append((_END, F.lit(fmt.end)))
+    parts = F.array(*(F.struct(F.lit(rank).alias("rank"), text.alias("fixed")) for rank, text in once))
     roots = files.select(*keys).distinct() if by else files.sparkSession.range(1).select()
-    frame = roots.select(*keys, parts).select(
+    frame = roots.select(*keys, F.inline(parts)).select(
         *keys, "rank", F.lit("").alias("key"), F.lit(0).alias("tie"), "fixed"
     )
     body = files.withColumns(
@@ -290,12 +287,22 @@ def assemble(
     """
     weight = F.col("size") + 4 * byte_length("path") + 256
     weights = corpus.groupBy(by).agg(F.sum(weight).alias("weight"))
-    large = weights.where(F.col("weight") > cell_bytes).select(by)
+    # The weights are worked out once; most corpora turn out to have no large document.
+    folder = workspace(corpus.sparkSession)
+    weights.where(F.col("weight") > cell_bytes).select(by).write.parquet(folder)
+    large = corpus.sparkSession.read.schema(weights.select(by).schema).parquet(folder)
+    if large.isEmpty():
+        return _whole(corpus, by, options)
     # At most (bytes of the corpus / cell_bytes) rows: safe to broadcast.
     large = F.broadcast(large)
-    between = _format(options.get("format", "md")).between
+    small = _whole(corpus.join(large, by, "left_anti"), by, options)
+    return small.unionByName(_in_parts(corpus.join(large, by, "left_semi"), by, cell_bytes, options))
 
-    small = pieces(corpus.join(large, by, "left_anti"), by=by, ordered=False, **options)
+
+def _whole(corpus: DataFrame, by: str, options: dict) -> DataFrame:
+    """One cell per document, for documents of bounded size."""
+    between = _format(options.get("format", "md")).between
+    small = pieces(corpus, by=by, ordered=False, **options)
     cells = F.array_sort(F.collect_list(F.struct("rank", "key", "tie", "piece")))
     whole = small.groupBy(F.col(by).cast("string").alias(by)).agg(cells.alias("cells"))
 
@@ -304,16 +311,18 @@ def assemble(
         return F.concat(F.when(follows, between).otherwise(""), cell["piece"])
 
     texts = F.transform("cells", joined) if between else F.col("cells.piece")
-    whole = whole.select(by, F.lit("0").alias("part"), F.array_join(texts, "").alias("document"))
+    return whole.select(by, F.lit("0").alias("part"), F.array_join(texts, "").alias("document"))
 
-    rest = corpus.join(large, by, "left_semi")
+
+def _in_parts(corpus: DataFrame, by: str, cell_bytes: int, options: dict) -> DataFrame:
+    """Documents cut into cells, from pieces sorted over the cluster."""
+    between = _format(options.get("format", "md")).between
     # One row per large document, so no more than there are of those.
-    first = rest.groupBy(by).agg(F.min(path_key("path")).alias("first")) if between else None
-    text = pieces(rest, by=by, firsts=first, **options)
+    first = corpus.groupBy(by).agg(F.min(path_key("path")).alias("first")) if between else None
+    text = pieces(corpus, by=by, firsts=first, **options)
     text = text.select(
         F.col(by).cast("string").alias(by), F.concat("rank", "key").alias("part"), "piece"
     )
-    parts = text.mapInArrow(
+    return text.mapInArrow(
         lambda batches: _cut(batches, by, cell_bytes), f"{by} string, part string, document string"
     )
-    return whole.unionByName(parts)
