@@ -61,31 +61,30 @@ def _range(column: str, width: int) -> Column:
 
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _join("docs/", F.col("source"), "/", F.col("lang"), "/", F.col("doc_id"), ".txt")
-    bundle = _join("docs-", _range("doc_id", 64)).alias("bundle")
+    path = F.expr("concat('docs/', source, '/', lang, '/', doc_id, '.txt')")
+    bundle = F.expr("concat('docs-', doc_id div 64) AS bundle")
     return corpus_from_table(table(spark, sf_dir, "documents"), path, "text", bundle)
 
 
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _join("pages/", F.col("page_id"), ".html")
-    bundle = _join("pages-", _range("page_id", 64)).alias("bundle")
+    path = F.expr("concat('pages/', page_id, '.html')")
+    bundle = F.expr("concat('pages-', page_id div 64) AS bundle")
     return corpus_from_table(table(spark, sf_dir, "pages"), path, "html", bundle)
 
 
 def turn_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _join("conversations/", F.col("conv_id"), "/", F.col("turn"), ".json")
-    bundle = _join("chat-", _range("conv_id", 16), "-", _range("turn", 64)).alias("bundle")
-    content = F.to_json(F.struct(F.col("text").alias("content"), "role"))
+    path = F.expr("concat('conversations/', conv_id, '/', turn, '.json')")
+    bundle = F.expr("concat('chat-', conv_id div 16, '-', turn div 64) AS bundle")
+    content = F.expr("to_json(struct(text AS content, role))")
     return corpus_from_table(table(spark, sf_dir, "conversations"), path, content, bundle)
 
 
 def event_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _join("conf/", F.col("event_type"), "/", F.col("event_id"), ".cfg")
-    bundle = _join("conf-", _range("event_id", 256)).alias("bundle")
-    content = _join(
-        "user=", F.col("user_id"), "\npassword=pw", F.col("event_id"),
-        "\napi_key: k", F.col("user_id"), "\ntimeout=30",
-    )
+    path = F.expr("concat('conf/', event_type, '/', event_id, '.cfg')")
+    bundle = F.expr("concat('conf-', event_id div 256) AS bundle")
+    content = F.expr(
+        r"concat('user=', user_id, '\npassword=pw', event_id, '\napi_key: k', user_id, '\ntimeout=30')"
+    )
     return corpus_from_table(table(spark, sf_dir, "events"), path, content, bundle)
 
 
@@ -200,6 +199,10 @@ def binary_content(spark, sf_dir):
     return admission.admit(files).select("path", "size", "status", "reason")
 
 
+def admission_log(spark, sf_dir):
+    return admission.admission_log(admission.admit(named_files(spark, sf_dir), SMALL))
+
+
 def token_estimate(spark, sf_dir):
     n = sizes.byte_length("content")
     return corpus(spark, sf_dir).select(
@@ -502,7 +505,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         corpus_counts, path_parts, language, file_flags, admit_status, status_counts,
-        binary_content, token_estimate, redact_default, truncate_style, truncate_svg,
+        binary_content, admission_log, token_estimate, redact_default, truncate_style, truncate_svg,
         truncate_json, truncate_generic, css_collapse, rule_chain, custom_rules,
         extended_rules, rule_applicability, match_counts, redaction_totals, match_spans,
         match_lines, line_offsets, safe_log, unsafe_log, log_headers, lines_grouped,

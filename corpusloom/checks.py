@@ -338,6 +338,10 @@ SELECT status, count(*) AS files FROM c0 GROUP BY status""",
   CASE WHEN lang IN ('en', 'de') THEN 'text' ELSE 'binary' END AS status,
   CASE WHEN lang IN ('en', 'de') THEN 'text' WHEN lang = 'es' THEN 'invalid utf-8'
   ELSE 'binary content' END AS reason FROM documents""",
+    "admission_log": f"""WITH {_admitted(NAMED, c.SMALL)} SELECT path, 'Filter applied: '
+  || CASE reason WHEN 'stylesheet' THEN 'CSS content simplification'
+  ELSE 'Binary detection by extension' END || ' - ' || path AS message
+FROM c0 WHERE reason IN ('stylesheet', 'binary extension')""",
     "token_estimate": f"""SELECT path, strlen(content) AS bytes,
   CAST((strlen(content) * 13 + 39) // 40 AS BIGINT) AS tokens FROM ({CORPUS})""",
     "redact_default": _rewritten(CORPUS, DEFAULT_RULES[:3]) + DIGEST,
@@ -357,7 +361,8 @@ SELECT status, count(*) AS files FROM c0 GROUP BY status""",
     "match_counts": _hits(CORPUS, DEFAULT_RULES)
     + "SELECT path, rule_id, type, count(*) AS matches FROM hits GROUP BY ALL",
     "redaction_totals": _hits(CORPUS, DEFAULT_RULES)
-    + "SELECT path, count(*) AS redactions FROM hits WHERE type = 'redact' GROUP BY path",
+    + """SELECT path, count(*) AS redactions, 'Filter summary: Applied ' || count(*)
+  || ' total redaction(s) to ' || path AS message FROM hits WHERE type = 'redact' GROUP BY path""",
     "match_spans": _hits(CORPUS, DEFAULT_RULES)
     + "SELECT path, rule_id, start, strlen(text) AS len, char_start FROM hits",
     "match_lines": _placed(CORPUS, c.CUSTOM_RULES)

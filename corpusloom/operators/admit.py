@@ -13,6 +13,14 @@ from ._plan import settle
 DEFAULT_MAX_SIZE = "4M"
 BINARY_STUB = "[binary skipped]"
 
+# Log text of each reason that is logged.
+LOGGED = {
+    "binary extension": "Binary detection by extension",
+    "binary content": "Binary detection by content",
+    "invalid utf-8": "UTF-8 validation failed (treating as binary)",
+    "stylesheet": "CSS content simplification",
+}
+
 
 def _oversized(max_size: str | int) -> Column:
     return F.col("size") > F.lit(size_bytes(max_size))
@@ -87,6 +95,14 @@ def admitted(files: DataFrame, max_size: str | int = DEFAULT_MAX_SIZE) -> DataFr
     return decided.select(*kept, "status", "reason", content.alias("content"))
 
 
+def admission_log(admitted_files: DataFrame) -> DataFrame:
+    """``path, message`` for files whose name or bytes decided, and for stylesheets."""
+    notes = F.create_map(*map(F.lit, [x for pair in LOGGED.items() for x in pair]))
+    noted = admitted_files.select("path", F.try_element_at(notes, F.col("reason")).alias("note"))
+    message = F.concat(F.lit("Filter applied: "), "note", F.lit(" - "), "path")
+    return noted.where("note is not null").select("path", message.alias("message"))
+
+
 def status_counts(admitted: DataFrame) -> DataFrame:
     """Files per status."""
     return admitted.groupBy("status").agg(F.count("*").alias("files"))

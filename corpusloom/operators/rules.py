@@ -312,4 +312,8 @@ def redaction_totals(files: DataFrame, rules: Iterable[Rule] = DEFAULT_RULES) ->
         F.lit(0).cast("bigint"),
         lambda n, c: n + c["matches"],
     )
-    return counted.select("path", redactions.alias("redactions")).where("redactions > 0")
+    totals = counted.select("path", redactions.alias("redactions")).where("redactions > 0")
+    message = F.format_string(
+        "Filter summary: Applied %d total redaction(s) to %s", F.col("redactions"), F.col("path")
+    )
+    return totals.withColumn("message", message)

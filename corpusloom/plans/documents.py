@@ -33,8 +33,9 @@ MARKDOWN_TREE_END = "```\n\n---\n\n"
 XML_HEAD = "<instructions>Read all code before answering.</instructions>\n\n<directory_tree>\n"
 XML_TREE_END = "</directory_tree>\n\n"
 
-# The text of a cell stays far below Spark's 2 GB even if rules make it longer.
-CELL_BYTES = 64 << 20
+# A task puts together up to 128 documents before it starts to spill, and rules can
+# make texts longer, so a cell is kept far below what Spark could hold.
+CELL_BYTES = 16 << 20
 _HEAD, _TREE, _TREE_END, _FILE, _END = range(5)
 
 

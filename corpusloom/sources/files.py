@@ -105,6 +105,8 @@ def _list(batches: Iterable[pa.RecordBatch], ignore_git: bool) -> Iterator[pa.Re
 def _walk(spark: SparkSession, source: str, ignore_git: bool) -> DataFrame:
     """Every file below a directory, one level of directories after the other.
 
+    A directory is listed by one task, as a stream where the operating system
+    does it.
     A level's directories are listed by as many tasks as there are cores, and
     each level is a written table: nothing is listed on the driver, and a lost
     executor costs the listing of its directories only.
@@ -150,6 +152,9 @@ def list_files(
     )
     held = read_files(below.where(rule_file))
     rules = rules_in_corpus(held.select("path", F.col("raw").cast("string").alias("content")))
+    folder = workspace(spark)
+    rules.write.parquet(folder)
+    rules = spark.read.schema(rules.schema).parquet(folder)
     visible = below.where(~F.endswith("path", F.lit(GIT_EXCLUDE_FILE)))
     if rules.isEmpty():
         return _named(visible.drop("path"), base)
