@@ -25,5 +25,3 @@ from .plans.documents import assemble, document_totals, pieces, section, write_d
 from .plans.ingest import ingest
 from .sources.files import list_files, read_corpus, read_files
 from .sources.tables import corpus_from_table
-
-__all__ = [name for name in dir() if not name.startswith("_")]
