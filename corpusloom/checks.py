@@ -10,7 +10,16 @@ from . import catalog as c
 from .functions.languages import FENCE_LANGUAGE
 from .functions.sniffing import BINARY_EXTENSIONS
 from .operators.rules import DEFAULT_RULES, EXTENDED_RULES, STYLESHEET_TEXT, Rule
-from .plans.documents import MARKDOWN_HEAD, MARKDOWN_TREE_END, XML_HEAD, XML_TREE_END
+from .plans.documents import (
+    JSON_BETWEEN,
+    JSON_END,
+    JSON_HEAD,
+    JSON_TREE_END,
+    MARKDOWN_HEAD,
+    MARKDOWN_TREE_END,
+    XML_HEAD,
+    XML_TREE_END,
+)
 
 
 def _q(text: str) -> str:
@@ -158,7 +167,7 @@ FROM (SELECT {keys} parts, unnest(range(1, len(parts))) AS k
 def _tree(files: str, keys: str = "") -> str:
     root = f"SELECT DISTINCT {keys} '' AS path FROM ({files})" if keys else "SELECT '' AS path"
     return f"""SELECT {keys} path, true AS is_dir, 0 AS depth, '.' AS name, '+ .' AS line FROM ({root})
-UNION ALL SELECT {keys} path, is_dir, len(string_split(path, '/')) AS depth,
+UNION ALL SELECT {keys} path, is_dir, CAST(len(string_split(path, '/')) AS INTEGER) AS depth,
   {NAME.format("path")} AS name,
   repeat('  ', len(string_split(path, '/')) - 1) || CASE WHEN is_dir THEN '+ ' ELSE '- ' END
   || {NAME.format("path")} AS line
@@ -211,9 +220,11 @@ MD_DOCUMENTS = _documents(
 XML_DOCUMENTS = _documents(
     _lines(XML_HEAD), _xml_section(), "''", "chr(10) || " + _lines(XML_TREE_END), "''", TREE_TEXT
 )
+JSON_SECTION = f"""({_lines('{' + chr(10) + '      "content": ')} || CAST(to_json(content) AS VARCHAR)
+  || {_lines(',' + chr(10) + '      "path": ')} || CAST(to_json(path) AS VARCHAR) || {_lines(chr(10) + '    }')})"""
 JSON_DOCUMENTS = _documents(
-    """'{"directory_tree":'""", RECORD, "','", """',"files":['""", "']}'",
-    f"CAST(to_json({TREE_TEXT}) AS VARCHAR)",
+    _lines(JSON_HEAD.removesuffix('"')), JSON_SECTION, _lines(JSON_BETWEEN),
+    _lines(JSON_TREE_END.removeprefix('"')), _lines(JSON_END), f"CAST(to_json({TREE_TEXT}) AS VARCHAR)",
 )
 BUNDLES = """
 SELECT bundle, '0' AS part, strlen(document) AS bytes, md5(document) AS digest FROM documents_"""
@@ -324,7 +335,8 @@ SQL = {
   CAST(sum(strlen(content)) AS BIGINT) AS bytes FROM ({CORPUS}) GROUP BY ext""",
     "path_parts": f"""SELECT path, {NAME.format("path")} AS name, {_ext("path")} AS ext,
   CASE WHEN starts_with(path, 'files/src1/') THEN substr(path, 12) ELSE path END AS shown,
-  regexp_extract(path, '^(.*)/', 1) AS dir, len(string_split(path, '/')) AS depth FROM ({NAMED})""",
+  regexp_extract(path, '^(.*)/', 1) AS dir,
+  CAST(len(string_split(path, '/')) AS INTEGER) AS depth FROM ({NAMED})""",
     "language": f"SELECT path, {LANGUAGE} AS language FROM ({NAMED})",
     "file_flags": f"""SELECT path, strlen(content) AS size,
   lower({_ext("path")}) IN ({", ".join(map(_q, BINARY_EXTENSIONS))}) AS is_binary,

@@ -32,6 +32,10 @@ MARKDOWN_HEAD = "## Directory Tree\n```text\n"
 MARKDOWN_TREE_END = "```\n\n---\n\n"
 XML_HEAD = "<instructions>Read all code before answering.</instructions>\n\n<directory_tree>\n"
 XML_TREE_END = "</directory_tree>\n\n"
+JSON_HEAD = '{\n  "directory_tree": "'
+JSON_TREE_END = '",\n  "files": [\n    '
+JSON_BETWEEN = ",\n    "
+JSON_END = "\n  ]\n}"
 
 # A task puts together up to 128 documents before it starts to spill, and rules can
 # make texts longer, so a cell is kept far below what Spark could hold.
@@ -45,10 +49,11 @@ def _xml_escape(text: Column) -> Column:
     return text
 
 
-def _json_inside(text: Column) -> Column:
-    """A string as it stands between the quotes of a JSON literal."""
-    quoted = F.to_json(F.array(text))
-    return F.substr(quoted, F.lit(3), F.length(quoted) - 4)
+def _json_string(text: Column, quotes: bool = True) -> Column:
+    """A string as a JSON literal, with or without its quotes."""
+    listed = F.to_json(F.array(text))
+    edge = 1 if quotes else 2
+    return F.substr(listed, F.lit(edge + 1), F.char_length(listed) - 2 * edge)
 
 
 def markdown_section(path: str = "path", status: str = "status", content: str = "content") -> Column:
@@ -103,16 +108,25 @@ class _Xml(_Markdown):
 
 
 class _Json(_Markdown):
-    head, tree_end, end, between = '{"directory_tree":"', '","files":[', "]}", ","
+    head, tree_end, end, between = JSON_HEAD, JSON_TREE_END, JSON_END, JSON_BETWEEN
 
     def tree_line(self, line: Column, first: bool = False) -> Column:
-        return F.concat(F.lit("" if first else "\\n"), _json_inside(line))
+        return F.concat(F.lit("" if first else "\\n"), _json_string(line, quotes=False))
 
     def section(self) -> Column:
-        return json_record()
+        content, path = _json_string(F.col("content")), _json_string(F.col("path"))
+        return F.concat(
+            F.lit('{\n      "content": '), content, F.lit(',\n      "path": '), path, F.lit("\n    }")
+        )
+
+
+class _JsonLines(_Json):
+    def section(self) -> Column:
+        return F.concat(json_record(), F.lit("\n"))
 
 
-FORMATS = {"md": _Markdown, "json": _Json, "xml": _Xml}
+# Unlike the others, json-lines is no document: its pieces are for a text file of records.
+FORMATS = {"md": _Markdown, "json": _Json, "xml": _Xml, "json-lines": _JsonLines}
 
 
 def _format(name: str, escape: bool = False):
@@ -219,18 +233,21 @@ def write_document(corpus: DataFrame, path: str, *, by: str | None = None, **opt
     if by:
         # One folder per document needs rows in order even after Python has read them.
         rows = rows.sortWithinPartitions(by, "rank", "key", "tie")
-    # The text writer ends each row with a line feed of its own.
-    text = F.expr("substr(piece, 1, length(piece) - 1)").alias("value")
-    out = rows.select(*keys, text).write
+    out = rows.select(*keys, _without_line_end("piece")).write
     (out.partitionBy(by) if by else out).text(path)
 
 
+def _without_line_end(piece: str) -> Column:
+    """The text writer ends each row with a line feed of its own."""
+    return F.left(piece, F.char_length(piece) - 1).alias("value")
+
+
 def _write_json(corpus: DataFrame, path: str, by: str | None, options: dict) -> None:
     keys = [by] if by else []
-    rows = pieces(corpus, by=by, **options)
+    rows = pieces(corpus, by=by, **{**options, "format": "json-lines"})
     if by:
         rows = rows.sortWithinPartitions(by, "rank", "key", "tie")
-    records = rows.where(F.col("rank") == _FILE).select(*keys, F.col("piece").alias("value"))
+    records = rows.where(F.col("rank") == _FILE).select(*keys, _without_line_end("piece"))
     names = corpus.select(*keys, "path")
     order = [*keys, *tree_order(options.get("tree", "path"))]
     lines = tree_lines(names, by).orderBy(*order).select(*keys, F.col("line").alias("value"))

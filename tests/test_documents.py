@@ -144,8 +144,9 @@ def test_documents(bundles, format, expected):
 
 def test_json_document(bundles):
     out, _ = joined(assemble(bundles, "bundle", format="json", max_size=99).collect())
-    assert json.loads(out["one"]) == {"directory_tree": TREE, "files": RECORDS}
-    assert out["one"].index('"directory_tree"') < out["one"].index('"files"')
+    ordered = [{"content": r["content"], "path": r["path"]} for r in RECORDS]
+    expected = json.dumps({"directory_tree": TREE, "files": ordered}, indent=2, ensure_ascii=False)
+    assert out["one"] == expected
     assert json.loads(out["two"]) == {
         "directory_tree": "+ .\n- z.py", "files": [{"content": "1", "path": "z.py"}],
     }
