@@ -369,6 +369,14 @@ def json_bundle(spark, sf_dir):
     return _bundles(spark, sf_dir, "json")
 
 
+def document_parts(spark, sf_dir):
+    """One document per top directory, far too large for the cell size given, in parts."""
+    top = F.split_part("path", F.lit("/"), F.lit(1))
+    files = corpus(spark, sf_dir).drop("bundle").withColumn("top", top)
+    cells = documents.assemble(files, "top", cell_bytes=1 << 18)
+    return cells.groupBy("top").agg(F.sum(sizes.byte_length("document")).alias("bytes"))
+
+
 def tree_text(spark, sf_dir):
     """The tree of each bundle as one text."""
     lines = tree.tree_lines(corpus(spark, sf_dir), "bundle")
@@ -511,7 +519,7 @@ QUERIES = {
         match_lines, line_offsets, safe_log, unsafe_log, log_headers, lines_grouped,
         tree_dirs, tree_lines, tree_text, path_order, sample_files, md_sections, xml_sections,
         xml_escaped, json_records, md_bundle, xml_bundle, json_bundle, bundle_totals,
-        document_totals, document_sink, source_specs, size_literals, subpath, vcs_dirs,
+        document_totals, document_parts, document_sink, source_specs, size_literals, subpath, vcs_dirs,
         ref_select, snapshot_diff, ignored, file_scan, file_admission,
     )
 }

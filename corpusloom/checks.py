@@ -230,14 +230,14 @@ BUNDLES = """
 SELECT bundle, '0' AS part, strlen(document) AS bytes, md5(document) AS digest FROM documents_"""
 
 
-def _totals(by: str) -> str:
+def _totals(by: str, files: str = CORPUS) -> str:
     """Bytes of Markdown documents added up from their pieces."""
     keys = f"{by}," if by else ""
     group = f"GROUP BY {by}" if by else ""
     on = f"USING ({by})" if by else "ON true"
     frame = strlen(MARKDOWN_HEAD) + strlen(MARKDOWN_TREE_END)
-    return f"""{_rewritten(CORPUS)},
-trees AS (SELECT {keys} sum(strlen(line) + 1) AS n FROM ({_tree(CORPUS, keys)}) {group}),
+    return f"""{_rewritten(files)},
+trees AS (SELECT {keys} sum(strlen(line) + 1) AS n FROM ({_tree(files, keys)}) {group}),
 bodies AS (SELECT {keys} count(*) AS files, sum(strlen({MD_SECTION})) AS n FROM done {group}),
 totals AS (SELECT {keys} files, CAST(trees.n + bodies.n + {frame} AS BIGINT) AS bytes
   FROM trees JOIN bodies {on})"""
@@ -423,6 +423,8 @@ FROM c0 ORDER BY {FILE_ORDER} LIMIT 5""",
     + "SELECT bundle, files, bytes, (bytes * 13 + 39) // 40 AS tokens FROM totals",
     "document_totals": _totals("")
     + "SELECT files, bytes, (bytes * 13 + 39) // 40 AS tokens FROM totals",
+    "document_parts": _totals("top", f"SELECT *, string_split(path, '/')[1] AS top FROM ({CORPUS})")
+    + "SELECT top, bytes FROM totals",
     "document_sink": f"""{_rewritten(CORPUS)},
 pieces AS (SELECT line || chr(10) AS piece FROM ({_tree(CORPUS)})
   UNION ALL SELECT {_lines(MARKDOWN_HEAD)} UNION ALL SELECT {_lines(MARKDOWN_TREE_END)}

@@ -175,4 +175,7 @@ def _directory_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
     gone = F.exists(
         nodes, lambda n: F.coalesce(_verdict(n, F.lit(True), F.col("__rules")), F.lit(False))
     )
-    return stacks.withColumn("__dir_ignored", gone)
+    settled = stacks.withColumn("__dir_ignored", gone)
+    # Files of an ignored directory need no rules, and rules for directories no file.
+    for_files = F.filter("__rules", lambda r: ~F.col("__dir_ignored") & ~r["dir_only"])
+    return settled.withColumn("__rules", for_files)
