@@ -110,10 +110,10 @@ class Step:
         return reduce(or_, needed) if needed else F.lit(True)
 
 
-def _compiled(spark: SparkSession, pattern: str) -> str:
+def _compiled(regex, pattern: str) -> str:
     java = to_java(pattern)
     try:
-        spark._jvm.java.util.regex.Pattern.compile(java)
+        regex.compile(java)
     except Exception as e:
         cause = getattr(e, "java_exception", None)
         text = cause.getDescription() if cause is not None else str(e)
@@ -133,13 +133,14 @@ def prepare(
     if on_bad_pattern not in ("raise", "stub"):
         raise ValueError("on_bad_pattern is 'raise' or 'stub'")
     steps = []
+    regex = spark._jvm.java.util.regex.Pattern
     for rule_id, rule in enumerate(rules, 1):
         java = file_java = error = None
         try:
             if rule.file_pattern is not None:
-                file_java = _compiled(spark, rule.file_pattern)
+                file_java = _compiled(regex, rule.file_pattern)
             if rule.type in ("redact", "truncate"):
-                java = _compiled(spark, rule.pattern)
+                java = _compiled(regex, rule.pattern)
             else:
                 warnings.warn(f"unknown rule type {rule.type!r} skipped", stacklevel=2)
         except PatternError as e:

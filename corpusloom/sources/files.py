@@ -54,15 +54,28 @@ def _entry(path: str, is_link: bool) -> tuple[str, bool, int] | None:
         return None
 
 
+def _kind(source: str) -> tuple[bool, int]:
+    """Whether the source is a directory, and the size of a file."""
+    if "://" in source:
+        from pyarrow import fs
+
+        system, inner = fs.FileSystem.from_uri(source)
+        info = system.get_file_info(inner)
+        if info.type == fs.FileType.NotFound:
+            raise FileNotFoundError(source)
+        return info.type == fs.FileType.Directory, info.size or 0
+    return os.path.isdir(source), os.stat(source).st_size
+
+
 def _children(directory: str) -> Iterator[tuple[str, bool, int]]:
     if "://" in directory:
         from pyarrow import fs
 
-        scheme = directory.split("://", 1)[0]
         system, inner = fs.FileSystem.from_uri(directory)
+        host = directory.removesuffix(inner)
         for info in system.get_file_info(fs.FileSelector(inner)):
             is_dir = info.type == fs.FileType.Directory
-            yield f"{scheme}://{info.path}", is_dir, 0 if is_dir else info.size
+            yield host + info.path, is_dir, 0 if is_dir else info.size
         return
     with os.scandir(directory) as entries:
         for entry in entries:
@@ -134,12 +147,11 @@ def list_files(
     ``path`` is relative to ``base`` when one is given. With ``ignore_git``
     directories named ``.git`` are not entered and ignore files are obeyed.
     """
-    if "://" not in source and os.path.isfile(source):
-        row = [(_text(source), os.path.getsize(source))]
+    is_dir, size = _kind(source)
+    if not is_dir:
+        row = [(_text(source), size)]
         listed = spark.createDataFrame(row, "absolute_path string, size bigint")
         return _named(listed, base)
-    if "://" not in source and not os.path.isdir(source):
-        raise FileNotFoundError(source)
     root = source.rstrip("/") or "/"
     listed = _walk(spark, root, ignore_git)
     if not ignore_git:

@@ -68,6 +68,10 @@ def test_paths_without_a_base_and_single_files(spark, root):
 def test_file_uri(spark, root):
     got = {r.path for r in list_files(spark, f"file://{root}/sub", f"file://{root}").collect()}
     assert "sub/keep.log" in got and "sub/only" not in got
+    [row] = list_files(spark, f"file://{root}/only", f"file://{root}").collect()
+    assert (row.path, row.size) == ("only", 1)
+    with pytest.raises(FileNotFoundError):
+        list_files(spark, f"file://{root}/missing")
     read = read_corpus(spark, f"file://{root}/sub", f"file://{root}")
     assert {r.path: r.content for r in admit(read).collect()}["sub/keep.log"] == "l"
 
