@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import secrets, tokenfiles, tokens
+from . import neardup, secrets, substrings, tokenfiles, tokens
 
 
 def vocabulary(name: str) -> str:
@@ -32,6 +32,20 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.token_output(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeat_digests(table(spark, sf_dir, "documents"))
+
+
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op3_token_counts, op5_token_files)
+    f.__name__: f for f in (
+        op1_secret_scan,
+        op3_token_counts,
+        op5_token_files,
+        op7_substring_dedup,
+        op8_near_duplicates,
+    )
 }
