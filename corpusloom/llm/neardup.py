@@ -313,3 +313,14 @@ def near_duplicates(
     return done.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn(
         "kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))
     )
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``df`` without near-duplicates: of each component the document with the smallest id.
+
+    Of rows that share that id one stays; rows with a null id all stay.
+    """
+    found = near_duplicates(df, id_col, text_col, **options)
+    chosen = found.where("kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
+    rows = df.join(chosen, F.col(id_col) == F.col("__id"), "left_semi").dropDuplicates([id_col])
+    return rows.unionByName(df.where(F.col(id_col).isNull()))
