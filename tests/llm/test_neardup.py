@@ -1,0 +1,114 @@
+import random
+
+import numpy as np
+from support import prose, words_of
+
+from corpusloom.llm import neardup
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def shingle_set(text, k):
+    w = words_of((text or "").translate(LOWER))
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
+
+
+def brute(rows, k, percent=80):
+    """(id, shingles, component) by comparing all pairs."""
+    sets = [(i, shingle_set(t, k)) for i, t in rows]
+    root = {i: i for i, _ in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for n, (i, a) in enumerate(sets):
+        for j, b in sets[:n]:
+            if None not in (i, j) and a and b and 100 * len(a & b) >= percent * len(a | b):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return sorted(repr((i, len(s), find(i) if i is not None and s else i)) for i, s in sets)
+
+
+def edited(seed, n):
+    """Groups of copies with few or many edits, around chains that only link through a middle one."""
+    pick, rows = random.Random(seed), []
+    for i in range(n):
+        if rows and pick.random() < 0.6:
+            w = words_of(pick.choice(rows)[1])
+            for _ in range(int(len(w) * pick.choice([0, 0.02, 0.05, 0.08, 0.12]))):
+                w[pick.randrange(len(w))] = f"e{pick.randrange(999)}"
+        else:
+            w = prose(pick.random(), pick.choice([1, 2, 3, 5, 6, 9, 14, 30, 80, 200, 700])).split()
+        text = " ".join(w)
+        rows.append((pick.randrange(10**6), text.title() if pick.random() < 0.2 else text))
+    return [*dict(rows).items()]
+
+
+def found(df, **options):
+    return sorted(repr(tuple(r)[:3]) for r in neardup.near_duplicates(df, **options).collect())
+
+
+def test_against_all_pairs(docs_of, awkward):
+    rows = edited(1, 250) + [r[:2] for r in awkward]
+    assert found(docs_of(rows), k=2) == brute(rows, 2)
+    assert found(docs_of(rows)) == brute(rows, 5)
+
+
+def test_groups_beyond_one_block(docs_of, monkeypatch):
+    monkeypatch.setattr(neardup, "GROUP_ROWS", 6)
+    base, pick = prose(5, 200).split(), random.Random(6)
+    rows = edited(2, 60)
+    for i in range(60):
+        w = list(base)
+        for _ in range(pick.randint(0, 14)):
+            w[pick.randrange(len(w))] = f"e{pick.randrange(99)}"
+        rows.append((2 * 10**6 + i, " ".join(w)))
+    assert found(docs_of(rows), k=2) == brute(rows, 2)
+
+
+def test_kept_and_one_of_each(docs_of, awkward):
+    got = neardup.near_duplicates(docs_of([r[:2] for r in awkward]), k=2).collect()
+    assert all(r["kept"] == (r["doc_id"] is None or r["doc_id"] == r["component_id"]) for r in got)
+    df = docs_of(awkward)
+    left = neardup.one_of_each(df, k=2)
+    assert left.columns == df.columns
+    ids = [r["doc_id"] for r in left.collect()]
+    assert sorted(i for i in ids if i is not None) == [1, 4, 5, 6, 7, 9, 10, 11]
+    assert ids.count(None) == 2
+
+
+def test_estimate_is_near_the_truth():
+    pick = np.random.default_rng(4)
+    for n, share in ((300, 0.9), (3000, 0.8), (40, 0.85)):
+        a = pick.integers(0, 1 << 63, n, dtype=np.uint64)
+        b = a.copy()
+        changed = int(n * (1 - share) / (1 + share))
+        b[:changed] = pick.integers(0, 1 << 63, changed, dtype=np.uint64)
+        c = neardup.size_classes(n, 0.8)[0]
+        x, y = neardup.sketch(a, c), neardup.sketch(b, c)
+        used = (x != 0) | (y != 0)
+        assert abs(((x == y) & used).sum() / used.sum() - share) < 0.15
+
+
+def test_sets_that_can_be_similar_share_a_class():
+    for n in range(1, 3000):
+        for larger in range(n, int(n / 0.8) + 1):
+            assert {*neardup.size_classes(n, 0.8)} & {*neardup.size_classes(larger, 0.8)}
+
+
+def test_components(spark):
+    pick = random.Random(9)
+    edges = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 300)]
+    edges += [(1000, 1000 + pick.randrange(1, 60)) for _ in range(50)]
+    pick.shuffle(edges)
+    df = spark.createDataFrame(edges, "a long, b long")
+    got = {r["node"]: r["root"] for r in neardup.components(df).collect()}
+    want = {i: 0 for i in range(1, 41)} | {200: 100, 300: 100} | {b: 1000 for a, b in edges if a == 1000}
+    assert got == want
+
+
+def test_empty_table(docs_of):
+    assert neardup.near_duplicates(docs_of([])).count() == 0
+    assert neardup.one_of_each(docs_of([])).count() == 0
