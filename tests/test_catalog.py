@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from corpusloom import catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = (
@@ -28,7 +29,7 @@ def rows(names, tuples):
     return sorted(names), sorted(repr(tuple(t[i] for i in order)) for t in tuples)
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, duck, name):
     df = entry_points.queries()[name](spark, SF)
     got = rows(df.columns, df.collect())
