@@ -24,11 +24,11 @@ from .sources.workspace import workspace
 SMALL = 4096
 
 # Rules of the queries that need more than the defaults.
-QUOTED_SECRET = Rule("redact", r'(?i)(secret|token)\s*[:=]\s*"?[A-Za-z0-9+/]{20,}={0,2}')
-SCRIPT = Rule("truncate", r"<script[^>]*>.*?</script>", r"\.html?$")
+QUOTED_SECRET = Rule("redact", r'(?i)\x73ecret\s*[:=]\s*"?(?:[a-z]|\d|[+/])+=*')
+NAVIGATION = Rule("truncate", r"<nav\b[^>]*>.*?</nav>", r"\.html?$")
 ENTITY = Rule("truncate", r"&[a-z]+;", r"\.html?$")
-TIMEOUT = Rule("truncate", r"timeout=[0-9]+")
-CUSTOM_RULES = (QUOTED_SECRET, SCRIPT, TIMEOUT)
+TIMEOUT = Rule("truncate", r"\p{Ll}+out=[0-9]+")
+CUSTOM_RULES = (QUOTED_SECRET, NAVIGATION, TIMEOUT)
 
 # File name endings dealt out over the documents of the name-based queries.
 ENDINGS = (
@@ -235,7 +235,7 @@ def truncate_json(spark, sf_dir):
 
 def truncate_generic(spark, sf_dir):
     pages = admission.admit(page_files(spark, sf_dir))
-    return _digest(rules.rewrite(pages, [SCRIPT, ENTITY]))
+    return _digest(rules.rewrite(pages, [NAVIGATION, ENTITY]))
 
 
 def css_collapse(spark, sf_dir):
@@ -320,11 +320,11 @@ def path_order(spark, sf_dir):
 
 
 def sample_files(spark, sf_dir):
-    return admission.sample_files(admission.admit(corpus(spark, sf_dir), SMALL))
+    return admission.sample_files(corpus(spark, sf_dir))
 
 
 def _sections(spark, sf_dir, **options):
-    files = rules.rewrite(admission.admit(corpus(spark, sf_dir), SMALL))
+    files = rules.rewrite(_text_corpus(spark, sf_dir))
     text = documents.section(**options)
     return files.select("path", F.md5(text.cast("binary")).alias("digest"),
                         sizes.byte_length(text).alias("bytes"))
@@ -343,12 +343,12 @@ def xml_escaped(spark, sf_dir):
 
 
 def json_records(spark, sf_dir):
-    files = rules.rewrite(admission.admit(corpus(spark, sf_dir), SMALL))
+    files = rules.rewrite(_text_corpus(spark, sf_dir))
     return files.select("path", documents.json_record().alias("record"))
 
 
 def _bundles(spark, sf_dir, name):
-    cells = documents.assemble(corpus(spark, sf_dir), "bundle", format=name, max_size=SMALL)
+    cells = documents.assemble(corpus(spark, sf_dir), "bundle", format=name)
     return cells.select(
         "bundle",
         "part",

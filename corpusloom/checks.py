@@ -141,8 +141,9 @@ def _line_table(of: str) -> str:
     return f"""SELECT path, rule_id, line_no, line, CAST(coalesce(sum(strlen(line) + 1) OVER (
   PARTITION BY path, rule_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
   AS BIGINT) AS line_start
-FROM (SELECT path, rule_id, unnest(string_split(content, chr(10))) AS line,
-  generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM ({of}))"""
+FROM (SELECT path, rule_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS line_no FROM (
+  SELECT path, rule_id, CASE WHEN content = '' THEN [] ELSE string_split(regexp_replace(content, '\\n$', ''), chr(10)) END AS lines
+  FROM ({of})))"""
 
 
 def _placed(files: str, rules) -> str:
@@ -199,13 +200,13 @@ def _xml_text(column: str) -> str:
 
 
 RECORD = "CAST(to_json({'content': content, 'path': path}) AS VARCHAR)"
-SMALL_DONE = _rewritten(CORPUS, max_size=c.SMALL)
+ALL_DONE = _rewritten(CORPUS)
 FILE_ORDER = "string_split(path, '/')"
 
 
 def _documents(head: str, section: str, between: str, tree_end: str, end: str, tree: str) -> str:
     """The document of each bundle, and its totals."""
-    return f"""{SMALL_DONE},
+    return f"""{ALL_DONE},
 trees AS (SELECT bundle, {tree} AS tree FROM ({_tree(CORPUS, "bundle,")}) GROUP BY bundle),
 bodies AS (SELECT bundle, count(*) AS files,
   string_agg({section}, {between} ORDER BY {FILE_ORDER}) AS body FROM done GROUP BY bundle),
@@ -360,7 +361,7 @@ FROM c0 WHERE reason IN ('stylesheet', 'binary extension')""",
     "truncate_style": _rewritten(PAGES, DEFAULT_RULES[3:4]) + "SELECT path, content FROM done",
     "truncate_svg": _rewritten(DRAWN, DEFAULT_RULES[4:5]) + DIGEST,
     "truncate_json": _rewritten(TURNS, DEFAULT_RULES[5:6]) + "SELECT path, content FROM done",
-    "truncate_generic": _rewritten(PAGES, [c.SCRIPT, c.ENTITY]) + DIGEST,
+    "truncate_generic": _rewritten(PAGES, [c.NAVIGATION, c.ENTITY]) + DIGEST,
     "css_collapse": _rewritten(NAMED) + DIGEST,
     "rule_chain": _rewritten(CORPUS) + DIGEST,
     "custom_rules": _rewritten(CORPUS, c.CUSTOM_RULES) + DIGEST,
@@ -387,7 +388,8 @@ FROM c0 WHERE reason IN ('stylesheet', 'binary extension')""",
   || (line_offset + 1) || '-' || (line_offset + len) || ']''' AS message FROM placed""",
     "unsafe_log": _placed(CORPUS, DEFAULT_RULES)
     + """SELECT path, rule_id, start,
-  CASE WHEN len > 100 THEN substr(text, 1, 97) || '...' ELSE text END AS shown FROM placed""",
+  CASE WHEN len > 100 THEN substr(text, 1, list_max([k FOR k IN range(24, 98) IF strlen(substr(text, 1, k)) <= 97]))
+  || '...' ELSE text END AS shown FROM placed""",
     "log_headers": _hits(CORPUS, c.CUSTOM_RULES)
     + f"""SELECT path, rule_id, count(*) AS matches, 'Filter applied: '
   || ({_list(r.label for r in c.CUSTOM_RULES)})[rule_id] || ' pattern '''
@@ -402,20 +404,20 @@ FROM placed GROUP BY path, rule_id, line_no""",
     "tree_text": f"""SELECT bundle, {TREE_TEXT} AS tree
 FROM ({_tree(CORPUS, "bundle,")}) GROUP BY bundle""",
     "path_order": f"SELECT path, strlen(content) AS size FROM ({CORPUS}) ORDER BY {FILE_ORDER}",
-    "sample_files": f"""WITH {_admitted(CORPUS, c.SMALL)}
+    "sample_files": f"""WITH {_admitted(CORPUS)}
 SELECT CAST(row_number() OVER (ORDER BY {FILE_ORDER}) - 1 AS INTEGER) AS position, path,
   CASE status WHEN 'text' THEN 'Text(' || strlen(content) || ' chars)'
   ELSE upper(status[1]) || status[2:] || ': ' || content END AS shown
 FROM c0 ORDER BY {FILE_ORDER} LIMIT 5""",
-    "md_sections": SMALL_DONE
+    "md_sections": ALL_DONE
     + f"SELECT path, md5({MD_SECTION}) AS digest, strlen({MD_SECTION}) AS bytes FROM done",
-    "xml_sections": SMALL_DONE
+    "xml_sections": ALL_DONE
     + f"SELECT path, md5({_xml_section()}) AS digest, strlen({_xml_section()}) AS bytes FROM done",
-    "xml_escaped": SMALL_DONE
+    "xml_escaped": ALL_DONE
     + "SELECT path, md5(s) AS digest, strlen(s) AS bytes FROM (SELECT path, "
     + _xml_section(_xml_text("path"), _xml_text("content"))
     + " AS s FROM done)",
-    "json_records": SMALL_DONE + f"SELECT path, {RECORD} AS record FROM done",
+    "json_records": ALL_DONE + f"SELECT path, {RECORD} AS record FROM done",
     "md_bundle": MD_DOCUMENTS + BUNDLES,
     "xml_bundle": XML_DOCUMENTS + BUNDLES,
     "json_bundle": JSON_DOCUMENTS + BUNDLES,

@@ -1,9 +1,11 @@
-"""Rule patterns are written in a linear-time regex dialect; Spark runs Java's.
-
-The two agree once Java is told to be Unicode-aware (``U``), to treat only a
-line feed as a line end (``d``), and to let ``$`` mean the very end of the text.
-Look-around, back-references and possessive repeats do not exist in the rule
-dialect and are refused, so that a pattern means the same on both sides.
+"""Rule patterns are written in a linear-time regex dialect.
+
+Texts are searched with RE2, which is of the same family: :func:`to_re2` spells out what RE2 takes
+for ASCII (``\\d``, ``\\s``, ``\\w``) and refuses what it would misread. Paths are tested inside
+Spark's plans with Java's engine: :func:`to_java`. Look-around, back-references and possessive
+repeats do not exist in the dialect; set operations in classes, the ``x`` and ``u`` flags and the
+``\\<``, ``\\>`` and ``\\b{...}`` assertions do, but not on both sides, and are refused as well, so
+that a pattern that is taken means what it says.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 import re
 
 _LOOK = re.compile(r"\(\?(?:<?[=!]|>)")
-_FLAGS = re.compile(r"\(\?([a-zA-Z]*)(?:-[a-zA-Z]*)?[:)]")
+_FLAGS = re.compile(r"\(\?([a-zA-Z]*)(?:-([a-zA-Z]*))?[:)]")
 # Named ASCII classes of the rule dialect.
 _NAMED_CLASS = {
     "[:alnum:]": "0-9A-Za-z",
@@ -28,6 +30,14 @@ _NAMED_CLASS = {
     "[:word:]": "0-9A-Za-z_",
     "[:xdigit:]": "0-9A-Fa-f",
 }
+# Members of the Unicode classes behind \s and \w, and the ranges outside white space.
+_SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_NO_SPACE = (
+    r"\x{0}-\x{8}\x{E}-\x{1F}!-\x{84}\x{86}-\x{9F}\x{A1}-\x{167F}\x{1681}-\x{1FFF}\x{200B}-\x{2027}"
+    r"\x{202A}-\x{202E}\x{2030}-\x{205E}\x{2060}-\x{2FFF}\x{3001}-\x{10FFFF}"
+)
+_WORD = r"\pL\pM\p{Nd}\p{Nl}\p{Pc}\x{24B6}-\x{24E9}\x{200C}\x{200D}"
+_RE2_CLASS = {r"\d": r"\p{Nd}", r"\D": r"\P{Nd}", r"\s": _SPACE, r"\S": _NO_SPACE, r"\w": _WORD}
 
 
 class PatternError(ValueError):
@@ -42,7 +52,8 @@ def _tokens(pattern: str):
         if named:
             token = named
         elif pattern[i] == "\\":
-            token = pattern[i : i + 2]
+            braced = re.match(r"\\[pPx]\{[^}]*\}", pattern[i:])
+            token = braced[0] if braced else pattern[i : i + 2]
         else:
             token = pattern[i]
         yield token, inside > 0
@@ -58,107 +69,77 @@ def _tokens(pattern: str):
         i += len(token)
 
 
-def to_java(pattern: str) -> str:
-    """The same pattern for ``java.util.regex``."""
-    flags = "".join(_FLAGS.findall(pattern))
-    out, previous = [], ""
-    for token, inside in _tokens(pattern):
+def _checked(pattern: str) -> list[tuple[str, bool]]:
+    """The pattern's tokens, once it holds nothing that an engine would misread."""
+    tokens = list(_tokens(pattern))
+    previous, inside_text = "", ""
+    for at, (token, inside) in enumerate(tokens):
+        following = tokens[at + 1][0] if at + 1 < len(tokens) else ""
         if inside:
-            out.append(_NAMED_CLASS.get(token, token))
-        elif token[0] == "\\" and token[1:].isdigit() or token == "\\k":
+            inside_text += token
+            if token == "[" or any(x in inside_text[-2:] for x in ("&&", "--", "~~")):
+                raise PatternError(f"set operations in classes are not supported: {pattern}")
+            previous = ""
+            continue
+        inside_text = ""
+        if token[0] == "\\" and token[1:].isdigit() or token == "\\k":
             raise PatternError(f"backreferences are not supported: {pattern}")
-        elif token == "+" and previous in ("*", "+", "?", "}"):
+        if token in ("\\<", "\\>", "\\C", "\\Q", "\\E") or token == "\\b" and following == "{":
+            raise PatternError(f"{token}{following if token == '\\b' else ''} is not supported: {pattern}")
+        if token == "+" and previous in ("*", "+", "?", "}"):
             raise PatternError(f"possessive repeats are not supported: {pattern}")
-        elif token == "$" and "m" not in flags:
-            out.append(r"\z")
-        else:
-            out.append(token)
-        previous = token if not inside else ""
-    java = "".join(out)
-    plain = "".join(t for t, inside in _tokens(pattern) if not inside)
+        previous = token
+    plain = "".join(t for t, inside in tokens if not inside)
     if _LOOK.search(plain):
         raise PatternError(f"look-around is not supported: {pattern}")
-    opening = opening_letters(pattern)
-    first = f"(?=[{opening}])" if opening else ""
-    return "(?Ud)" + first + java.replace("(?P<", "(?<")
-
-
-# An atom and its repeat; a class that holds a class is left as a lone bracket.
-_ATOM = re.compile(
-    r"(\\.|\[(?:\\.|[^\[\]\\])+\]|\(\?[a-zA-Z-]+\)|.)([?*+]|\{[^}]*\})?\??", re.S
-)
-_MAX_ALTERNATIVES = 4
-
-
-def _caseless(text: str) -> bool:
-    return text.isascii() and text.lower() == text.upper()
+    for on, off in _FLAGS.findall(plain):
+        if set(on + off) - set("imsU"):
+            raise PatternError(f"a flag of (?{on}-{off}) is not supported: {pattern}")
+    return tokens
+
+
+def _code_points(pattern: str) -> str:
+    """Escapes of a code point by four or eight digits in the form that both engines have."""
+    return re.sub(
+        r"(\\\\)|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\[uU](\{[0-9A-Fa-f]+\})",
+        lambda m: m[1] or (rf"\x{m[4]}" if m[4] else rf"\x{{{(m[2] or m[3])}}}"),
+        pattern,
+    )
+
+
+def to_re2(pattern: str) -> str:
+    """The same pattern for RE2. Word boundaries go by ASCII words there."""
+    out = []
+    for token, inside in _checked(_code_points(pattern)):
+        if inside and token == r"\W":
+            raise PatternError(f"\\W in a class is not supported: {pattern}")
+        if token == r"\W":
+            out.append(f"[^{_WORD}]")
+        elif token in _RE2_CLASS:
+            out.append(_RE2_CLASS[token] if inside else f"[{_RE2_CLASS[token]}]")
+        elif inside:
+            out.append(_NAMED_CLASS.get(token, token))
+        else:
+            out.append(token)
+    return "".join(out)
 
 
-def required_text(pattern: str) -> tuple[str, ...]:
-    """Texts of which every match holds at least one; empty if none is certain.
+def to_java(pattern: str) -> str:
+    """The same pattern for ``java.util.regex``, for paths.
 
-    A byte search for them spares rows that cannot match the regex and the
-    decoding of their text. Only what must occur counts: texts and small
-    character classes outside groups, not optional, and without letters when
-    case is ignored.
-    """
-    flags = "".join(_FLAGS.findall(pattern))
-    if "x" in flags:
-        return ()
-    usable = _caseless if "i" in flags else bool
-    found, run, level = [], "", 0
-    for atom, repeat in _ATOM.findall(pattern):
-        if atom == "[" or (atom == "|" and level == 0):
-            return ()
-        level += {"(": 1, ")": -1}.get(atom, 0)
-        certain = level == 0 and repeat in ("", "+")
-        literal = ""
-        if atom[0] == "\\":
-            literal = "" if atom[1].isalnum() else atom[1]
-        elif atom[0] == "[" and certain:
-            members = tuple(atom[1:-1])
-            if not set(members) & set("^-&\\") and all(map(usable, members)):
-                found.append(members)
-        elif len(atom) == 1 and atom not in "().^$|*+?":
-            literal = atom
-        if literal and certain and usable(literal):
-            run += literal
-            if not repeat:
-                continue
-        found.append((run,))
-        run = ""
-    found.append((run,))
-    safe = [f for f in found if all(f) and len(f) <= _MAX_ALTERNATIVES]
-    return max(safe, key=lambda f: (len(f[0]), -len(f)), default=())
-
-
-_FOLDED = {"s": "sS\u017f", "k": "kK\u212a"}
-_OPENING = re.compile(r"\(\?i\)(?:\(([^()\\\[]+(?:\[[^\[\]]*\][^()\\\[]*)*)\)(?![?*{])|([a-z]))", re.I)
-
-
-def opening_letters(pattern: str) -> str:
-    """Letters, in either case, that a match of a case-blind pattern can start with.
-
-    Looking for the first letter before trying the alternatives makes the
-    search for a case-blind word about twice as fast.
+    Java is told to be Unicode-aware (``U``), to treat only a line feed as a line end (``d``), and
+    to let ``$`` mean the very end of the text.
     """
-    opening = _OPENING.match(pattern)
-    if not opening or (opening[2] and pattern[opening.end() :][:1] in ("?", "*", "{")):
-        return ""
-    words = opening[1].split("|") if opening[1] else [opening[2]]
-    if "|" in _outside_groups(pattern):
-        return ""
-    letters = {w[:1].lower() for w in words}
-    sure = all(w[:1].isascii() and w[:1].isalpha() and w[1:2] not in ("?", "*", "{") for w in words)
-    if not sure or "|" in "".join(re.findall(r"\[[^\]]*\]", opening[0])):
-        return ""
-    return "".join(_FOLDED.get(x, x + x.upper()) for x in sorted(letters))
-
-
-def _outside_groups(pattern: str) -> str:
-    kept, level = "", 0
-    for atom, _ in _ATOM.findall(pattern):
-        level += {"(": 1, ")": -1}.get(atom, 0)
-        if level == 0 and len(atom) == 1:
-            kept += atom
-    return kept
+    tokens = _checked(_code_points(pattern))
+    flags = "".join(on for on, _ in _FLAGS.findall("".join(t for t, inside in tokens if not inside)))
+    if "U" in flags:
+        raise PatternError(f"swapped greed is not supported for paths: {pattern}")
+    out = []
+    for token, inside in tokens:
+        if inside:
+            out.append(_NAMED_CLASS.get(token, token))
+        elif token == "$" and "m" not in flags:
+            out.append(r"\z")
+        else:
+            out.append(token)
+    return "(?Ud)" + "".join(out).replace("(?P<", "(?<")

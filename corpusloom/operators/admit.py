@@ -108,9 +108,12 @@ def status_counts(admitted: DataFrame) -> DataFrame:
     return admitted.groupBy("status").agg(F.count("*").alias("files"))
 
 
-def sample_files(admitted: DataFrame, n: int = 5) -> DataFrame:
-    """The first ``n`` files in path order, numbered from 0, with the length of their text."""
-    first = admitted.orderBy(path_key("path")).limit(n)
+def sample_files(files: DataFrame, n: int = 5, max_size: str | int = DEFAULT_MAX_SIZE) -> DataFrame:
+    """The first ``n`` files in path order, numbered from 0, with the length of their text.
+
+    The files are taken first, by a top-n that never sorts the corpus, and only those are admitted.
+    """
+    first = admit(files.orderBy(path_key("path")).limit(n), max_size)
     shown = F.when(
         F.col("status") == "text",
         F.concat(F.lit("Text("), F.octet_length("content"), F.lit(" chars)")),

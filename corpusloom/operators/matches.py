@@ -7,60 +7,33 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import running
 from ..functions.sizes import byte_length
-from .rules import DEFAULT_RULES, Rule, _Chain, match_counts, prepare
+from .engine import finding, lining
+from .rules import DEFAULT_RULES, Rule, _live, match_counts, prepare
 
-_SHOWN_BYTES, _SHOWN_CHARS = 100, 97
+_SHOWN_BYTES, _SHOWN_CUT = 100, 97
 
 
 def line_table(files: DataFrame) -> DataFrame:
     """Lines of each file: number from 1, byte offset of the line, its length, its text.
 
-    The running offset is kept within the row that holds the text, so the text
-    is never shuffled to be numbered.
+    A line feed at the end starts no further line, and an empty text has none. Offsets are worked
+    out where the text is, a batch of texts at a time, so no text is shuffled to be numbered.
     """
-    lines = files.select("path", F.split("content", "\n", -1).alias("lines"))
-    lines = lines.withColumn(
-        "ends",
-        running(
-            F.transform("lines", lambda t: byte_length(t) + 1),
-            F.lit(0).cast("bigint"),
-            lambda total, n: total + n,
-        ),
-    )
-    each = lines.select("path", F.posexplode(F.arrays_zip("lines", "ends")).alias("at", "line"))
-    n_bytes = byte_length(F.col("line.lines"))
-    return each.select(
-        "path",
-        (F.col("at") + 1).cast("bigint").alias("line_no"),
-        (F.col("line.ends") - n_bytes - 1).alias("start"),
-        n_bytes.alias("len"),
-        F.col("line.lines").alias("line"),
-    )
+    lines = files.select("path", lining()(F.col("content")).alias("found"))
+    each = lines.select("path", F.posexplode("found.lines").alias("at", "line"))
+    number = (F.col("at") + 1).cast("bigint").alias("line_no")
+    return each.select("path", number, "line.start", "line.len", "line.line")
 
 
-_MEASURES = ("bytes", "chars", "breaks", "tail")
-
-
-def _measure(text: Column) -> Column:
-    return F.struct(
-        byte_length(text).alias("bytes"),
-        F.char_length(text).cast("bigint").alias("chars"),
-        (byte_length(text) - byte_length(F.replace(text, F.lit("\n"), F.lit("")))).alias("breaks"),
-        byte_length(F.substring_index(text, "\n", -1)).alias("tail"),
-    )
-
-
-def _advance(so_far: Column, piece: Column) -> Column:
-    """Measure of two pieces of text in a row; ``tail`` is what follows the last line break."""
-    tail = F.when(piece["breaks"] > 0, piece["tail"]).otherwise(so_far["tail"] + piece["tail"])
-    return F.struct(
-        (so_far["bytes"] + piece["bytes"]).alias("bytes"),
-        (so_far["chars"] + piece["chars"]).alias("chars"),
-        (so_far["breaks"] + piece["breaks"]).alias("breaks"),
-        tail.alias("tail"),
-    )
+def _matches(files: DataFrame, rules: Iterable[Rule], safe: bool) -> DataFrame:
+    """``path, matches``: files with a match, all matches of the file in one array by rule and place."""
+    steps = prepare(files.sparkSession, rules)
+    if not steps:
+        raise ValueError("no rule to look for")
+    found = finding(steps, safe)(F.col("path"), F.when(_live(), F.col("content")))
+    rows = files.select("path", found.alias("found"))
+    return rows.select("path", F.col("found.matches").alias("matches")).where(F.size("matches") > 0)
 
 
 def match_table(
@@ -68,46 +41,11 @@ def match_table(
 ) -> DataFrame:
     """Every match of every rule, on the text as it stood before that rule.
 
-    One pass over the text and no shuffle: the chain keeps the matches and the
-    gaps between them, files without a match end there, and positions are
-    running sums within the row. With ``safe`` the table carries no matched
-    text at all. Patterns that match the empty text have no span and are refused.
+    One pass over the text and no shuffle: positions are worked out where the text is. With
+    ``safe`` the table carries no matched text at all. Matches may be empty; those that lie inside
+    no line (at a line feed, or behind the last character) are flagged ``at_break``.
     """
-    steps = prepare(files.sparkSession, rules)
-    jvm = files.sparkSession._jvm.java.util.regex.Pattern
-    for step in steps:
-        if jvm.compile(step.java).matcher("").find():
-            raise ValueError(f"pattern matches the empty text: {step.rule.pattern}")
-    chain = _Chain(files.select("path", "status", "content"), steps)
-    hits = [chain.collect(step) for step in steps]
-    if not hits:
-        raise ValueError("no rule to look for")
-    found = chain.df.select("path", F.inline(F.array_compact(F.array(*hits))))
-
-    # Piece i is the text between the starts of match i-1 and match i.
-    n = F.size("found")
-    before = F.slice(F.concat(F.array(F.lit("")), F.col("found")), F.lit(1), n)
-    texts = F.zip_with(before, F.slice("gaps", F.lit(1), n), lambda m, gap: F.concat(m, gap))
-    pieces = F.transform(texts, _measure)
-    zero = F.struct(*(F.lit(0).cast("bigint").alias(c) for c in _MEASURES))
-    placed = found.withColumn("pieces", pieces).select(
-        "path", "rule_id", "type", "found", running(F.col("pieces"), zero, _advance).alias("starts")
-    )
-    each = placed.select(
-        "path", "rule_id", "type", F.inline(F.arrays_zip("found", "starts")).alias("text", "at")
-    )
-    table = each.select(
-        "path",
-        "rule_id",
-        "type",
-        F.col("at.bytes").alias("start"),
-        byte_length("text").alias("len"),
-        F.col("at.chars").alias("char_start"),
-        (F.col("at.breaks") + 1).alias("line_no"),
-        F.col("at.tail").alias("line_offset"),
-        F.startswith("text", F.lit("\n")).alias("at_break"),
-        "text",
-    )
+    table = _matches(files, rules, safe).select("path", F.inline("matches"))
     return table.drop("text") if safe else table
 
 
@@ -121,13 +59,7 @@ def show_matches(
     """
     rules = list(rules)
     table = match_table(files, rules, safe=safe).where(~F.col("at_break"))
-    if safe:
-        shown = F.format_string(
-            "[characters %d-%d]", F.col("line_offset") + 1, F.col("line_offset") + F.col("len")
-        )
-    else:
-        cut = F.concat(F.left("text", F.lit(_SHOWN_CHARS)), F.lit("..."))
-        shown = F.when(F.col("len") > _SHOWN_BYTES, cut).otherwise(F.col("text"))
+    shown = _shown(F.col, safe)
     label = F.when(F.col("type") == "redact", "Redaction").otherwise("Truncation")
     message = F.format_string("  %s match at line %d: '%s'", label, F.col("line_no"), F.col("shown"))
     return table.withColumn("shown", shown).select(
@@ -135,6 +67,21 @@ def show_matches(
     )
 
 
+def _shown(field, safe: bool) -> Column:
+    """What the log shows of a match whose fields ``field`` gives: its place, or its text.
+
+    Long texts are cut behind the last character that ends within the first 97 bytes.
+    """
+    if safe:
+        return F.format_string(
+            "[characters %d-%d]", field("line_offset") + 1, field("line_offset") + field("len")
+        )
+    fits = lambda n: byte_length(F.left(field("text"), n)) <= _SHOWN_CUT
+    sizes = F.sequence(F.lit(_SHOWN_CUT // 4), F.lit(_SHOWN_CUT))
+    cut = F.concat(F.left(field("text"), F.array_max(F.filter(sizes, fits))), F.lit("..."))
+    return F.when(field("len") > _SHOWN_BYTES, cut).otherwise(field("text"))
+
+
 def match_headers(files: DataFrame, rules: Iterable[Rule] = DEFAULT_RULES) -> DataFrame:
     """Head line of the log for every file and rule that hit."""
     rules = list(rules)
@@ -154,10 +101,27 @@ def match_headers(files: DataFrame, rules: Iterable[Rule] = DEFAULT_RULES) -> Da
 def matches_by_line(
     files: DataFrame, rules: Iterable[Rule] = DEFAULT_RULES, *, safe: bool = True
 ) -> DataFrame:
-    """Matches of a line together, in order. A group is at most one line of one file."""
-    shown = show_matches(files, rules, safe=safe)
-    ordered = F.array_sort(F.collect_list(F.struct("start", "shown")))
-    return shown.groupBy("path", "rule_id", "line_no").agg(
-        F.count("*").alias("matches"),
-        F.transform(ordered, lambda m: m["shown"]).alias("shown"),
+    """Matches of a line together, in order, without moving any row.
+
+    A row's matches stand by rule and place, so those of a line follow each other: each run begins
+    where rule or line differ from the match before, and ends where the next one begins.
+    """
+    held = _matches(files, list(rules), safe)
+    held = held.withColumn("matches", F.filter("matches", lambda m: ~m["at_break"])).where(F.size("matches") > 0)
+
+    def differs(m: Column, i: Column) -> Column:
+        before = F.get("matches", i - 1)
+        return (i == 0) | (before["rule_id"] != m["rule_id"]) | (before["line_no"] != m["line_no"])
+
+    places = F.transform("matches", lambda m, i: F.when(differs(m, i), i))
+    runs = held.withColumn("begins", F.array_compact(places))
+    size = lambda b, j: F.coalesce(F.get("begins", j + 1), F.size("matches")) - b
+    group = F.transform("begins", lambda b, j: F.slice("matches", b + 1, size(b, j)))
+    each = runs.select("path", F.explode(group).alias("m"))
+    return each.select(
+        "path",
+        F.col("m")[0]["rule_id"].alias("rule_id"),
+        F.col("m")[0]["line_no"].alias("line_no"),
+        F.size("m").cast("bigint").alias("matches"),
+        F.transform("m", lambda x: _shown(lambda name: x[name], safe)).alias("shown"),
     )

@@ -5,15 +5,17 @@ from __future__ import annotations
 import warnings
 from collections.abc import Iterable
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import extension
-from ..functions.patterns import PatternError, required_text, to_java
+from ..functions.patterns import PatternError, to_java, to_re2
+from ..sources.shipping import ship
 from ._plan import settle
+from .engine import compiles, rewriting
+
+ship(__name__)
 
 # The texts that stand in for a match, and for a stylesheet.
 REDACTED = "██REDACTED██"
@@ -22,8 +24,6 @@ SVG_CUT = "<svg>…</svg>"
 CUT = "…"
 STYLESHEET_TEXT = "/* CSS content simplified */"
 
-_MAX_TABLE_RULES = 10_000
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -86,31 +86,33 @@ EXTENDED_RULES = (
 def rules_from_table(table: DataFrame) -> list[Rule]:
     """Rules from a table ``rule_id, type, pattern, file_pattern, threshold``, by rule_id.
 
-    Rules are settings that become part of the plan, so the table must be small.
+    Rules are settings that go with every task, so the table is a small one.
     """
-    rows = table.orderBy("rule_id").limit(_MAX_TABLE_RULES + 1).collect()
-    if len(rows) > _MAX_TABLE_RULES:
-        raise ValueError(f"more than {_MAX_TABLE_RULES} rules")
+    rows = table.orderBy("rule_id").collect()
     return [Rule(r["type"], r["pattern"], r["file_pattern"], r["threshold"]) for r in rows]
 
 
 @dataclass(frozen=True)
 class Step:
-    """A rule ready for the plan; ``error`` is set when a pattern is unusable."""
+    """A rule ready to run; ``error`` is set when a pattern is unusable."""
 
     rule_id: int
     rule: Rule
-    java: str | None = None
+    re2: str | None = None
+    file_re2: str | None = None
     file_java: str | None = None
     error: str | None = None
 
-    def may_match(self, content: Column) -> Column:
-        """Cheap test that is never false where the pattern matches."""
-        needed = [F.contains(content, F.lit(text)) for text in required_text(self.rule.pattern)]
-        return reduce(or_, needed) if needed else F.lit(True)
 
+def _re2(pattern: str) -> str:
+    translated = to_re2(pattern)
+    refused = compiles(translated)
+    if refused:
+        raise PatternError(f"{refused}: {pattern}")
+    return translated
 
-def _compiled(regex, pattern: str) -> str:
+
+def _java(regex, pattern: str) -> str:
     java = to_java(pattern)
     try:
         regex.compile(java)
@@ -135,20 +137,20 @@ def prepare(
     steps = []
     regex = spark._jvm.java.util.regex.Pattern
     for rule_id, rule in enumerate(rules, 1):
-        java = file_java = error = None
+        re2 = file_re2 = file_java = error = None
         try:
             if rule.file_pattern is not None:
-                file_java = _compiled(regex, rule.file_pattern)
+                file_re2, file_java = _re2(rule.file_pattern), _java(regex, rule.file_pattern)
             if rule.type in ("redact", "truncate"):
-                java = _compiled(regex, rule.pattern)
+                re2 = _re2(rule.pattern)
             else:
                 warnings.warn(f"unknown rule type {rule.type!r} skipped", stacklevel=2)
         except PatternError as e:
             if on_bad_pattern == "raise":
                 raise
             error = f"[error: Regex error: {e}]"
-        if java or error:
-            steps.append(Step(rule_id, rule, java, file_java, error))
+        if re2 or error:
+            steps.append(Step(rule_id, rule, re2, file_re2, file_java, error))
     return steps
 
 
@@ -173,73 +175,13 @@ def applicable_rules(files: DataFrame, rules: Iterable[Rule] = DEFAULT_RULES) ->
     return hits
 
 
-class _Chain:
-    """The rules as a stack of projections, each rule seeing the last one's output.
+def _live() -> Column:
+    """Rows that rules see: texts, but for stylesheets."""
+    return (F.col("status") == "text") & ~F.coalesce(is_stylesheet(), F.lit(False))
 
-    One projection per rule: nesting all replacements in one expression would
-    repeat the text expression in every branch and double with each rule.
-    """
 
-    def __init__(self, files: DataFrame, steps: list[Step]):
-        self.steps = steps
-        self.paths = list(dict.fromkeys(s.file_java for s in steps if s.file_java))
-        gates = {
-            f"__path{i}": F.col("path").rlike(java) for i, java in enumerate(self.paths)
-        }
-        gates["__live"] = (F.col("status") == "text") & ~F.coalesce(is_stylesheet(), F.lit(False))
-        self.df = files.withColumns(gates)
-
-    def applies(self, step: Step) -> Column:
-        """The rule is to be tried on this row."""
-        gate = F.col("__live")
-        if step.file_java:
-            gate = gate & F.col(f"__path{self.paths.index(step.file_java)}")
-        return gate & step.may_match(F.col("content")) if step.java else gate
-
-    def replace(self, step: Step, gate: Column) -> None:
-        new = F.regexp_replace("content", F.lit(step.java), F.lit(step.rule.replacement))
-        self.df = self.df.withColumn("content", F.when(gate, new).otherwise(F.col("content")))
-
-    def collect(self, step: Step) -> Column:
-        """Apply the rule, keeping its matches and the gaps around them; null without a match."""
-        gaps, found = f"__gaps{step.rule_id}", f"__found{step.rule_id}"
-        cut = F.split("content", F.lit(step.java), -1)
-        self.df = self.df.withColumn(gaps, F.when(self.applies(step), cut))
-        hit = F.size(gaps) > 1
-        self.df = self.df.withColumns(
-            {
-                found: F.when(hit, F.regexp_extract_all("content", F.lit(step.java), 0)),
-                "content": F.when(hit, F.array_join(gaps, step.rule.replacement)).otherwise(
-                    F.col("content")
-                ),
-            }
-        )
-        return F.when(
-            F.col(found).isNotNull(),
-            F.struct(
-                F.lit(step.rule_id).alias("rule_id"),
-                F.lit(step.rule.type).alias("type"),
-                F.col(found).alias("found"),
-                F.col(gaps).alias("gaps"),
-            ),
-        )
-
-    def fail(self, step: Step) -> None:
-        """Rows an unusable rule would touch become error rows and leave the chain."""
-        gate = self.applies(step)
-        self.df = self.df.withColumn("__bad", gate).withColumns(
-            {
-                "content": F.when(F.col("__bad"), F.lit(step.error)).otherwise(F.col("content")),
-                "status": F.when(F.col("__bad"), F.lit("error")).otherwise(F.col("status")),
-                "__live": F.col("__live") & ~F.col("__bad"),
-            }
-        )
-
-    def stylesheets(self) -> None:
-        blank = (F.col("status") == "text") & F.coalesce(is_stylesheet(), F.lit(False))
-        self.df = self.df.withColumn(
-            "content", F.when(blank, F.lit(STYLESHEET_TEXT)).otherwise(F.col("content"))
-        )
+def _named(step: Step) -> Column:
+    return F.col("path").rlike(step.file_java) if step.file_java else F.lit(True)
 
 
 def rewrite(
@@ -266,37 +208,27 @@ def rewritten(
     counts: bool = False,
     on_bad_pattern: str = "raise",
 ) -> DataFrame:
-    """:func:`rewrite` as bare projections, which keep the order of sorted rows."""
+    """:func:`rewrite` without moving rows, which keeps the order of sorted ones.
+
+    All rules run in one pass over Arrow batches; a text that no rule changes does not come back.
+    Rows that an unusable rule would touch become errors and have no counts.
+    """
     kept = files.columns
-    chain = _Chain(files, prepare(files.sparkSession, rules, on_bad_pattern))
-    counted = []
-    for step in chain.steps:
-        if step.error:
-            chain.fail(step)
-            continue
-        gate = chain.applies(step)
-        if counts:
-            name = f"__n{step.rule_id}"
-            found = F.when(gate, F.regexp_count("content", F.lit(step.java))).otherwise(0)
-            chain.df = chain.df.withColumn(name, found)
-            gate = F.col(name) > 0
-            counted.append(
-                F.when(
-                    gate,
-                    F.struct(
-                        F.lit(step.rule_id).alias("rule_id"),
-                        F.lit(step.rule.type).alias("type"),
-                        F.col(name).cast("bigint").alias("matches"),
-                    ),
-                )
-            )
-        chain.replace(step, gate)
-    chain.stylesheets()
-    if not counts:
-        return chain.df.select(*kept)
-    empty = "array<struct<rule_id:int,type:string,matches:bigint>>"
-    found = F.array_compact(F.array(*counted)) if counted else F.array().cast(empty)
-    return chain.df.select(*kept, found.alias("rule_counts"))
+    steps = prepare(files.sparkSession, rules, on_bad_pattern)
+    bad = [F.when(_live() & _named(s), F.lit(s.error)) for s in steps if s.error]
+    error = F.coalesce(*bad) if bad else F.lit(None).cast("string")
+    done = files.withColumn("__error", error)
+    usable = [s for s in steps if not s.error]
+    text = F.when(_live() & F.col("__error").isNull(), F.col("content"))
+    done = done.withColumn("__done", rewriting(usable, counts)(F.col("path"), text))
+    blank = (F.col("status") == "text") & F.coalesce(is_stylesheet(), F.lit(False))
+    content = F.when(blank, F.lit(STYLESHEET_TEXT)).otherwise(
+        F.coalesce("__error", F.col("__done.content"), "content")
+    )
+    status = F.when(F.col("__error").isNotNull(), "error").otherwise(F.col("status"))
+    changed = {"status": status.alias("status"), "content": content.alias("content")}
+    columns = [changed.get(c, F.col(c)) for c in kept]
+    return done.select(*columns, *([F.col("__done.rule_counts").alias("rule_counts")] if counts else []))
 
 
 def match_counts(files: DataFrame, rules: Iterable[Rule] = DEFAULT_RULES) -> DataFrame:

@@ -87,7 +87,7 @@ def test_counts_and_sample(spark, corpus_of):
     assert {r.status: r.files for r in status_counts(done).collect()} == {
         "text": 6, "oversized": 1, "binary": 1,
     }
-    assert [tuple(r) for r in sample_files(done).orderBy("position").collect()] == [
+    assert [tuple(r) for r in sample_files(corpus_of(files), max_size=5).orderBy("position").collect()] == [
         (0, "a.png", "Binary: [binary skipped]"),
         (1, "d0/f.txt", "Text(0 chars)"),
         (2, "d1/f.txt", "Text(1 chars)"),
