@@ -9,6 +9,7 @@ from .operators.matches import (
     matches_by_line,
     show_matches,
 )
+from .operators.order import in_order, numbered
 from .operators.rules import (
     DEFAULT_RULES,
     EXTENDED_RULES,
@@ -20,8 +21,16 @@ from .operators.rules import (
     rules_from_table,
 )
 from .operators.snapshots import compare_snapshots, resolve_references, select_subpath
-from .operators.tree import directories, tree, tree_lines, tree_order
-from .plans.documents import assemble, document_totals, pieces, section, write_document
+from .operators.tree import directories, tree, tree_lines, tree_order, tree_text
+from .plans.documents import (
+    assemble,
+    document_totals,
+    numbered_pieces,
+    pieces,
+    section,
+    whole_documents,
+    write_document,
+)
 from .plans.ingest import ingest
-from .sources.files import list_files, read_corpus, read_files
+from .sources.files import list_files, read_corpus, read_files, write_files
 from .sources.tables import corpus_from_table

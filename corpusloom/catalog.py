@@ -8,13 +8,15 @@ sources, languages or conversations.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import paths, sizes, specs
 from .functions.languages import fence_language
 from .operators import admit as admission
-from .operators import ignore, matches, rules, snapshots, tree
+from .operators import ignore, matches, order, rules, snapshots, tree
 from .operators.rules import DEFAULT_RULES, EXTENDED_RULES, Rule
 from .plans import documents
 from .sources import files as file_source
@@ -311,12 +313,11 @@ def tree_dirs(spark, sf_dir):
 
 
 def tree_lines(spark, sf_dir):
-    return tree.tree_lines(corpus(spark, sf_dir)).orderBy(*tree.tree_order())
+    return order.in_order(tree.tree_lines(corpus(spark, sf_dir)), tree.tree_order())
 
 
 def path_order(spark, sf_dir):
-    key = paths.path_key("path")
-    return corpus(spark, sf_dir).select("path", "size").orderBy(key)
+    return order.in_order(corpus(spark, sf_dir).select("path", "size"), [paths.path_key("path")])
 
 
 def sample_files(spark, sf_dir):
@@ -348,10 +349,9 @@ def json_records(spark, sf_dir):
 
 
 def _bundles(spark, sf_dir, name):
-    cells = documents.assemble(corpus(spark, sf_dir), "bundle", format=name)
+    cells = documents.whole_documents(corpus(spark, sf_dir), "bundle", format=name)
     return cells.select(
         "bundle",
-        "part",
         sizes.byte_length("document").alias("bytes"),
         F.md5(F.col("document").cast("binary")).alias("digest"),
     )
@@ -370,20 +370,15 @@ def json_bundle(spark, sf_dir):
 
 
 def document_parts(spark, sf_dir):
-    """One document per top directory, far too large for the cell size given, in parts."""
+    """One large document per top directory: every piece with its place."""
     top = F.split_part("path", F.lit("/"), F.lit(1))
     files = corpus(spark, sf_dir).drop("bundle").withColumn("top", top)
-    cells = documents.assemble(files, "top", cell_bytes=1 << 18)
-    return cells.groupBy("top").agg(F.sum(sizes.byte_length("document")).alias("bytes"))
+    placed = documents.numbered_pieces(files, "top")
+    return placed.select("top", "position", F.md5(F.col("piece").cast("binary")).alias("digest"))
 
 
 def tree_text(spark, sf_dir):
-    """The tree of each bundle as one text."""
-    lines = tree.tree_lines(corpus(spark, sf_dir), "bundle")
-    ordered = F.array_sort(F.collect_list(F.struct("path", ~F.col("is_dir"), "line")))
-    return lines.groupBy("bundle").agg(
-        F.array_join(F.transform(ordered, lambda c: c["line"]), "\n").alias("tree")
-    )
+    return tree.tree_text(corpus(spark, sf_dir), "bundle")
 
 
 def bundle_totals(spark, sf_dir):
@@ -394,13 +389,28 @@ def document_totals(spark, sf_dir):
     return documents.document_totals(corpus(spark, sf_dir))
 
 
+def _written_lines(spark, folder, sep="\n"):
+    """Lines of a written document with their places."""
+    held = spark.read.option("lineSep", sep).text(folder).select("value", F.col("_metadata.file_path").alias("file"),
+                                          F.col("_metadata.file_block_start").alias("block"),
+                                          F.monotonically_increasing_id().alias("at"))
+    lines = order.in_order(held, ["file", "block", "at"])
+    return lines.select("position", F.md5(F.col("value").cast("binary")).alias("digest"))
+
+
 def document_sink(spark, sf_dir):
-    """Write the whole corpus as one document and read it back."""
+    """Write the whole corpus as one document and read its lines back."""
     folder = workspace(spark)
     documents.write_document(corpus(spark, sf_dir), folder)
-    return spark.read.text(folder).agg(
-        F.sum(sizes.byte_length("value") + 1).alias("bytes"), F.count("*").alias("lines")
-    )
+    return _written_lines(spark, folder)
+
+
+def json_sink(spark, sf_dir):
+    """Write the whole corpus as one JSON object and read back the tree's lines and all others."""
+    folder = workspace(spark)
+    documents.write_document(corpus(spark, sf_dir), folder, format="json")
+    tree_part = _written_lines(spark, f"{folder}/0-tree", "\\n").withColumn("part", F.lit("tree"))
+    return tree_part.unionByName(_written_lines(spark, f"{folder}/1-files").withColumn("part", F.lit("files")))
 
 
 def source_specs(spark, sf_dir):
@@ -487,26 +497,49 @@ def ignored(spark, sf_dir):
                      "conversations/*/1.json", "pages/**/1?.html", "purchase/", "!*77.txt"))
     )
     first = spark.range(1).select(F.lit("").alias("owner"), F.posexplode(top).alias("n", "line"))
+    machine = spark.createDataFrame([("", "global", 0, "*/de/*9.txt")], "owner string, kind string, n int, line string")
     # Each source takes its Spanish files out and one kind of file back in.
     sources = table(spark, sf_dir, "documents").select("source").distinct()
     per_source = sources.select(
         F.concat(F.lit("docs/"), "source").alias("owner"),
-        F.posexplode(F.array(*map(F.lit, ("es/", "!en/*17.txt", "de/[0-4]*.txt")))).alias("n", "line"),
-    )
-    lines = first.unionByName(per_source).select(
-        "owner", F.lit("gitignore").alias("kind"), F.col("n").alias("line_no"), "line"
+        F.posexplode(F.array(*map(F.lit, ("es/", "!en/*17.txt", "de/[]0-4]*.txt", "fr[", "[9-0].txt")))).alias("n", "line"),
     )
+    own = first.unionByName(per_source).withColumn("kind", F.lit("gitignore"))
+    lines = own.unionByName(machine).withColumnRenamed("n", "line_no")
     return ignore.ignored_files(files, ignore.parse_rules(lines))
 
 
+def unknown_rule_type(spark, sf_dir):
+    """A rule of a type that doesn't exist is skipped."""
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        return _digest(rules.rewrite(_text_corpus(spark, sf_dir), [Rule("mask", "password"), TIMEOUT]))
+
+
+def bad_pattern(spark, sf_dir):
+    """Files that an unusable pattern would touch become error rows."""
+    broken = Rule("redact", "(unclosed", r"\.(cfg|json)$")
+    done = rules.rewrite(_text_corpus(spark, sf_dir), [TIMEOUT, broken], on_bad_pattern="stub")
+    return done.select("path", "status", F.when(F.col("status") != "error", F.md5("content")).alias("digest"))
+
+
+def _as_files(spark, files):
+    folder = workspace(spark)
+    file_source.write_files(files.select("path", F.col("content").cast("binary").alias("raw")), folder)
+    return folder
+
+
 def file_scan(spark, sf_dir):
-    """The folder of the tables itself, as files."""
-    return file_source.list_files(spark, sf_dir, sf_dir).select("path", "size")
+    """Documents written as files, and the folder listed."""
+    folder = _as_files(spark, document_files(spark, sf_dir))
+    return file_source.list_files(spark, folder, folder).select("path", "size")
 
 
 def file_admission(spark, sf_dir):
-    files = file_source.read_corpus(spark, sf_dir, sf_dir)
-    return admission.admit(files).select("path", "size", "status", "reason", "content")
+    """Documents written as files of all kinds of names, read and admitted."""
+    folder = _as_files(spark, named_files(spark, sf_dir))
+    files = admission.admit(file_source.read_corpus(spark, folder, folder, max_size=SMALL), SMALL)
+    return files.select("path", "size", "status", "reason", F.md5(F.col("content").cast("binary")).alias("digest"))
 
 
 QUERIES = {
@@ -519,7 +552,7 @@ QUERIES = {
         match_lines, line_offsets, safe_log, unsafe_log, log_headers, lines_grouped,
         tree_dirs, tree_lines, tree_text, path_order, sample_files, md_sections, xml_sections,
         xml_escaped, json_records, md_bundle, xml_bundle, json_bundle, bundle_totals,
-        document_totals, document_parts, document_sink, source_specs, size_literals, subpath, vcs_dirs,
-        ref_select, snapshot_diff, ignored, file_scan, file_admission,
+        document_totals, document_parts, document_sink, json_sink, source_specs, size_literals, subpath, vcs_dirs,
+        ref_select, snapshot_diff, ignored, unknown_rule_type, bad_pattern, file_scan, file_admission,
     )
 }

@@ -228,7 +228,7 @@ JSON_DOCUMENTS = _documents(
     _lines(JSON_TREE_END.removeprefix('"')), _lines(JSON_END), f"CAST(to_json({TREE_TEXT}) AS VARCHAR)",
 )
 BUNDLES = """
-SELECT bundle, '0' AS part, strlen(document) AS bytes, md5(document) AS digest FROM documents_"""
+SELECT bundle, strlen(document) AS bytes, md5(document) AS digest FROM documents_"""
 
 
 def _totals(by: str, files: str = CORPUS) -> str:
@@ -261,8 +261,9 @@ def _ignored() -> str:
     own = [
         (0, False, True, "^(.*/)?es$"),
         (1, True, False, "^en/[^/]*17\\.txt$"),
-        (2, False, False, "^de/[0-4][^/]*\\.txt$"),
+        (2, False, False, "^de/[]0-4][^/]*\\.txt$"),
     ]
+    machine = [(-1, False, False, "^[^/]*/de/[^/]*9\\.txt$")]
 
     def rows(rules, owner: str, source: str) -> str:
         return " UNION ALL ".join(
@@ -272,7 +273,7 @@ def _ignored() -> str:
         )
 
     return f"""WITH files AS (SELECT path FROM ({CORPUS})),
-rules AS ({rows(top, "''", "")} UNION ALL
+rules AS ({rows(top, "''", "")} UNION ALL {rows(machine, "''", "")} UNION ALL
   {rows(own, "'docs/' || source", "FROM (SELECT DISTINCT source FROM documents)")}),
 nodes AS (SELECT path, array_to_string(parts[1:k], '/') AS node, k < len(parts) AS is_dir
   FROM (SELECT path, string_split(path, '/') AS parts,
@@ -329,6 +330,9 @@ LEFT JOIN refs t ON t.repo = q.repo AND t.name = 'refs/tags/' || reference
 LEFT JOIN refs o ON o.repo = q.repo AND o.name = 'refs/remotes/origin/' || reference
 LEFT JOIN (SELECT DISTINCT repo, md5(repo) AS commit FROM refs) d ON d.repo = q.repo"""
 
+TOPS = f"SELECT *, string_split(path, '/')[1] AS top FROM ({CORPUS})"
+LINES_OF_WHOLE = """SELECT unnest(range(len(lines))) AS position, md5(unnest(lines)) AS digest
+FROM (SELECT string_split(text[:-2], chr(10)) AS lines FROM whole)"""
 ENTITY_RULES = [c.ENTITY, *c.CUSTOM_RULES]
 
 SQL = {
@@ -400,10 +404,11 @@ FROM c0 WHERE reason IN ('stylesheet', 'binary extension')""",
   || (line_offset + 1) || '-' || (line_offset + len) || ']', '; ' ORDER BY start) AS shown
 FROM placed GROUP BY path, rule_id, line_no""",
     "tree_dirs": _ancestors(CORPUS),
-    "tree_lines": _tree(CORPUS),
+    "tree_lines": f"SELECT *, row_number() OVER (ORDER BY path, NOT is_dir) - 1 AS position FROM ({_tree(CORPUS)})",
     "tree_text": f"""SELECT bundle, {TREE_TEXT} AS tree
 FROM ({_tree(CORPUS, "bundle,")}) GROUP BY bundle""",
-    "path_order": f"SELECT path, strlen(content) AS size FROM ({CORPUS}) ORDER BY {FILE_ORDER}",
+    "path_order": f"""SELECT path, strlen(content) AS size, row_number() OVER (ORDER BY {FILE_ORDER}) - 1 AS position
+FROM ({CORPUS})""",
     "sample_files": f"""WITH {_admitted(CORPUS)}
 SELECT CAST(row_number() OVER (ORDER BY {FILE_ORDER}) - 1 AS INTEGER) AS position, path,
   CASE status WHEN 'text' THEN 'Text(' || strlen(content) || ' chars)'
@@ -425,14 +430,24 @@ FROM c0 ORDER BY {FILE_ORDER} LIMIT 5""",
     + "SELECT bundle, files, bytes, (bytes * 13 + 39) // 40 AS tokens FROM totals",
     "document_totals": _totals("")
     + "SELECT files, bytes, (bytes * 13 + 39) // 40 AS tokens FROM totals",
-    "document_parts": _totals("top", f"SELECT *, string_split(path, '/')[1] AS top FROM ({CORPUS})")
-    + "SELECT top, bytes FROM totals",
+    "document_parts": f"""{_rewritten(TOPS)},
+pieces AS (SELECT DISTINCT top, 0 AS rank, [''] AS k, 0 AS leaf, {_lines(MARKDOWN_HEAD)} AS piece FROM done
+  UNION ALL SELECT top, 1, [path], CAST(NOT is_dir AS INTEGER), line || chr(10) FROM ({_tree(TOPS, "top,")})
+  UNION ALL SELECT DISTINCT top, 2, [''], 0, {_lines(MARKDOWN_TREE_END)} FROM done
+  UNION ALL SELECT top, 3, {FILE_ORDER}, 0, {MD_SECTION} FROM done)
+SELECT top, row_number() OVER (PARTITION BY top ORDER BY rank, k, leaf) - 1 AS position, md5(piece) AS digest FROM pieces""",
     "document_sink": f"""{_rewritten(CORPUS)},
-pieces AS (SELECT line || chr(10) AS piece FROM ({_tree(CORPUS)})
-  UNION ALL SELECT {_lines(MARKDOWN_HEAD)} UNION ALL SELECT {_lines(MARKDOWN_TREE_END)}
-  UNION ALL SELECT {MD_SECTION} FROM done)
-SELECT CAST(sum(strlen(piece)) AS BIGINT) AS bytes,
-  CAST(sum(strlen(piece) - strlen(replace(piece, chr(10), ''))) AS BIGINT) AS lines FROM pieces""",
+whole AS (SELECT {_lines(MARKDOWN_HEAD)} || (SELECT {TREE_TEXT} FROM ({_tree(CORPUS)})) || chr(10)
+  || {_lines(MARKDOWN_TREE_END)} || string_agg({MD_SECTION}, '' ORDER BY {FILE_ORDER}) AS text FROM done)
+{LINES_OF_WHOLE}""",
+    "json_sink": f"""{_rewritten(CORPUS)},
+whole AS (SELECT {_lines(JSON_HEAD.removesuffix('"'))} || (SELECT CAST(to_json({TREE_TEXT}) AS VARCHAR) FROM ({_tree(CORPUS)}))
+  || {_lines(JSON_TREE_END.removeprefix('"'))} || string_agg({JSON_SECTION}, {_lines(JSON_BETWEEN)} ORDER BY {FILE_ORDER})
+  || {_lines(JSON_END)} AS text FROM done),
+lines AS (SELECT string_split(text, chr(10)) AS l FROM whole),
+trees AS (SELECT l, string_split(l[1] || chr(10) || l[2], chr(92) || 'n') AS t FROM lines)
+SELECT 'tree' AS part, unnest(range(len(t) - 1)) AS position, md5(unnest(t[:-2])) AS digest FROM trees
+UNION ALL SELECT 'files', unnest(range(len(l) - 1)), md5(unnest([t[-1]] || l[3:])) FROM trees""",
     "source_specs": SPECS,
     "size_literals": """SELECT doc_id, literal, CASE doc_id % 7 WHEN 0 THEN n_chars
   WHEN 1 THEN n_chars * 1024 WHEN 2 THEN n_chars * 1048576 WHEN 3 THEN n_chars * 1073741824 END AS bytes
@@ -450,4 +465,11 @@ SELECT coalesce(b.path, a.path) AS path, CASE WHEN b.path IS NULL THEN 'added'
   WHEN a.path IS NULL THEN 'removed' WHEN a.content = b.content THEN 'same' ELSE 'changed' END AS change
 FROM before b FULL JOIN after a ON a.path = b.path""",
     "ignored": _ignored(),
+    "unknown_rule_type": _rewritten(CORPUS, [c.TIMEOUT]) + DIGEST,
+    "bad_pattern": _rewritten(CORPUS, [c.TIMEOUT])
+    + """SELECT path, CASE WHEN bad THEN 'error' ELSE status END AS status, CASE WHEN NOT bad THEN md5(content) END AS digest
+FROM (SELECT *, status = 'text' AND regexp_matches(path, '\\.(cfg|json)$') AS bad FROM done)""",
+    "file_scan": f"SELECT path, strlen(content) AS size FROM ({DOCS})",
+    "file_admission": f"""WITH {_admitted(NAMED, c.SMALL)} SELECT path, strlen(given) AS size, status, reason,
+  md5(content) AS digest FROM c0""",
 }

@@ -90,7 +90,7 @@ def admitted(files: DataFrame, max_size: str | int = DEFAULT_MAX_SIZE) -> DataFr
         )
         .otherwise(BINARY_STUB)
     )
-    kept = [c for c in names if c not in ("raw", "read_error", "content", "absolute_path")]
+    kept = [c for c in names if c not in ("raw", "read_error", "content", "absolute_path", "raw_path")]
     decided = files.withColumn("reason", reason).withColumn("status", status)
     return decided.select(*kept, "status", "reason", content.alias("content"))
 

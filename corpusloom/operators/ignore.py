@@ -7,63 +7,119 @@ ignored directory can be taken back.
 
 from __future__ import annotations
 
+import logging
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import ancestors, file_name, parent, under_directory
+from ..sources.shipping import ship
+from ._plan import settle
 from .skew import spread_join
 
+ship(__name__)
+
+_log = logging.getLogger(__name__)
+
 # Rule files by name, and how strong each kind is.
 IGNORE_FILE = ".ignore"
 GIT_IGNORE_FILE = ".gitignore"
 GIT_EXCLUDE_FILE = ".git/info/exclude"
 KINDS = {"ignore": 4, "gitignore": 3, "exclude": 2, "global": 1}
 
-# Stand-ins for wildcards while the rest of a pattern is escaped.
-_ANY_DIRS, _INSIDE, _LEADING, _STAR, _ONE = "\x01", "\x02", "\x03", "\x04", "\x05"
-_LITERAL = {"*": "\x06", "?": "\x07", "[": "\x0e", "\\": "\x0f", " ": "\x10", "#": "\x11", "!": "\x12"}
-
-
 def drop_vcs(files: DataFrame) -> DataFrame:
     """Leave out everything below a directory named ``.git``; a file of that name stays."""
     return files.where(~under_directory("path", ".git"))
 
 
+def _class(glob: str, at: int) -> tuple[str, int] | None:
+    """The character class that opens at ``at`` as Java's, and where it ends; None if it isn't one."""
+    i, items, negated = at + 1, [], False
+    if glob[i : i + 1] in ("!", "^"):
+        negated, i = True, i + 1
+    first = i
+    while i < len(glob) and (glob[i] != "]" or i == first):
+        if glob[i] == "\\":
+            i += 1
+            if i == len(glob):
+                return None
+        low, i = glob[i], i + 1
+        if glob[i : i + 1] == "-" and glob[i + 1 : i + 2] not in ("]", ""):
+            i += 1 + (glob[i + 1] == "\\")
+            if i >= len(glob) or glob[i] < low:
+                return None
+            items.append(f"{_literal(low)}-{_literal(glob[i])}")
+            i += 1
+        else:
+            items.append(_literal(low))
+    if i >= len(glob):
+        return None
+    inside = "".join(items)
+    return (f"[^/{inside}]" if negated else f"(?!/)[{inside}]"), i + 1
+
+
+def _literal(char: str) -> str:
+    return char if char.isalnum() or not char.isascii() or char in "/_" else "\\" + char
+
+
+def glob_text(glob: str) -> str | None:
+    """Java's regular expression for a path relative to the rule's directory; None if the glob is no glob."""
+    anchored = "/" in glob.rstrip("/")
+    rest, out = glob.removeprefix("/"), []
+    while rest.startswith("**/"):
+        out, rest = ["(?:.*/)?"], rest[3:]
+    i = 0
+    while i < len(rest):
+        char = rest[i]
+        if rest.startswith("/**/", i):
+            out.append("/(?:.*/)?")
+            i += 4
+            while rest.startswith("**/", i):
+                i += 3
+        elif rest[i:] == "/**":
+            out.append("/.+")
+            i += 3
+        elif char == "*":
+            out.append("[^/]*")
+            while rest[i : i + 1] == "*":
+                i += 1
+        elif char == "[":
+            found = _class(rest, i)
+            if found is None:
+                return None
+            out.append(found[0])
+            i = found[1]
+        elif char == "\\":
+            if i + 1 == len(rest):
+                return None
+            out.append(_literal(rest[i + 1]))
+            i += 2
+        else:
+            out.append("[^/]" if char == "?" else _literal(char))
+            i += 1
+    return rf"(?s)\A{'' if anchored else '(?:.*/)?'}{''.join(out)}\z"
+
+
+def _glob_texts(globs: pa.Array) -> pa.Array:
+    found = [g if g is None else glob_text(g) for g in globs.to_pylist()]
+    for glob, regex in zip(globs.to_pylist(), found, strict=True):
+        if glob is not None and regex is None:
+            _log.warning("ignore rule left out, it is no glob: %s", glob)
+    return pa.array(found, pa.string())
+
+
 def glob_regex(glob: Column) -> Column:
-    """Regular expression for a path relative to the rule's directory."""
-    g = glob
-    for char, mark in _LITERAL.items():
-        g = F.replace(g, F.lit("\\" + char), F.lit(mark))
-    anchored = F.regexp_like(g, F.lit("^/|/[^/]"))
-    g = F.regexp_replace(g, "^/", "")
-    for found, mark in (
-        ("^(?:\\*\\*/)+", _LEADING),
-        ("/(?:\\*\\*/)+", _ANY_DIRS),
-        ("/\\*\\*$", _INSIDE),
-        ("\\*+", _STAR),
-        ("\\?", _ONE),
-    ):
-        g = F.regexp_replace(g, found, mark)
-    g = F.regexp_replace(g, "\\[!", "[^")
-    g = F.regexp_replace(g, "([.+(){}|$])", "\\\\$1")
-    g = F.regexp_replace(g, "(?<!\\[)\\^", "\\\\^")
-    for mark, meaning in (
-        (_LEADING, "(?:.*/)?"),
-        (_ANY_DIRS, "/(?:.*/)?"),
-        (_INSIDE, "/.+"),
-        (_STAR, "[^/]*"),
-        (_ONE, "[^/]"),
-    ):
-        g = F.replace(g, F.lit(mark), F.lit(meaning))
-    for char, mark in _LITERAL.items():
-        g = F.replace(g, F.lit(mark), F.lit(char if char in " #!" else "\\" + char))
-    return F.concat(F.lit(r"(?s)\A"), F.when(anchored, "").otherwise("(?:.*/)?"), g, F.lit(r"\z"))
+    """:func:`glob_text` of a column of globs, as there are few."""
+    return F.arrow_udf(_glob_texts, returnType="string")(glob)
 
 
 def parse_rules(lines: DataFrame) -> DataFrame:
     """Rules from lines ``owner, kind, line_no, line``; blank lines and comments drop out.
 
-    ``owner`` is the directory the rule file lies in, '' at the top.
+    ``owner`` is the directory the rule file lies in, '' at the top. Lines whose glob is broken
+    (a class that isn't closed, a range that runs backwards, a backslash at the end) are left out
+    with a warning in the executor's log.
     """
     text = F.regexp_replace("line", r"\r\z", "")
     text = F.regexp_replace(text, r"(?<!\\) +\z", "")
@@ -78,7 +134,7 @@ def parse_rules(lines: DataFrame) -> DataFrame:
     rank = F.lit(0)
     for kind, strength in KINDS.items():
         rank = F.when(F.col("kind") == kind, strength).otherwise(rank)
-    return rules.where("glob <> ''").select(
+    found = rules.where("glob <> ''").select(
         "owner",
         rank.alias("strength"),
         F.col("line_no").cast("bigint").alias("line_no"),
@@ -86,6 +142,7 @@ def parse_rules(lines: DataFrame) -> DataFrame:
         "dir_only",
         glob_regex(F.col("glob")).alias("regex"),
     )
+    return settle(found, "regex").where("regex is not null")
 
 
 def rules_in_corpus(files: DataFrame) -> DataFrame:
@@ -179,3 +236,12 @@ def _directory_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
     # Files of an ignored directory need no rules, and rules for directories no file.
     for_files = F.filter("__rules", lambda r: ~F.col("__dir_ignored") & ~r["dir_only"])
     return settled.withColumn("__rules", for_files)
+
+
+def in_repositories(rules: DataFrame, repositories: DataFrame) -> DataFrame:
+    """Rules without those of version control that lie in no repository (``owner``: its top directory)."""
+    above = F.concat(F.array(F.lit("")), ancestors("owner"), F.array("owner"))
+    tops = repositories.select(F.col("owner").alias("__top")).distinct()
+    placed = rules.where(F.col("strength") != KINDS["ignore"]).withColumn("__top", F.explode(F.array_distinct(above)))
+    own = placed.join(tops, "__top", "left_semi").drop("__top").distinct()
+    return rules.where(F.col("strength") == KINDS["ignore"]).unionByName(own)

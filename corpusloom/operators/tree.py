@@ -77,3 +77,16 @@ def tree_lines(files: DataFrame, by: str | None = None) -> DataFrame:
         F.lit(ROOT_LINE).alias("line"),
     )
     return root.unionByName(rows)
+
+
+def tree_text(files: DataFrame, by: str, order: str = "path") -> DataFrame:
+    """``by, tree``: the tree of each ``by`` as one text, lines parted by line feeds.
+
+    For trees that fit into a cell; :func:`tree_lines` gives the lines of any.
+    """
+    [key, _] = tree_order(order)
+    cell = F.struct(key.alias("key"), (~F.col("is_dir")).alias("leaf"), "line")
+    ordered = F.array_sort(F.collect_list(cell))
+    return tree_lines(files, by).groupBy(by).agg(
+        F.array_join(F.transform(ordered, lambda c: c["line"]), "\n").alias("tree")
+    )

@@ -2,15 +2,18 @@
 
 A document is a set of *pieces*, rows of text that concatenate to it in order.
 Pieces are sorted over the whole cluster and written as they are, so no
-document has to fit into one task; only documents known to be small are ever
-put into one cell.
+document has to fit into one task. A document as rows is always ordered parts;
+:func:`whole_documents` puts them into one cell, and fails if one doesn't fit.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,12 +21,12 @@ from ..functions.languages import fence_language
 from ..functions.paths import path_key
 from ..functions.sizes import byte_length, token_estimate
 from ..operators.admit import DEFAULT_MAX_SIZE, admitted, worth_reading
+from ..operators.order import numbered
 from ..operators.rules import DEFAULT_RULES, Rule, rewritten
 from ..operators.tree import ROOT_LINE, tree_lines, tree_order
 from ..operators.tree import tree as tree_rows
 from ..sources.files import read_in_place, reading_tasks
 from ..sources.shipping import ship
-from ..sources.workspace import workspace
 
 ship(__name__)
 
@@ -37,8 +40,7 @@ JSON_TREE_END = '",\n  "files": [\n    '
 JSON_BETWEEN = ",\n    "
 JSON_END = "\n  ]\n}"
 
-# A task puts together up to 128 documents before it starts to spill, and rules can
-# make texts longer, so a cell is kept far below what Spark could hold.
+# Bytes of a part, and the largest document that is put into one cell.
 CELL_BYTES = 16 << 20
 _HEAD, _TREE, _TREE_END, _FILE, _END = range(5)
 
@@ -120,13 +122,7 @@ class _Json(_Markdown):
         )
 
 
-class _JsonLines(_Json):
-    def section(self) -> Column:
-        return F.concat(json_record(), F.lit("\n"))
-
-
-# Unlike the others, json-lines is no document: its pieces are for a text file of records.
-FORMATS = {"md": _Markdown, "json": _Json, "xml": _Xml, "json-lines": _JsonLines}
+FORMATS = {"md": _Markdown, "json": _Json, "xml": _Xml}
 
 
 def _format(name: str, escape: bool = False):
@@ -194,7 +190,7 @@ def pieces(
         {"rank": F.lit(_FILE), "key": path_key("path"), "tie": F.lit(0)}
     )
     if firsts is not None:
-        body = body.join(F.broadcast(firsts), by)
+        body = body.join(firsts, by)
     rows = branches.unionByName(frame).unionByName(body, allowMissingColumns=True)
     order = [*keys, "rank", "key", "tie"]
     if ordered and listing:
@@ -215,15 +211,16 @@ def pieces(
 
 def _payload(corpus: DataFrame) -> list[str]:
     if "absolute_path" in corpus.columns:
-        return ["absolute_path"]
+        return [c for c in ("absolute_path", "raw_path") if c in corpus.columns]
     return [c for c in ("raw", "content", "read_error") if c in corpus.columns]
 
 
 def write_document(corpus: DataFrame, path: str, *, by: str | None = None, **options) -> None:
-    """Write Markdown or XML: the part files of a folder, in name order, are the document.
+    """Write a document: the part files of a folder, in name order, are the document.
 
-    With ``by`` there is one folder per value. JSON goes out as one record per
-    line under ``files``, with the tree under ``directory_tree``.
+    With ``by`` there is one folder per value. JSON is one object as well: its beginning and all
+    but the last line of the tree are under ``0-tree``, the rest under ``1-files``, and the part
+    files of both folders, in name order, are the object.
     """
     keys = [by] if by else []
     if options.get("format") == "json":
@@ -243,16 +240,46 @@ def _without_line_end(piece: str) -> Column:
 
 
 def _write_json(corpus: DataFrame, path: str, by: str | None, options: dict) -> None:
+    """Lines of the tree are parted by an escaped line feed, which is what stands in the string.
+
+    The text writer puts it behind every row, so the last line goes with the rows after it.
+    """
     keys = [by] if by else []
-    rows = pieces(corpus, by=by, **{**options, "format": "json-lines"})
+    order = tree_order(options.get("tree", "path"))
+    names = corpus.select(*keys, "path")
+    place = F.struct(order[0].alias("key"), (~F.col("is_dir")).alias("leaf"))
+    text = F.concat(F.when(F.col("path") == "", JSON_HEAD).otherwise(""), _json_string(F.col("line"), quotes=False))
+    lines = tree_lines(names, by).select(*keys, place.alias("place"), text.alias("value"))
+    last_line = lines.groupBy(*keys).agg(F.max_by(F.struct("place", "value"), "place").alias("last_line"))
+    last_file = names.groupBy(*keys).agg(F.max(path_key("path")).alias("last_file"))
+
+    def told(rows: DataFrame, one: DataFrame) -> DataFrame:
+        """Rows with what is known of their document: one row per document, or a constant."""
+        if by:
+            return rows.join(one, by, "left")
+        [row] = one.collect()
+        return rows.withColumn(one.columns[0], F.lit(row[0]) if not isinstance(row[0], tuple) else _constant(one, row[0]))
+
+    upper = told(lines, last_line).where("place != last_line.place")
+    upper = upper.orderBy(*keys, "place").select(*keys, "value")
+    rows = told(told(pieces(corpus, by=by, **options), last_line), last_file)
+    rows = rows.where(F.col("rank") >= _TREE_END)
+    comma = F.when(F.col("key") != F.col("last_file"), ",").otherwise("")
+    value = (
+        F.when(F.col("rank") == _TREE_END, F.concat("last_line.value", F.lit('",\n  "files": [')))
+        .when(F.col("rank") == _FILE, F.concat(F.lit("    "), "piece", comma))
+        .otherwise(JSON_END.removeprefix("\n"))
+    )
     if by:
         rows = rows.sortWithinPartitions(by, "rank", "key", "tie")
-    records = rows.where(F.col("rank") == _FILE).select(*keys, _without_line_end("piece"))
-    names = corpus.select(*keys, "path")
-    order = [*keys, *tree_order(options.get("tree", "path"))]
-    lines = tree_lines(names, by).orderBy(*order).select(*keys, F.col("line").alias("value"))
-    for rows, name in ((records, "files"), (lines, "directory_tree")):
-        (rows.write.partitionBy(by) if by else rows.write).text(f"{path}/{name}")
+    rows = rows.select(*keys, value.alias("value"))
+    for part, name, sep in ((upper, "0-tree", "\\n"), (rows, "1-files", "\n")):
+        (part.write.partitionBy(by) if by else part.write).option("lineSep", sep).text(f"{path}/{name}")
+
+
+def _constant(one: DataFrame, row) -> Column:
+    kind = one.schema[0].dataType.simpleString()
+    return F.from_json(F.lit(json.dumps(row.asDict(True), ensure_ascii=False)), F.lit(kind))
 
 
 def document_totals(corpus: DataFrame, *, by: str | None = None, **options) -> DataFrame:
@@ -270,77 +297,66 @@ def document_totals(corpus: DataFrame, *, by: str | None = None, **options) -> D
 
 
 def _cut(batches: Iterable[pa.RecordBatch], by: str, limit: int) -> Iterator[pa.RecordBatch]:
-    """Join consecutive pieces of one document into cells of about ``limit`` bytes."""
-    schema = pa.schema([(by, pa.string()), ("part", pa.string()), ("document", pa.string())])
-    held: list[str] = []
-    name = part = None
-    size = 0
-
-    def cell() -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict(
-            {by: [name], "part": [part], "document": ["".join(held)]}, schema=schema
-        )
+    """Join consecutive pieces of one document into cells of about ``limit`` bytes.
 
+    A batch's pieces are cut where the document changes or a further ``limit`` is full.
+    """
     for batch in batches:
-        for row_name, row_part, piece in zip(*(c.to_pylist() for c in batch.columns)):
-            if held and (row_name != name or size >= limit):
-                yield cell()
-                held, size = [], 0
-            if not held:
-                name, part = row_name, row_part
-            held.append(piece)
-            size += len(piece.encode())
-    if held:
-        yield cell()
+        names, texts = batch.column(0), batch.column(1)
+        if not len(names):
+            continue
+        fresh = np.ones(len(names), bool)
+        fresh[1:] = pc.not_equal(names.slice(1), names.slice(0, len(names) - 1)).to_numpy(zero_copy_only=False)
+        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(sizes)
+        begins = ends - sizes
+        run = np.cumsum(fresh) - 1
+        full = (begins - begins[np.flatnonzero(fresh)][run]) // limit
+        fresh[1:] |= full[1:] != full[:-1]
+        bounds = np.append(np.flatnonzero(fresh), len(names))
+        cells = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), texts), "")
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(bounds[:-1])), cells], [by, "document"])
+
+
+def _pieces_in_order(corpus: DataFrame, by: str, options: dict) -> DataFrame:
+    """``by, piece`` of whole documents, commas included, sorted over the cluster."""
+    between = _format(options.get("format", "md")).between
+    first = corpus.groupBy(by).agg(F.min(path_key("path")).alias("first")) if between else None
+    text = pieces(corpus, by=by, firsts=first, **options)
+    return text.select(F.col(by).cast("string").alias(by), "piece")
+
+
+def numbered_pieces(corpus: DataFrame, by: str, **options) -> DataFrame:
+    """``by, piece, position``: the pieces of each document, numbered from 0."""
+    return numbered(_pieces_in_order(corpus, by, options), by)
 
 
 def assemble(
     corpus: DataFrame, by: str, *, cell_bytes: int = CELL_BYTES, **options
 ) -> DataFrame:
-    """``by, part, document``: the text of each document.
+    """``by, part, document``: the text of each document, in parts numbered from 0.
 
-    A document whose files come to at most ``cell_bytes`` is one row with part
-    ``0``. A larger one is cut: its parts, ordered by ``part``, concatenate to
-    the document, and no task ever holds more than a part of it.
+    Parts are cut from pieces sorted over the cluster once they hold ``cell_bytes`` of rewritten
+    text; ordered by ``part`` they concatenate to the document. No task holds more than a batch of
+    pieces, and a document has as many parts as it needs, whatever its size.
     """
-    weight = F.col("size") + 4 * byte_length("path") + 256
-    weights = corpus.groupBy(by).agg(F.sum(weight).alias("weight"))
-    # The weights are worked out once; most corpora turn out to have no large document.
-    folder = workspace(corpus.sparkSession)
-    weights.where(F.col("weight") > cell_bytes).select(by).write.parquet(folder)
-    large = corpus.sparkSession.read.schema(weights.select(by).schema).parquet(folder)
-    if large.isEmpty():
-        return _whole(corpus, by, options)
-    # At most (bytes of the corpus / cell_bytes) rows: safe to broadcast.
-    large = F.broadcast(large)
-    small = _whole(corpus.join(large, by, "left_anti"), by, options)
-    return small.unionByName(_in_parts(corpus.join(large, by, "left_semi"), by, cell_bytes, options))
-
-
-def _whole(corpus: DataFrame, by: str, options: dict) -> DataFrame:
-    """One cell per document, for documents of bounded size."""
-    between = _format(options.get("format", "md")).between
-    small = pieces(corpus, by=by, ordered=False, **options)
-    cells = F.array_sort(F.collect_list(F.struct("rank", "key", "tie", "piece")))
-    whole = small.groupBy(F.col(by).cast("string").alias(by)).agg(cells.alias("cells"))
-
-    def joined(cell: Column, at: Column) -> Column:
-        follows = (cell["rank"] == _FILE) & (F.col("cells")[at - 1]["rank"] == _FILE)
-        return F.concat(F.when(follows, between).otherwise(""), cell["piece"])
-
-    texts = F.transform("cells", joined) if between else F.col("cells.piece")
-    return whole.select(by, F.lit("0").alias("part"), F.array_join(texts, "").alias("document"))
+    text = _pieces_in_order(corpus, by, options)
+    cells = text.mapInArrow(
+        lambda batches: _cut(batches, by, cell_bytes), f"{by} string, document string"
+    )
+    parts = numbered(cells, by, "part")
+    return parts.select(by, "part", "document")
 
 
-def _in_parts(corpus: DataFrame, by: str, cell_bytes: int, options: dict) -> DataFrame:
-    """Documents cut into cells, from pieces sorted over the cluster."""
-    between = _format(options.get("format", "md")).between
-    # One row per large document, so no more than there are of those.
-    first = corpus.groupBy(by).agg(F.min(path_key("path")).alias("first")) if between else None
-    text = pieces(corpus, by=by, firsts=first, **options)
-    text = text.select(
-        F.col(by).cast("string").alias(by), F.concat("rank", "key").alias("part"), "piece"
-    )
-    return text.mapInArrow(
-        lambda batches: _cut(batches, by, cell_bytes), f"{by} string, part string, document string"
-    )
+def whole_documents(
+    corpus: DataFrame, by: str, *, limit: int = CELL_BYTES, **options
+) -> DataFrame:
+    """``by, document``: each document as one cell. Raises if one has more than ``limit`` bytes."""
+    parts = assemble(corpus, by, cell_bytes=limit, **options)
+    sizes = parts.groupBy(by).agg(F.sum(byte_length("document")).alias("bytes"))
+    large = sizes.where(F.col("bytes") > limit).first()
+    if large:
+        raise ValueError(f"document {large[by]!r} has {large['bytes']} bytes, more than {limit}")
+    cells = F.array_sort(F.collect_list(F.struct("part", "document")))
+    joined = F.array_join(F.transform(cells, lambda c: c["document"]), "")
+    return parts.groupBy(by).agg(joined.alias("document"))

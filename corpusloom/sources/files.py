@@ -23,6 +23,8 @@ from ..operators.ignore import (
     GIT_IGNORE_FILE,
     IGNORE_FILE,
     drop_ignored,
+    in_repositories,
+    parse_rules,
     rules_in_corpus,
 )
 from .shipping import ship
@@ -32,15 +34,24 @@ ship(__name__)
 
 _log = logging.getLogger(__name__)
 
-_LISTED = "absolute_path string, is_dir boolean, size bigint"
+_LISTED = "absolute_path string, raw_path binary, is_dir boolean, size bigint"
+#: The size of a row that only says: this directory is the top of a repository.
+_REPOSITORY = -1
 _BATCH_ROWS = 10_000
 _BATCH_BYTES = 32 << 20
 _TASK_BYTES = 128 << 20
 
 
-def _text(name: str) -> str:
-    """A name as valid text; undecodable bytes become replacement marks."""
-    return os.fsencode(name).decode("utf-8", "replace")
+def _names(name: str) -> tuple[str, bytes | None]:
+    """A name as valid text, undecodable bytes as replacement marks, and its bytes if that changed it."""
+    raw = os.fsencode(name)
+    text = raw.decode("utf-8", "replace")
+    return text, raw if text.encode() != raw else None
+
+
+def _opened(path: str | None, raw: bytes | None) -> str | None:
+    """The name to open: the bytes where the text is not the name."""
+    return path if raw is None else os.fsdecode(raw)
 
 
 def _entry(path: str, is_link: bool) -> tuple[str, bool, int] | None:
@@ -86,7 +97,7 @@ def _children(directory: str) -> Iterator[tuple[str, bool, int]]:
 
 def _list(batches: Iterable[pa.RecordBatch], ignore_git: bool) -> Iterator[pa.RecordBatch]:
     schema = pa.schema(
-        [("absolute_path", pa.string()), ("is_dir", pa.bool_()), ("size", pa.int64())]
+        [("absolute_path", pa.string()), ("raw_path", pa.binary()), ("is_dir", pa.bool_()), ("size", pa.int64())]
     )
 
     def batch(rows: list) -> pa.RecordBatch:
@@ -96,16 +107,19 @@ def _list(batches: Iterable[pa.RecordBatch], ignore_git: bool) -> Iterator[pa.Re
 
     rows: list = []
     for directories in batches:
-        for directory in directories.column(0).to_pylist():
+        for name, raw in zip(*(c.to_pylist() for c in directories.columns)):
+            directory = _opened(name, raw)
             try:
                 for path, is_dir, size in _children(directory):
+                    if ignore_git and os.path.basename(path) == ".git":
+                        rows.append((*_names(directory), False, _REPOSITORY))
                     if is_dir and ignore_git and os.path.basename(path) == ".git":
                         # Not entered, but for the one rule file it may hold.
                         path, is_dir = os.path.join(directory, GIT_EXCLUDE_FILE), False
                         if "://" in path or not os.path.isfile(path):
                             continue
                         size = os.path.getsize(path)
-                    rows.append((_text(path), is_dir, size))
+                    rows.append((*_names(path), is_dir, size))
                     if len(rows) >= _BATCH_ROWS:
                         yield batch(rows)
                         rows = []
@@ -126,56 +140,110 @@ def _walk(spark: SparkSession, source: str, ignore_git: bool) -> DataFrame:
     """
     folder = workspace(spark)
     tasks = spark.sparkContext.defaultParallelism
-    level = spark.createDataFrame([(source,)], "absolute_path string")
+    level = spark.createDataFrame([_names(source)], "absolute_path string, raw_path binary")
     levels = []
     while True:
         levels.append(f"{folder}/level={len(levels)}")
         spread = level.repartition(tasks, "absolute_path") if len(levels) > 1 else level
         spread.mapInArrow(lambda b: _list(b, ignore_git), _LISTED).write.parquet(levels[-1])
-        level = spark.read.parquet(levels[-1]).where("is_dir").select("absolute_path")
+        level = spark.read.parquet(levels[-1]).where("is_dir").select("absolute_path", "raw_path")
         if level.isEmpty():
             break
     found = spark.read.schema(_LISTED).parquet(*levels)
-    return found.where("not is_dir").select("absolute_path", "size")
+    return found.where("not is_dir").select("absolute_path", "raw_path", "size")
+
+
+def _rules_above(root: str) -> tuple[str, list[tuple[str, str, str]], bool]:
+    """The topmost directory above a source whose rule files reach it, their (owner, kind, text),
+    and whether the source lies in a repository. Rule files of version control count up to its top."""
+    if "://" in root:
+        return root, [], False
+    found, at = [], os.path.abspath(root)
+    top = at
+    in_repository = os.path.exists(os.path.join(at, ".git"))
+    beyond = in_repository
+    while at != os.path.dirname(at):
+        at = os.path.dirname(at)
+        for name, kind in ((IGNORE_FILE, "ignore"), (GIT_IGNORE_FILE, "gitignore")):
+            path = os.path.join(at, name)
+            if os.path.isfile(path) and not (beyond and kind == "gitignore"):
+                with open(path, encoding="utf-8", errors="replace") as f:
+                    found.append((at, kind, f.read()))
+        if os.path.exists(os.path.join(at, ".git")):
+            in_repository = beyond = True
+    found = [r for r in found if in_repository or r[1] == "ignore"]
+    top = min((r[0] for r in found), key=len, default=top)
+    owners = [os.path.relpath(a, top) for a, _, _ in found]
+    return top, [("" if o == "." else o, k, t) for o, (_, k, t) in zip(owners, found)], in_repository
 
 
 def list_files(
-    spark: SparkSession, source: str, base: str | None = None, *, ignore_git: bool = True
+    spark: SparkSession,
+    source: str,
+    base: str | None = None,
+    *,
+    ignore_git: bool = True,
+    global_rules: str | None = None,
 ) -> DataFrame:
-    """``path, absolute_path, size`` of every file at or below ``source``.
+    """``path, absolute_path, raw_path, size`` of every file at or below ``source``.
 
-    ``path`` is relative to ``base`` when one is given. With ``ignore_git``
-    directories named ``.git`` are not entered and ignore files are obeyed.
+    ``path`` is relative to ``base`` when one is given. With ``ignore_git`` directories named
+    ``.git`` are not entered and ignore files are obeyed: ``.ignore`` anywhere, those of version
+    control (and the file ``global_rules``) inside repositories, and those of the directories above
+    the source as well. ``raw_path`` is a name that is no valid text, in bytes, to open it by.
     """
     is_dir, size = _kind(source)
     if not is_dir:
-        row = [(_text(source), size)]
-        listed = spark.createDataFrame(row, "absolute_path string, size bigint")
+        row = [(*_names(source), size)]
+        listed = spark.createDataFrame(row, "absolute_path string, raw_path binary, size bigint")
         return _named(listed, base)
     root = source.rstrip("/") or "/"
     listed = _walk(spark, root, ignore_git)
     if not ignore_git:
         return _named(listed, base)
 
-    # Ignore rules apply to paths below the source, whatever base they show.
-    below = listed.withColumn("path", relative_to("absolute_path", root))
+    # Ignore rules apply to paths below the topmost directory that has any, whatever base they show.
+    top, above, in_repository = _rules_above(root)
+    if above:
+        from_top = os.path.relpath(os.path.abspath(root), top)
+        below = listed.withColumn("path", F.concat_ws("/", F.lit(from_top), relative_to("absolute_path", root)))
+    else:
+        below = listed.withColumn("path", relative_to("absolute_path", root))
+    repositories = below.where(F.col("size") == _REPOSITORY).select(F.col("path").alias("owner"))
+    if in_repository:
+        repositories = spark.createDataFrame([("",)], "owner string")
+    below = below.where(F.col("size") != _REPOSITORY)
     rule_file = F.regexp_like(
         "path", F.lit(rf"(^|/)(\{IGNORE_FILE}|\{GIT_IGNORE_FILE}|\{GIT_EXCLUDE_FILE})\z")
     )
     held = read_files(below.where(rule_file))
     rules = rules_in_corpus(held.select("path", F.col("raw").cast("string").alias("content")))
+    given = [(o, k, n, line) for o, k, text in above for n, line in enumerate(text.split("\n"))]
+    if global_rules:
+        with open(global_rules, encoding="utf-8", errors="replace") as f:
+            given += [("", "global", n, line) for n, line in enumerate(f.read().split("\n"))]
+    if given:
+        lines = spark.createDataFrame(given, "owner string, kind string, line_no int, line string")
+        rules = rules.unionByName(parse_rules(lines))
+    rules = in_repositories(rules, repositories)
     folder = workspace(spark)
     rules.write.parquet(folder)
     rules = spark.read.schema(rules.schema).parquet(folder)
     visible = below.where(~F.endswith("path", F.lit(GIT_EXCLUDE_FILE)))
     if rules.isEmpty():
         return _named(visible.drop("path"), base)
-    return _named(drop_ignored(visible, rules).drop("path"), base)
+    # Written once: what reads the listing, and counts it, shouldn't join again.
+    folder = workspace(spark)
+    kept = drop_ignored(visible, rules).drop("path")
+    kept.write.parquet(folder)
+    return _named(spark.read.schema(kept.schema).parquet(folder), base)
 
 
 def _named(listed: DataFrame, base: str | None) -> DataFrame:
     shown = relative_to("absolute_path", base) if base else F.col("absolute_path")
-    return listed.select(normalize_path(shown).alias("path"), "absolute_path", "size")
+    return listed.where(F.col("size") != _REPOSITORY).select(
+        normalize_path(shown).alias("path"), "absolute_path", "raw_path", "size"
+    )
 
 
 def _fetch(path: str) -> bytes:
@@ -198,6 +266,9 @@ def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         paths = batch.column(batch.schema.get_field_index("absolute_path")).to_pylist()
+        if "raw_path" in batch.schema.names:
+            raws = batch.column(batch.schema.get_field_index("raw_path")).to_pylist()
+            paths = [p if p is None else _opened(p, r) for p, r in zip(paths, raws)]
         start, held, raw, errors = 0, 0, [], []
         for at, path in enumerate(paths):
             data = error = None
@@ -251,7 +322,7 @@ def read_corpus(
     """
     listed = list_files(spark, source, base, ignore_git=ignore_git)
     wanted = worth_reading(max_size)
-    read = read_files(listed.where(wanted)).drop("absolute_path")
+    read = read_files(listed.where(wanted)).drop("absolute_path", "raw_path")
     unread = listed.where(~wanted).select(
         "path",
         "size",
@@ -259,3 +330,28 @@ def read_corpus(
         F.lit(None).cast("string").alias("read_error"),
     )
     return read.unionByName(unread)
+
+
+def write_files(files: DataFrame, folder: str) -> int:
+    """Write ``path, raw`` rows as files below a folder that all executors share; how many there were.
+
+    Each task writes its rows; writing one again, after a lost task, gives the same file.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, inner = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        made: set = set()
+        for batch in batches:
+            for path, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                directory = os.path.dirname(f"{inner}/{path}")
+                if directory not in made:
+                    system.create_dir(directory, recursive=True)
+                    made.add(directory)
+                with system.open_output_stream(f"{inner}/{path}", compression=None) as out:
+                    out.write(raw or b"")
+            yield pa.RecordBatch.from_pydict({"n": [len(batch)]})
+
+    written = files.select("path", F.col("raw").cast("binary")).mapInArrow(run, "n bigint")
+    return written.agg(F.sum("n")).first()[0] or 0

@@ -4,8 +4,16 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators.rules import REDACTED
-from corpusloom.plans.documents import assemble, document_totals, pieces, section, write_document
+from corpusloom.operators.rules import REDACTED, Rule
+from corpusloom.plans.documents import (
+    assemble,
+    document_totals,
+    numbered_pieces,
+    pieces,
+    section,
+    whole_documents,
+    write_document,
+)
 
 FILES = {
     "src/main.rs": 'fn main() {\n    println!("Hello");\n}',
@@ -177,9 +185,36 @@ def test_written_document(bundles, corpus_of, tmp_path):
     write_document(bundles, str(tmp_path / "xml"), by="bundle", format="xml", max_size=99)
     assert read(tmp_path / "xml" / "bundle=one") == XML
     write_document(bundles, str(tmp_path / "json"), by="bundle", format="json", max_size=99)
-    records = read(tmp_path / "json" / "files" / "bundle=one").splitlines()
-    assert [json.loads(r) for r in records] == RECORDS
-    assert read(tmp_path / "json" / "directory_tree" / "bundle=one") == TREE + "\n"
+    text = read(tmp_path / "json" / "0-tree" / "bundle=one") + read(tmp_path / "json" / "1-files" / "bundle=one")
+    expected = [{"content": r["content"], "path": r["path"]} for r in RECORDS]
+    whole = json.dumps({"directory_tree": TREE, "files": expected}, indent=2, ensure_ascii=False)
+    assert text == whole + "\n"
+    write_document(corpus_of(FILES), str(tmp_path / "one"), format="json", max_size=99)
+    assert read(tmp_path / "one" / "0-tree") + read(tmp_path / "one" / "1-files") == whole + "\n"
+    write_document(corpus_of({"a": "x"}).limit(0), str(tmp_path / "none"), format="json")
+    text = read(tmp_path / "none" / "0-tree") + read(tmp_path / "none" / "1-files")
+    assert json.loads(text) == {"directory_tree": "+ .", "files": []}
+
+
+def test_parts_are_numbered_and_whole_documents_must_fit(bundles):
+    parts = assemble(bundles, "bundle", max_size=99, cell_bytes=150)
+    assert dict(parts.dtypes)["part"] == "bigint"
+    numbers = sorted(r.part for r in parts.where("bundle = 'one'").collect())
+    assert numbers == [*range(len(numbers))] and len(numbers) > 2
+    placed = numbered_pieces(bundles, "bundle", max_size=99).where("bundle = 'one'").orderBy("position").collect()
+    assert "".join(r.piece for r in placed) == MARKDOWN
+    assert [r.position for r in placed] == [*range(len(placed))]
+    whole = {r.bundle: r.document for r in whole_documents(bundles, "bundle", max_size=99).collect()}
+    assert whole["one"] == MARKDOWN
+    with pytest.raises(ValueError, match="'one' has"):
+        whole_documents(bundles, "bundle", max_size=99, limit=300)
+
+
+def test_rules_that_make_texts_longer_make_more_parts(corpus_of):
+    """Parts go by rewritten bytes: a match of one byte becomes twenty."""
+    files = corpus_of({f"f{i:03}": "a" * 200 for i in range(200)}).withColumn("bundle", F.lit("x"))
+    parts = assemble(files, "bundle", rules=[Rule("redact", "a")], cell_bytes=30_000).collect()
+    assert len(parts) > 20 and max(len(r.document.encode()) for r in parts) < 40_000
 
 
 @pytest.fixture
@@ -228,5 +263,5 @@ def test_escaped_xml(spark):
 def test_rules_run_after_the_sort(corpus_of):
     """The sort samples its input, so the rules belong above it."""
     plan = pieces(corpus_of(FILES))._jdf.queryExecution().executedPlan().toString()
-    assert plan.index("regexp_replace") < plan.index("rangepartitioning")
-    assert "regexp_replace(content" not in plan[plan.index("rangepartitioning") :]
+    assert plan.index("ArrowEvalPython") < plan.index("rangepartitioning")
+    assert "ArrowEvalPython" not in plan[plan.index("rangepartitioning") :]

@@ -119,3 +119,42 @@ def test_corpus_from_table(spark):
     assert corpus_from_table(table, "p", "t", "k").first().asDict() == {
         "k": 7, "path": "a/b.txt", "content": "é", "size": 2,
     }
+
+
+def put(top, files):
+    for name, text in files.items():
+        path = top / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(text)
+    return top
+
+
+def test_git_rules_only_in_repositories(spark, tmp_path):
+    top = put(tmp_path / "t", {".gitignore": "*.txt", "a.txt": "", "b.md": "", "r/.git/x": "", "r/.gitignore": "*.md", "r/c.md": "",
+                               "r/d.txt": "", ".ignore": "*.tmp", "e.tmp": ""})
+    got = {r.path for r in list_files(spark, str(top), str(top)).collect()}
+    assert got == {".gitignore", ".ignore", "a.txt", "b.md", "r/.gitignore", "r/d.txt"}
+
+
+def test_rules_above_the_source_and_a_global_file(spark, tmp_path):
+    top = put(tmp_path / "t", {".git/x": "", ".gitignore": "*.log\n/deep/src/one", "deep/src/a.log": "", "deep/src/one": "", "deep/src/two": "",
+                               "deep/src/x.bak": "", "deep/src/foo[": ""})
+    put(tmp_path, {"rules": "*.bak\nfoo["})
+    source = str(top / "deep/src")
+    got = {r.path for r in list_files(spark, source, source, global_rules=str(tmp_path / "rules")).collect()}
+    assert got == {"two", "foo["}
+    put(tmp_path, {".ignore": "two"})
+    assert {r.path for r in list_files(spark, source, source).collect()} == {"x.bak", "foo["}
+
+
+def test_names_that_are_no_text(spark, tmp_path):
+    folder = os.fsencode(tmp_path) + b"/caf\xe9"
+    os.makedirs(folder + b"/sub\xff")
+    for name in (b"/a.txt", b"/\xfe.txt", b"/sub\xff/b.txt"):
+        with open(folder + name, "wb") as f:
+            f.write(name)
+    rows = read_corpus(spark, str(tmp_path), str(tmp_path)).collect()
+    assert {r.path: bytes(r.raw) for r in rows} == {
+        "caf\ufffd/a.txt": b"/a.txt", "caf\ufffd/\ufffd.txt": b"/\xfe.txt", "caf\ufffd/sub\ufffd/b.txt": b"/sub\xff/b.txt",
+    }
+    assert all(r.read_error is None for r in rows)

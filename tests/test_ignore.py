@@ -1,7 +1,15 @@
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators.ignore import drop_ignored, drop_vcs, ignored_files, parse_rules, rules_in_corpus
+from corpusloom.operators.ignore import (
+    drop_ignored,
+    drop_vcs,
+    ignored_files,
+    in_repositories,
+    parse_rules,
+    rules_in_corpus,
+)
+from corpusloom.operators.skew import salt, spread_join
 
 
 def rules_of(spark, lines):
@@ -43,6 +51,13 @@ CASES = [
     ("dir/*", ["dir/x", "dir/sub/y"], ["x", "dir2/x"]),
     ("a**b", ["ab", "axxb"], ["a/b"]),
     ("x\r", ["x"], ["y"]),
+    ("[]a]b", ["]b", "ab"], ["b"]),
+    ("[^a]b", ["xb"], ["ab", "/b"]),
+    ("[a^]b", ["^b", "ab"], ["xb"]),
+    ("[a\\]]b", ["]b", "ab"], ["xb"]),
+    ("[&&[]b", ["&b", "[b"], ["xb"]),
+    ("a[/]b", [], ["a/b"]),
+    ("foo[\n[z-a].txt\nx\\\n*.log", ["a.log"], ["foo[", "foo", "z.txt", "a.txt", "x", "x\\"]),
 ]
 
 
@@ -102,3 +117,21 @@ def test_a_directory_with_most_files_is_spread(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_rules_of_version_control_need_a_repository(spark):
+    rules = rules_of(spark, [("", "gitignore", "a"), ("r", "gitignore", "b"), ("r/s", "exclude", "c"), ("", "ignore", "d")])
+    tops = spark.createDataFrame([("r",)], "owner string")
+    left = in_repositories(rules, tops)
+    assert {(r.owner, r.strength) for r in left.collect()} == {("r", 3), ("r/s", 2), ("", 4)}
+    everywhere = in_repositories(rules, spark.createDataFrame([("",)], "owner string"))
+    assert everywhere.count() == 4
+
+
+def test_a_key_of_equal_rows_uses_all_salts(spark):
+    """100,000 equal requests, whatever the hash of the row."""
+    rows = spark.range(100_000).repartition(64).selectExpr("'r' AS repo", "'main' AS reference")
+    assert rows.select(salt(["repo", "reference"], 16).alias("s")).distinct().count() == 16
+    lookup = spark.createDataFrame([("r", "x")], "repo string, found string")
+    met = spread_join(rows, lookup, ["repo"], salts=16)
+    assert met.where("found = 'x'").count() == 100_000

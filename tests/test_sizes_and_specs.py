@@ -40,49 +40,35 @@ def test_token_estimate_rounds_up(spark):
     assert got == [-(-n * 13 // 40) for n in (0, 1, 3, 4, 40, 41, 1 << 40)]
 
 
-# spec -> (url, subpath, reference)
-SPECS = {
-    "https://host.org/user/repo.git": ("https://host.org/user/repo.git", None, None),
-    "https://host.org/user/repo.git#src": ("https://host.org/user/repo.git", "src", None),
-    "https://host.org/user/repo.git@main": ("https://host.org/user/repo.git", None, "main"),
-    "https://host.org/user/repo.git@main#src": ("https://host.org/user/repo.git", "src", "main"),
-    "https://host.org/user/repo.git#src/lib/utils": ("https://host.org/user/repo.git", "src/lib/utils", None),
-    "git@host.org:user/repo.git": ("git@host.org:user/repo.git", None, None),
-    "git@host.org:user/repo.git:src": ("git@host.org:user/repo.git", "src", None),
-    "git@host.org:user/repo.git@main": ("git@host.org:user/repo.git", None, "main"),
-    "git@host.org:user/repo.git@feature-branch:src": ("git@host.org:user/repo.git", "src", "feature-branch"),
-    "git@host.org:group/project.git@main:src/lib": ("git@host.org:group/project.git", "src/lib", "main"),
-    "https://host.org/user/repo.git@abc123def456": ("https://host.org/user/repo.git", None, "abc123def456"),
-    "https://host.org/user/repo.git@v1.2.3#docs": ("https://host.org/user/repo.git", "docs", "v1.2.3"),
-    "https://host.org/user/repo.git#": ("https://host.org/user/repo.git", "", None),
-    "./local/repo": ("./local/repo", None, None),
-    "https://user:pass@host.org/repo/project.git@main#src": ("https://user:pass@host.org/repo/project.git", "src", "main"),
-    "ssh://git@host.org:2222/group/repo.git@v2.1.0#lib/core": ("ssh://git@host.org:2222/group/repo.git", "lib/core", "v2.1.0"),
-    "https://host.org/user/repo.git?token=abc@main#src": ("https://host.org/user/repo.git?token=abc", "src", "main"),
-    "https://host.org/user/repo.git@#": ("https://host.org/user/repo.git", "", ""),
-    "https://user@domain.com/repo@main": ("https://user@domain.com/repo", None, "main"),
-    "ssh://git@host.org/r.git": ("ssh://git", None, "host.org/r.git"),
-    "a#b#c@d@e": ("a#b", "c@d@e", None),
-    "git@http://x:y": ("git", None, "http://x:y"),
-}
-
-REMOTE = {
-    "https://host.org/user/repo.git#src": True, "http://example.com/repo.git#docs": True,
-    "HTTPS://host.org/x": True, "git@host.org:user/repo.git:src": True,
-    "ssh://git@host.org/user/repo.git@tag#src": True, "https://host.org/user/repo#src": True,
-    "local/repo.git#src": True, "local/repo.git@branch": True, "local/repo.GIT": False,
-    "./local/path#fragment": False, "/absolute/path#something": False, "relative/path@main": False,
-}
+def cases():
+    """Specs by the grammar: address x reference x subpath, web addresses and shell-style ones.
+
+    Yields (spec, url, subpath, reference, remote).
+    """
+    web = {"https://forge.test/ann/loom.git": True, "HTTP://forge.test/x": True, "./near/loom": False, "far/loom.git": True,
+           "ssh://forge.test:22/a.git": True, "/srv/x.GIT": False}
+    references = [None, "main", "v2.0-rc1", "feature/a_b", "0a1b2c3d", ""]
+    subpaths = [None, "docs", "src/a/b", ""]
+    for address, remote in web.items():
+        for ref in references:
+            for sub in subpaths:
+                spec = address + ("" if ref is None else f"@{ref}") + ("" if sub is None else f"#{sub}")
+                yield spec, address, sub, ref, remote
+    for address in ("git@forge.test:ann/loom.git", "GIT@forge.test:loom"):
+        for ref in (None, "main", "b-1"):
+            for sub in (None, "docs", "src/a/b"):
+                spec = address + ("" if ref is None else f"@{ref}") + ("" if sub is None else f":{sub}")
+                yield spec, address, sub, ref, True
+    # The last mark of a kind parts; marks before it belong to the address.
+    yield "https://me:pw@forge.test/x.git@dev#lib", "https://me:pw@forge.test/x.git", "lib", "dev", True
+    yield "https://me@forge.test/x", "https://me", None, "forge.test/x", True
+    yield "p#q#r@s", "p#q", "r@s", None, False
+    yield "git@https://u:v", "git", None, "https://u:v", False
 
 
 def test_source_specs(spark):
-    df = spark.createDataFrame([(s,) for s in SPECS], "spec string")
-    got = df.select("spec", source_spec("spec").alias("s")).select("spec", "s.*").collect()
-    assert {r.spec: (r.url, r.subpath, r.reference) for r in got} == SPECS
-
-
-def test_remote_sources(spark):
-    df = spark.createDataFrame([(s,) for s in REMOTE], "spec string")
+    expected = {spec: tuple(rest) for spec, *rest in cases()}
+    df = spark.createDataFrame([(s,) for s in expected], "spec string")
     parsed = df.select("spec", source_spec("spec").alias("s"))
-    got = parsed.select("spec", is_remote("s.url").alias("remote")).collect()
-    assert {r.spec: r.remote for r in got} == REMOTE
+    got = parsed.select("spec", "s.*", is_remote("s.url").alias("remote")).collect()
+    assert {r.spec: (r.url, r.subpath, r.reference, r.remote) for r in got} == expected

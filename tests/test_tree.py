@@ -1,4 +1,7 @@
-from corpusloom.operators.tree import directories, tree, tree_lines, tree_order
+import pytest
+
+from corpusloom.operators.order import in_order
+from corpusloom.operators.tree import directories, tree, tree_lines, tree_order, tree_text
 
 
 def lines(files, by=None, order="path"):
@@ -52,3 +55,21 @@ def test_directories_fold_before_the_shuffle(spark):
     plan = directories(paths(spark, "a/b"))._jdf.queryExecution().executedPlan().toString()
     below = plan[plan.index("Exchange") :]
     assert "HashAggregate" in below
+
+
+def test_tree_as_one_text(spark):
+    files = spark.createDataFrame([("p", "a/b/1"), ("q", "2"), ("p", "a-b")], "bundle string, path string")
+    assert {r.bundle: r.tree for r in tree_text(files, "bundle").collect()} == {
+        "p": "+ .\n+ a\n- a-b\n  + b\n    - 1", "q": "+ .\n- 2",
+    }
+
+
+@pytest.mark.parametrize("by", [None, "k"])
+def test_positions(spark, by):
+    rows = spark.range(2000).selectExpr("id * 7919 % 2003 AS v", "IF(id % 3 = 0, 'x', 'y') AS k")
+    got = sorted((r.k if by else "", r.position, r.v) for r in in_order(rows, ["v"], by).collect())
+    values = {}
+    for r in rows.collect():
+        values.setdefault(r.k if by else "", []).append(r.v)
+    assert got == sorted((k, i, v) for k, vs in values.items() for i, v in enumerate(sorted(vs)))
+    assert in_order(rows.limit(0), ["v"], by).count() == 0
