@@ -25,6 +25,11 @@ def word_keys(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w))
 
 
+def once(rows: DataFrame, name: str, column: Column) -> DataFrame:
+    """Add a column behind a one-row generator: what uses it, filters included, can't copy its expression."""
+    return rows.select("*", F.explode(F.array(column)).alias(name))
+
+
 def seeds(rows: DataFrame, masks: tuple[str, ...]) -> DataFrame:
     """``*id columns, pos, seed`` for every place and mask; ``words`` is the array of hashes."""
     span = max(map(len, masks))
@@ -55,13 +60,13 @@ def overlaps(docs: DataFrame, items: DataFrame, window: int, share: float, masks
     asked = seeds(items.select("item_id", "words"), masks).withColumnRenamed("pos", "at")
     if asked.count() <= BROADCAST_SEEDS:
         asked = F.broadcast(asked)
-    given = seeds(docs.select("doc_id", "version", word_keys(F.col("text")).alias("words")), masks)
+    given = seeds(once(docs, "words", word_keys(F.col("text"))).drop("text"), masks)
     hits = given.join(asked, "seed").select("doc_id", "version", "item_id", (F.col("pos") - F.col("at")).alias("shift"))
     hits = keep(hits.distinct())
     both = docs.join(hits, ["doc_id", "version"]).join(items, "item_id")
-    laid = both.withColumn("own", word_keys(F.col("text")))
+    laid = once(both, "own", word_keys(F.col("text")))
     same = F.transform("words", lambda w, j: F.coalesce((F.get("own", F.col("shift") + j) == w).cast("int"), F.lit(0)))
-    sized = laid.select("doc_id", "version", "item_id", same.alias("equal"))
+    sized = once(laid, "equal", same).select("doc_id", "version", "item_id", "equal")
     enough = F.ceil(F.lit(share) * F.least(F.size("equal"), F.lit(window)) - 1e-9)
     found = sized.where(most_equal(F.col("equal"), window) >= enough)
     matched = F.aggregate("equal", F.lit(0), lambda a, b: a + b).cast("long")
