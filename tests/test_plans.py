@@ -38,8 +38,9 @@ def test_no_pairs_of_everything(spark, name):
 
 
 def test_trees_read_no_text(spark):
-    for name in ("tree_dirs", "tree_lines", "ignored"):
-        text = plan(spark, name)
+    lines = catalog.tree.tree_lines(catalog.corpus(spark, SF))
+    plans = [plan(spark, "tree_dirs"), plan(spark, "ignored"), lines._jdf.queryExecution().executedPlan().toString()]
+    for text in plans:
         assert "ReadSchema" in text
         for line in text.splitlines():
             if "ReadSchema" in line:
