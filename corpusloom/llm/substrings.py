@@ -3,9 +3,9 @@
 The reference is every document, indexed in blocks: around each content-defined anchor (the word
 n-gram with the smallest hash in a window) lie the windows that have it as theirs. A document is
 parsed against all of them in two steps. First greedily, by whole factors: a block whose words all
-stand in a block of an earlier document is a duplicate as it is. Then at factor boundaries, where a
-block is only partly shared: its windows are looked up one by one. Equal windows have equal anchors,
-so nothing is missed; blocks without a shared anchor are never looked at again.
+stand in a block of an earlier document is a duplicate as it is. Then at factor boundaries, where
+blocks of one anchor differ: their windows are looked up one by one. Equal windows have equal
+anchors, so nothing is missed; blocks without a shared anchor are never looked at again.
 """
 
 from __future__ import annotations
@@ -90,12 +90,12 @@ def parse(docs: DataFrame, window: int, gram: int) -> DataFrame:
             )
 
     return docs.mapInArrow(
-        run, f"doc_id {kind}, version long, anchor long, r1 long, r2 long, first int, windows int"
+        run, f"doc_id {kind}, version int, anchor long, r1 long, r2 long, first int, windows int"
     )
 
 
 def boundary_windows(docs: DataFrame, window: int) -> DataFrame:
-    """``doc_id, version, first, w1, w2`` of the windows in the column ``ranges``."""
+    """``doc_id, place, w1, w2`` of the windows in the column ``ranges``; place is version and first word."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches_):
@@ -106,18 +106,18 @@ def boundary_windows(docs: DataFrame, window: int) -> DataFrame:
                 continue
             rows = pa.array(np.repeat(np.arange(len(own)), [len(x[0]) for x in own]))
             first, w1, w2 = (np.concatenate(x) for x in zip(*own, strict=True))
+            version = batch.column("version").take(rows).to_numpy().astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").take(rows),
-                    batch.column("version").take(rows),
-                    pa.array(first.astype(np.int32)),
+                    pa.array(version << 32 | first),
                     pa.array(w1.view(np.int64)),
                     pa.array(w2.view(np.int64)),
                 ],
-                ["doc_id", "version", "first", "w1", "w2"],
+                ["doc_id", "place", "w1", "w2"],
             )
 
-    return docs.mapInArrow(run, f"doc_id {kind}, version long, first int, w1 long, w2 long")
+    return docs.mapInArrow(run, f"doc_id {kind}, place long, w1 long, w2 long")
 
 
 def earlier(rows: DataFrame, *keys: str) -> DataFrame:
@@ -131,13 +131,14 @@ def duplicate_spans(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """``doc_id, version, ranges``: runs of windows that stand in a document with a smaller id."""
     usable = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     parsed = keep(parse(usable, window, gram))
-    shared = keep(earlier(parsed, "anchor").drop("__first", "anchor"))
+    shared = keep(earlier(parsed, "anchor").drop("__first"))
     first = shared.groupBy("r1", "r2").agg(F.min("doc_id").alias("__first"))
-    factors = keep(
-        shared.join(first, ["r1", "r2"]).select(
-            "doc_id", "version", "first", "windows", (F.col("doc_id") > F.col("__first")).alias("whole")
-        )
-    )
+    # Where all blocks of an anchor are equal, there is no boundary.
+    mixed = shared.groupBy("anchor").agg(F.min("r1").alias("__a"), F.max("r1").alias("__b")).where("__a != __b")
+    whole = (F.col("doc_id") > F.col("__first")).alias("whole")
+    factors = shared.join(first, ["r1", "r2"]).select("anchor", "doc_id", "version", "first", "windows", whole)
+    factors = factors.join(mixed.select("anchor", F.lit(True).alias("__mixed")), "anchor", "left")
+    factors = keep(factors.where("whole or __mixed").drop("anchor", "__mixed"))
     per_doc = lambda rows: rows.groupBy("doc_id", "version").agg(
         F.collect_list(F.struct("first", "windows")).alias("ranges")
     )
@@ -145,7 +146,9 @@ def duplicate_spans(docs: DataFrame, window: int, gram: int) -> DataFrame:
     single = keep(boundary_windows(open_docs, window))
     found = earlier(single, "w1", "w2").where("doc_id > __first")
     runs = factors.where("whole").select("doc_id", "version", "first", "windows")
-    return per_doc(runs.unionByName(found.select("doc_id", "version", "first", F.lit(1).alias("windows"))))
+    version, word = F.shiftright("place", 32).cast("int"), F.col("place").bitwiseAND(0xFFFFFFFF).cast("int")
+    single_runs = found.select("doc_id", version.alias("version"), word.alias("first"), F.lit(1).alias("windows"))
+    return per_doc(runs.unionByName(single_runs))
 
 
 def remove_repeats(
@@ -161,7 +164,7 @@ def remove_repeats(
     stays whole; rows that share an id aren't each other's source; repeated rows are all given;
     texts shorter than a window stay; other columns are ignored; an empty table gives no rows.
     """
-    docs = identified(df, id_col, text_col).withColumn("version", F.xxhash64("text"))
+    docs = identified(df, id_col, text_col).withColumn("version", F.hash("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     spans = duplicate_spans(docs, window, gram)
 
