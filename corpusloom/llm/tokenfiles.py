@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -14,21 +16,95 @@ from .shared import identified, shared_folder, texts_of, worker_state
 
 ship(__name__)
 
+#: Texts whose unknown words are looked for together, and such words that are encoded as one text.
+TEXTS, TOGETHER = 128, 512
+#: Marks that end words.
+MARKS = b".,;:!?"
 
-class Words(dict):
-    """Ids by word, as little-endian 32-bit bytes, for up to ``room`` words met before."""
+
+class Recent:
+    """Values by word, for words met before, in ``known``.
+
+    When ``room`` words are held, they become the older half; of that, what is met again moves back,
+    so frequent words stay and memory is bounded by twice the room.
+    """
+
+    def __init__(self, room: int):
+        self.room, self.known, self.older = room, {}, {}
+
+    def turn(self) -> None:
+        if len(self.known) > self.room:
+            self.known, self.older = {}, self.known
+
+    def unknown(self, words: set) -> list:
+        """Those that aren't held, out of words that aren't in the newer half; what is in the older moves back."""
+        if not self.older:
+            return list(words)
+        words = list(words)
+        values = list(map(self.older.get, words))
+        self.known.update((w, v) for w, v in zip(words, values, strict=True) if v is not None)
+        return [w for w, v in zip(words, values, strict=True) if v is None]
+
+
+class Words:
+    """Ids as little-endian 32-bit bytes, by word and by what words come down to."""
 
     def __init__(self, path: str, room: int):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.room = Tokenizer.from_file(path), room
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= self.room:
-            self.clear()
-        ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-        packed = self[word] = np.array(ids, "<i4").tobytes()
-        return packed
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        self.tokenizer, self.words, self.cores = Tokenizer.from_file(path), Recent(room), Recent(2 * room)
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Each text's ids. What isn't known of all texts' words is encoded together, once."""
+        self.words.turn()
+        self.cores.turn()
+        known = self.words.known
+        split = [t.split() for t in texts]
+        found = [list(map(known.get, s)) for s in split]
+        holes = [i for i, f in enumerate(found) if None in f]
+        if holes:
+            self.learn({w for i in holes for w, ids in zip(split[i], found[i], strict=True) if ids is None})
+            for i in holes:
+                found[i] = map(known.__getitem__, split[i])
+        return [b"".join(f) for f in found]
+
+    def learn(self, words: set) -> None:
+        """Words in ASCII letters come down to lower case, others as :func:`parted` says."""
+        new, known, cores = self.words.unknown(words), self.words.known, self.cores.known
+        plain = [w for w in new if w.isalpha()]
+        lower = [w.lower() for w in plain]
+        parts = {w: parted(w) for w in new if not w.isalpha()}
+        wanted = {*lower, *(p for pair in parts.values() for p in pair if p)}.difference(cores)
+        missing = self.cores.unknown(wanted)
+        for at in range(0, len(missing), TOGETHER):
+            cores.update(self.encoded(missing[at : at + TOGETHER]))
+        known.update(zip(plain, map(cores.__getitem__, lower), strict=True))
+        known.update((w, cores[core] + cores[marks] if marks else cores[core]) for w, (core, marks) in parts.items())
+
+    def encoded(self, words: list[bytes]):
+        """(word, ids) of some words, out of one text; a token belongs to the word in which it begins."""
+        plain = [w.decode() for w in words]
+        found = self.tokenizer.encode(" ".join(plain), add_special_tokens=False)
+        begins = np.array([a for a, _ in found.offsets], np.int64)
+        cuts = 4 * np.searchsorted(begins, np.cumsum([len(w) + 1 for w in plain]))
+        raw, cuts = array("i", found.ids).tobytes(), [0, *cuts.tolist()]
+        return zip(words, (raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)), strict=True)
+
+
+def parted(word: bytes) -> tuple[bytes, bytes]:
+    """A word as a core in lower case and the marks behind it, where these are tokens of their own.
+
+    That is sure behind an ASCII letter, and behind others of the Latin blocks that are letters in
+    lower case too. Only ASCII is lowered: other letters may compose differently in lower case.
+    Special tokens are spelt in lower case, so ``<|`` is left.
+    """
+    core = word.rstrip(MARKS)
+    if core != word and not core[-1:].isalpha():
+        last = core.decode()[-1:]
+        if not ("\u00aa" <= last < "\u0250" and last.lower().isalpha()):
+            core = word
+    return core.lower() if core.isascii() and b"<|" not in core else core, word[len(core) :]
 
 
 def encode_documents(
@@ -36,8 +112,8 @@ def encode_documents(
 ) -> DataFrame:
     """``doc_id, n_tokens, token_offset, ids`` in ascending id order, one range of ids per partition.
 
-    The tokenizer must drop white space (as word-level ones with a word end do), so that a text's
-    ids are those of its words one after the other. ``token_offset`` counts the ids before the
+    The tokenizer must drop white space and case and part words from marks (as those with a word end
+    do), so that a text's ids are those of its words one after the other. ``token_offset`` counts the ids before the
     document in its own partition, hence in its file.
     """
     docs = identified(df, id_col, text_col)
@@ -47,20 +123,21 @@ def encode_documents(
     def run(batches_):
         words, before = worker_state("words", lambda: Words(tokenizer, room), tokenizer), 0
         for batch in batches_:
-            lists = [b"".join(map(words.__getitem__, t.split())) + end for t in texts_of(batch, "text")]
-            sizes = np.array([len(x) // 4 for x in lists], np.int64)
-            ends = np.concatenate([[0], np.cumsum(sizes)])
-            values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(lists))])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array(sizes),
-                    pa.array(ends[:-1] + before),
-                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values),
-                ],
-                ["doc_id", "n_tokens", "token_offset", "ids"],
-            )
-            before += int(ends[-1])
+            texts = texts_of(batch, "text")
+            for at in range(0, len(texts), TEXTS):
+                lists = [ids + end for ids in words.encode(texts[at : at + TEXTS])]
+                ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in lists])])
+                values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(lists))])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id").slice(at, len(lists)),
+                        pa.array(np.diff(ends)),
+                        pa.array(ends[:-1] + before),
+                        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values),
+                    ],
+                    ["doc_id", "n_tokens", "token_offset", "ids"],
+                )
+                before += int(ends[-1])
 
     ranged = docs.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id")
     return ranged.mapInArrow(run, f"doc_id {kind}, n_tokens long, token_offset long, ids array<int>")
@@ -92,14 +169,15 @@ def write_token_files(df: DataFrame, tokenizer: str, end_id: int, path: str, str
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, n_tokens, start, ids`` of token files; ``start`` counts all ids before the document.
 
-    The ids before a file are summed over the files (one row each, by their number in the name);
-    those before a document in its file are in the file.
+    The ids before a file are summed over the files, by their number in the name; that table has one
+    short row per file, which a task wrote, and is broadcast. Those before a document in its file
+    are in the file, so nothing but per-file sums is shuffled.
     """
     rows = spark.read.orc(path).withColumn("file", F.col("_metadata.file_name"))
     per_file = rows.groupBy("file").agg(F.max(F.col("token_offset") + F.col("n_tokens")).alias("held"))
     earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     begins = per_file.select("file", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("before"))
-    return rows.join(begins, "file").select(
+    return rows.join(F.broadcast(begins), "file").select(
         "doc_id", "n_tokens", (F.col("before") + F.col("token_offset")).alias("start"), "ids"
     )
 
