@@ -53,7 +53,7 @@ class Words:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.tokenizer, self.words, self.cores = Tokenizer.from_file(path), Recent(room), Recent(2 * room)
+        self.tokenizer, self.words, self.cores = Tokenizer.from_file(path), Recent(room), Recent(room)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Each text's ids. What isn't known of all texts' words is encoded together, once."""
