@@ -1,8 +1,9 @@
 """Operator 10, benchmark decontamination by spaced seeds. SQL functions only.
 
-A seed is a hash of some of eight consecutive words: the mask says which, the other words may
-differ. Documents and benchmark items meet where a seed agrees; around each hit the two are laid
-side by side, and enough equal words among ``window`` consecutive ones make the document leaked.
+A seed is a hash of some words of a passage: the mask says which, the others may differ. The masks
+are built so that every alignment with enough equal words agrees in one of them. Documents and
+benchmark items meet where a seed agrees; around each hit the two are laid side by side, and enough
+equal words among ``window`` consecutive ones make the document leaked.
 """
 
 from __future__ import annotations
@@ -14,8 +15,10 @@ from pyspark.sql import functions as F
 
 from .shared import WORD, identified, keep
 
-#: Words that count in a run of eight.
+#: Seeds that the SQL check and the brute force of the tests ask for; the operator builds its own.
 MASKS = ("11101101", "10110111")
+#: Items of fewer words are not looked for.
+SHORTEST = 8
 #: Benchmark seeds (16 bytes of key and place each) up to which their table is broadcast.
 BROADCAST_SEEDS = 1_000_000
 
@@ -30,17 +33,36 @@ def once(rows: DataFrame, name: str, column: Column) -> DataFrame:
     return rows.select("*", F.explode(F.array(column)).alias(name))
 
 
-def seeds(rows: DataFrame, masks: tuple[str, ...]) -> DataFrame:
-    """``*id columns, pos, seed`` for every place and mask; ``words`` is the array of hashes."""
-    span = max(map(len, masks))
+def masks_of(n: int, share: float) -> tuple[str, ...]:
+    """Masks of which one agrees in every alignment of ``n`` words with at least ``share`` of them equal.
+
+    The words are cut into two blocks more than words may differ: two blocks stay whole, and each
+    two of them are a mask. One equal word, if that is enough, is a mask itself.
+    """
+    need = max(math.ceil(share * n - 1e-9), 1)
+    if need > n:
+        return ()
+    if need == 1:
+        return ("1",)
+    blocks = n - need + 2
+    cuts = [n * i // blocks for i in range(blocks + 1)]
+    pairs = [(i, j) for i in range(blocks) for j in range(i + 1, blocks)]
+    ones = lambda i: "1" * (cuts[i + 1] - cuts[i])
+    return tuple(sorted({ones(i) + "0" * (cuts[j] - cuts[i + 1]) + ones(j) for i, j in pairs}))
+
+
+def seeds(rows: DataFrame, masks: dict[str, Column]) -> DataFrame:
+    """``*other columns, pos, seed`` for every place and mask whose condition holds; ``words`` is the array of hashes."""
     others = [c for c in rows.columns if c != "words"]
-    placed = rows.where(F.size("words") >= span).select(*others, "words", F.posexplode("words").alias("pos", "first"))
-    placed = placed.where(F.col("pos") <= F.size("words") - span)
+    placed = rows.select(*others, "words", F.posexplode("words").alias("pos", "first"))
     hashed = [
-        F.xxhash64(F.lit(number), *(F.get("words", F.col("pos") + i) for i, bit in enumerate(mask) if bit == "1"))
-        for number, mask in enumerate(masks)
+        F.when(
+            (F.col("pos") <= F.size("words") - len(mask)) & asked,
+            F.xxhash64(F.lit(mask), *(F.get("words", F.col("pos") + i) for i, bit in enumerate(mask) if bit == "1")),
+        )
+        for mask, asked in masks.items()
     ]
-    return placed.select(*others, "pos", F.explode(F.array(*hashed)).alias("seed"))
+    return placed.select(*others, "pos", F.explode(F.array(*hashed)).alias("seed")).where("seed is not null")
 
 
 def most_equal(equal: Column, window: int) -> Column:
@@ -51,16 +73,22 @@ def most_equal(equal: Column, window: int) -> Column:
     )
 
 
-def overlaps(docs: DataFrame, items: DataFrame, window: int, share: float, masks: tuple[str, ...]) -> DataFrame:
+def overlaps(docs: DataFrame, items: DataFrame, window: int, share: float) -> DataFrame:
     """``doc_id, version, item_id, matched``: verified overlaps, best alignment of each pair.
 
     ``docs`` has doc_id, version, text; ``items`` item_id, words. The benchmark's seeds are
     broadcast if they are counted to be few, else both sides are shuffled by seed.
     """
-    asked = seeds(items.select("item_id", "words"), masks).withColumnRenamed("pos", "at")
+    compared = F.least(F.size("words"), F.lit(window))
+    lengths: dict[str, list[int]] = {}
+    for (n,) in items.select(compared).distinct().collect():
+        for mask in masks_of(n, share):
+            lengths.setdefault(mask, []).append(n)
+    by_length = {mask: compared.isin(ns) for mask, ns in sorted(lengths.items())}
+    asked = seeds(items.select("item_id", "words"), by_length).withColumnRenamed("pos", "at")
     if asked.count() <= BROADCAST_SEEDS:
         asked = F.broadcast(asked)
-    given = seeds(once(docs, "words", word_keys(F.col("text"))).drop("text"), masks)
+    given = seeds(once(docs, "words", word_keys(F.col("text"))).drop("text"), dict.fromkeys(by_length, F.lit(True)))
     hits = given.join(asked, "seed").select("doc_id", "version", "item_id", (F.col("pos") - F.col("at")).alias("shift"))
     hits = keep(hits.distinct())
     both = docs.join(hits, ["doc_id", "version"]).join(items, "item_id")
@@ -82,23 +110,22 @@ def find_leaks(
     item_text_col: str = "text",
     window: int = 12,
     share: float = 0.8,
-    masks: tuple[str, ...] = MASKS,
 ) -> DataFrame:
     """``doc_id, version, item_id, matched``: documents that hold a passage of a benchmark item.
 
-    That is: laid side by side at some seed hit, at least ``share`` of ``window`` consecutive words
+    That is: laid side by side at some place, at least ``share`` of ``window`` consecutive words
     of the item (of all, if it has fewer) equal the document's. ``matched`` counts equal words of
     the best alignment. ``version`` is a hash of the text.
 
-    Null texts, null ids and texts or items shorter than a mask match nothing; items that repeat a
+    Null texts, null ids and items of fewer than ``SHORTEST`` words match nothing; items that repeat a
     text are one, under the smallest id; documents that repeat id and text are one; other columns
     are ignored; empty tables give no rows.
     """
     docs = identified(df, id_col, text_col).withColumn("version", F.xxhash64("text"))
     docs = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     items = benchmark.select(F.col(item_id_col).alias("item_id"), word_keys(F.col(item_text_col)).alias("words"))
-    items = items.where("item_id is not null and words is not null").groupBy("words").agg(F.min("item_id").alias("item_id"))
-    return overlaps(docs, keep(items), window, share, masks)
+    items = items.where(F.col("item_id").isNotNull() & (F.size("words") >= SHORTEST)).groupBy("words").agg(F.min("item_id").alias("item_id"))
+    return overlaps(docs, keep(items), window, share)
 
 
 def leak_report(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

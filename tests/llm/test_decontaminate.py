@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 
@@ -87,3 +88,54 @@ def test_empty_tables(spark, docs_of, items):
 def test_no_python_in_the_plan(docs_of, items):
     plan = D.leak_report(docs_of([(1, "a")]), items[1])._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_masks_meet_every_pattern_of_substitutions():
+    for n, share in [(n, 0.8) for n in range(1, 13)] + [(9, 0.5), (6, 0.1), (15, 0.75), (7, 1.0)]:
+        masks = D.masks_of(n, share)
+        for k in range(n - max(math.ceil(share * n - 1e-9), 1) + 1):
+            for changed in map(set, itertools.combinations(range(n), k)):
+                assert any(
+                    all(bit == "0" or at + i not in changed for i, bit in enumerate(m))
+                    for m in masks
+                    for at in range(n - len(m) + 1)
+                ), (n, share, changed)
+
+
+def test_every_substitution_the_rule_accepts_is_found(spark, docs_of):
+    asked, rows = [], []
+    for n, k in ((8, 1), (9, 1), (10, 2), (11, 2), (12, 2)):
+        item = [f"i{n}x{j}" for j in range(n)]
+        asked.append((n, " ".join(item)))
+        for changed in itertools.combinations(range(n), k):
+            text = " ".join("other" if j in changed else w for j, w in enumerate(item))
+            rows.append((len(rows), f"before {text} after", str(n), None))
+    got = D.leak_report(docs_of(rows), spark.createDataFrame(asked, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["best_item"]) for r in got} == {(i, int(n)) for i, _, n, _ in rows}
+
+
+def by_rule(rows, items, window=12, share=0.8):
+    """(id, items) by laying every item at every place, whether or not a seed agrees there."""
+    listed = {}
+    for i, t in items:
+        w = tuple(words_of((t or "").lower()))
+        if i is not None and len(w) >= D.SHORTEST:
+            listed[w] = min(listed.get(w, i), i)
+    out = []
+    for d, t in rows:
+        w, leaked = words_of((t or "").lower()), 0
+        for b in listed:
+            n = min(len(b), window)
+            laid = ([0 <= s + j < len(w) and w[s + j] == x for j, x in enumerate(b)] for s in range(-len(b) + 1, len(w)))
+            best = max((sum(same[j : j + n]) for same in laid for j in range(len(b) - n + 1)), default=0)
+            leaked += best >= math.ceil(share * n - 1e-9)
+        out.append((d, leaked))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("broadcast", [0, 1_000_000])
+def test_against_the_rule_alone(docs_of, items, monkeypatch, broadcast):
+    monkeypatch.setattr(D, "BROADCAST_SEEDS", broadcast)
+    rows = planted(items[0], 3) + [(100 + i, t) for i, t in planted(items[0], 4)]
+    got = D.leak_report(docs_of(rows), items[1]).collect()
+    assert sorted((r["doc_id"], r["n_items"]) for r in got) == by_rule(rows, items[0])
