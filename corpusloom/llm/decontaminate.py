@@ -17,8 +17,6 @@ from .shared import WORD, identified, keep
 
 #: Seeds that the SQL check and the brute force of the tests ask for; the operator builds its own.
 MASKS = ("11101101", "10110111")
-#: Items of fewer words are not looked for.
-SHORTEST = 8
 #: Benchmark seeds (16 bytes of key and place each) up to which their table is broadcast.
 BROADCAST_SEEDS = 1_000_000
 
@@ -117,14 +115,14 @@ def find_leaks(
     of the item (of all, if it has fewer) equal the document's. ``matched`` counts equal words of
     the best alignment. ``version`` is a hash of the text.
 
-    Null texts, null ids and items of fewer than ``SHORTEST`` words match nothing; items that repeat a
+    Null texts, null ids and items without a word match nothing; items that repeat a
     text are one, under the smallest id; documents that repeat id and text are one; other columns
     are ignored; empty tables give no rows.
     """
     docs = identified(df, id_col, text_col).withColumn("version", F.xxhash64("text"))
     docs = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     items = benchmark.select(F.col(item_id_col).alias("item_id"), word_keys(F.col(item_text_col)).alias("words"))
-    items = items.where(F.col("item_id").isNotNull() & (F.size("words") >= SHORTEST)).groupBy("words").agg(F.min("item_id").alias("item_id"))
+    items = items.where(F.col("item_id").isNotNull() & (F.size("words") > 0)).groupBy("words").agg(F.min("item_id").alias("item_id"))
     return overlaps(docs, keep(items), window, share)
 
 

@@ -119,7 +119,7 @@ def by_rule(rows, items, window=12, share=0.8):
     listed = {}
     for i, t in items:
         w = tuple(words_of((t or "").lower()))
-        if i is not None and len(w) >= D.SHORTEST:
+        if i is not None and w:
             listed[w] = min(listed.get(w, i), i)
     out = []
     for d, t in rows:
@@ -139,3 +139,17 @@ def test_against_the_rule_alone(docs_of, items, monkeypatch, broadcast):
     rows = planted(items[0], 3) + [(100 + i, t) for i, t in planted(items[0], 4)]
     got = D.leak_report(docs_of(rows), items[1]).collect()
     assert sorted((r["doc_id"], r["n_items"]) for r in got) == by_rule(rows, items[0])
+
+
+def test_items_of_few_words(spark, docs_of):
+    asked = [(n, " ".join(f"i{n}x{j}" for j in range(n))) for n in range(1, 8)]
+    rows = [(n, f"before {t} after", None, None) for n, t in asked] + [(10 + n, t.upper(), None, None) for n, t in asked]
+    for n, t in asked:
+        for j in range(n):
+            words = t.split()
+            words[j] = "other"
+            rows.append((100 * n + j, " ".join(words), None, None))
+    got = D.leak_report(docs_of(rows), spark.createDataFrame(asked, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_items"]) for r in got) == by_rule([r[:2] for r in rows], asked)
+    assert all(r["leaked"] for r in got if r["doc_id"] < 100)
+    assert {r["doc_id"] // 100 for r in got if r["leaked"]} == {0, 5, 6, 7}
