@@ -542,6 +542,13 @@ def file_admission(spark, sf_dir):
     return files.select("path", "size", "status", "reason", F.md5(F.col("content").cast("binary")).alias("digest"))
 
 
+def file_contents(spark, sf_dir):
+    """Documents written as files, read back whole (up to the default limit) and admitted."""
+    folder = _as_files(spark, named_files(spark, sf_dir))
+    files = admission.admit(file_source.read_corpus(spark, folder, folder))
+    return files.select("path", "size", "status", "reason", F.md5(F.col("content").cast("binary")).alias("digest"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -554,5 +561,6 @@ QUERIES = {
         xml_escaped, json_records, md_bundle, xml_bundle, json_bundle, bundle_totals,
         document_totals, document_parts, document_sink, json_sink, source_specs, size_literals, subpath, vcs_dirs,
         ref_select, snapshot_diff, ignored, unknown_rule_type, bad_pattern, file_scan, file_admission,
+        file_contents,
     )
 }

@@ -472,4 +472,6 @@ FROM (SELECT *, status = 'text' AND regexp_matches(path, '\\.(cfg|json)$') AS ba
     "file_scan": f"SELECT path, strlen(content) AS size FROM ({DOCS})",
     "file_admission": f"""WITH {_admitted(NAMED, c.SMALL)} SELECT path, strlen(given) AS size, status, reason,
   md5(content) AS digest FROM c0""",
+    "file_contents": f"""WITH {_admitted(NAMED)} SELECT path, strlen(given) AS size, status, reason,
+  md5(content) AS digest FROM c0""",
 }

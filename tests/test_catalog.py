@@ -48,3 +48,11 @@ def test_entry(spark):
 
 def test_every_check_belongs_to_a_query():
     assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
+
+
+def test_large_files_are_read_whole(spark):
+    large = catalog.file_contents(spark, SF).where(f"size > {catalog.SMALL}")
+    files = catalog.named_files(spark, SF).selectExpr("path", "md5(cast(content as binary)) AS md5")
+    rows = large.where("status = 'text'").join(files, "path").collect()
+    assert rows and all(r["digest"] == r["md5"] for r in rows)
+    assert large.where("status = 'oversized'").count() == 0
