@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WORD, identified, keep
+from .shared import WORD, identified, keep, same
 
 #: Seeds that the SQL check and the brute force of the tests ask for; the operator builds its own.
 MASKS = ("11101101", "10110111")
@@ -89,10 +89,12 @@ def overlaps(docs: DataFrame, items: DataFrame, window: int, share: float) -> Da
     given = seeds(once(docs, "words", word_keys(F.col("text"))).drop("text"), dict.fromkeys(by_length, F.lit(True)))
     hits = given.join(asked, "seed").select("doc_id", "version", "item_id", (F.col("pos") - F.col("at")).alias("shift"))
     hits = keep(hits.distinct())
-    both = docs.join(hits, ["doc_id", "version"]).join(items, "item_id")
+    hits = hits.withColumnsRenamed({"doc_id": "__id", "version": "__version"})
+    on = same(F.col("doc_id"), F.col("__id")) & (F.col("version") == F.col("__version"))
+    both = docs.join(hits, on).drop("__id", "__version").join(items, "item_id")
     laid = once(both, "own", word_keys(F.col("text")))
-    same = F.transform("words", lambda w, j: F.coalesce((F.get("own", F.col("shift") + j) == w).cast("int"), F.lit(0)))
-    sized = once(laid, "equal", same).select("doc_id", "version", "item_id", "equal")
+    agree = F.transform("words", lambda w, j: F.coalesce((F.get("own", F.col("shift") + j) == w).cast("int"), F.lit(0)))
+    sized = once(laid, "equal", agree).select("doc_id", "version", "item_id", "equal")
     enough = F.ceil(F.lit(share) * F.least(F.size("equal"), F.lit(window)) - 1e-9)
     found = sized.where(most_equal(F.col("equal"), window) >= enough)
     matched = F.aggregate("equal", F.lit(0), lambda a, b: a + b).cast("long")
@@ -115,12 +117,12 @@ def find_leaks(
     of the item (of all, if it has fewer) equal the document's. ``matched`` counts equal words of
     the best alignment. ``version`` is a hash of the text.
 
-    Null texts, null ids and items without a word match nothing; items that repeat a
+    Null texts and items without an id or a word match nothing; a null id is an id like others; items that repeat a
     text are one, under the smallest id; documents that repeat id and text are one; other columns
     are ignored; empty tables give no rows.
     """
     docs = identified(df, id_col, text_col).withColumn("version", F.xxhash64("text"))
-    docs = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    docs = docs.where(F.col("text").isNotNull())
     items = benchmark.select(F.col(item_id_col).alias("item_id"), word_keys(F.col(item_text_col)).alias("words"))
     items = items.where(F.col("item_id").isNotNull() & (F.size("words") > 0)).groupBy("words").agg(F.min("item_id").alias("item_id"))
     return overlaps(docs, keep(items), window, share)
@@ -132,7 +134,9 @@ def leak_report(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
     best = F.min(F.struct((-F.col("matched")).alias("order"), "item_id"))
     per_doc = found.groupBy("doc_id", "version").agg(F.count("*").alias("n_items"), best.alias("best"))
     rows = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("version"))
-    return rows.join(per_doc, ["doc_id", "version"], "left").select(
+    per_doc = per_doc.withColumnsRenamed({"doc_id": "__id", "version": "__version"})
+    on = same(F.col("doc_id"), F.col("__id")) & (F.col("version") == F.col("__version"))
+    return rows.join(per_doc, on, "left").select(
         "doc_id",
         F.col("n_items").isNotNull().alias("leaked"),
         F.coalesce("n_items", F.lit(0)).alias("n_items"),
@@ -146,5 +150,5 @@ def without_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     found = find_leaks(df, benchmark, id_col, text_col, **options).select(
         F.col("doc_id").alias("__id"), F.col("version").alias("__version")
     )
-    on = (F.col(id_col) == F.col("__id")) & (F.xxhash64(F.col(text_col)) == F.col("__version"))
+    on = same(F.col(id_col), F.col("__id")) & (F.xxhash64(F.col(text_col)) == F.col("__version"))
     return df.join(found.distinct(), on, "left_anti")

@@ -153,3 +153,14 @@ def test_items_of_few_words(spark, docs_of):
     assert sorted((r["doc_id"], r["n_items"]) for r in got) == by_rule([r[:2] for r in rows], asked)
     assert all(r["leaked"] for r in got if r["doc_id"] < 100)
     assert {r["doc_id"] // 100 for r in got if r["leaked"]} == {0, 5, 6, 7}
+
+
+def test_null_ids_are_searched(docs_of, items):
+    clean = prose(77, 50, 90).replace("w", "v")
+    df = docs_of([(None, items[0][6][1]), (None, clean), (1, items[0][6][1]), (2, clean), (None, None)])
+    got = D.leak_report(df, items[1]).collect()
+    assert sorted((str(r["doc_id"]), r["leaked"]) for r in got) == [
+        ("1", True), ("2", False), ("None", False), ("None", False), ("None", True)
+    ]
+    left = [(r["doc_id"], r["text"]) for r in D.without_leaks(df, items[1]).collect()]
+    assert sorted(map(repr, left)) == sorted(map(repr, [(None, clean), (2, clean), (None, None)]))
