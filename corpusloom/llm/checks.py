@@ -6,7 +6,6 @@ rounding; tests hold them against brute force and round trips instead.
 
 from __future__ import annotations
 
-from .decontaminate import MASKS
 from .shared import WORD
 
 _CRC_BITS = "CASE WHEN {0} & 1 = 1 THEN xor({0} >> 1, 3988292384) ELSE {0} >> 1 END"
@@ -95,21 +94,12 @@ SELECT doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(component, doc_i
   doc_id = coalesce(component, doc_id) AS kept FROM s LEFT JOIN place ON place.s = list_sort(s.s)"""
 
 
-def _seeds(key: str, source: str) -> str:
-    """(key, place, seed) of every mask over words ``w`` of ``source``."""
-    span = max(map(len, MASKS))
-    parts = [
-        f"SELECT {key}, i, {n} || chr(10) || " + " || ' ' || ".join(f"w[i + {k}]" for k, bit in enumerate(mask) if bit == "1") + " AS seed FROM placed"
-        for n, mask in enumerate(MASKS)
-    ]
-    placed = f"WITH placed AS (SELECT {key}, w, unnest(range(1, len(w) - {span} + 2)) AS i FROM {source})"
-    return f"({placed} " + " UNION ALL ".join(parts) + ")"
-
-
 OP10 = f"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{WORD}') AS w FROM documents),
 b AS (SELECT min(item_id) AS item_id, w FROM (
   SELECT item_id, regexp_extract_all(lower(text), '{WORD}') AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL) GROUP BY w),
-hits AS (SELECT DISTINCT doc_id, item_id, x.i - y.i AS shift FROM {_seeds("doc_id", "d")} AS x JOIN {_seeds("item_id", "b")} AS y USING (seed)),
+dw AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d),
+bw AS (SELECT item_id, least(len(w), 12) AS n, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM b),
+hits AS (SELECT doc_id, item_id, dw.i - bw.i AS shift FROM dw JOIN bw USING (x) GROUP BY ALL HAVING count(*) >= ceil(0.8 * any_value(n) - 1e-9)),
 laid AS (SELECT doc_id, item_id,
   [CASE WHEN shift + j >= 1 AND shift + j <= len(d.w) AND d.w[shift + j] = b.w[j] THEN 1 ELSE 0 END FOR j IN range(1, len(b.w) + 1)] AS e
   FROM hits JOIN d USING (doc_id) JOIN b USING (item_id)),

@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 from .shared import WORD, identified, keep, same
 
-#: Seeds that the SQL check and the brute force of the tests ask for; the operator builds its own.
-MASKS = ("11101101", "10110111")
 #: Benchmark seeds (16 bytes of key and place each) up to which their table is broadcast.
 BROADCAST_SEEDS = 1_000_000
 

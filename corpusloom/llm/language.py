@@ -25,6 +25,8 @@ ship(__name__)
 BUCKETS, ORDERS = 1 << 14, (1, 2, 3, 4)
 #: Training documents per language, expected number, chosen by a hash of the id.
 ROWS_PER_LANGUAGE = 4000
+#: Languages learned, at most: those with most labelled documents, ties by code point. A profile has 128 KB.
+MAX_LANGUAGES = 1000
 #: Added to every n-gram's share; the margin that a log odds of 1 per n-gram stands for; score steepness.
 SMOOTH, GAIN, STEEP = 1e-6, 4.0, 12.0
 #: Texts whose two nearest codewords differ less than this, relative to the nearer one, are ambiguous.
@@ -74,12 +76,12 @@ def codewords(n: int, seed: int = 2) -> np.ndarray:
 class Model:
     """Languages, their codewords, a weight per n-gram and bit, and how far each bit is trusted."""
 
-    def __init__(self, languages: list[str], profiles: np.ndarray):
-        self.languages, self.code = languages, codewords(len(languages))
-        side = [profiles[self.code[:, b] == s].sum(axis=0) for b in range(self.code.shape[1]) for s in (1, -1)]
-        share = [(x / max(x.sum(), 1e-12)) + SMOOTH for x in side]
-        self.weights = np.stack([np.log(a / b) for a, b in zip(share[::2], share[1::2], strict=True)], axis=1)
-        self.trust = np.ones_like(self.code)
+    def __init__(self, languages: list[str], code: np.ndarray, weights: np.ndarray, trust: np.ndarray):
+        self.languages, self.code, self.weights, self.trust = languages, code, weights, trust
+
+    def arrays(self) -> tuple:
+        """What a worker needs to build the model: no class of this package among it."""
+        return self.languages, self.code, self.weights, self.trust
 
     def margins(self, data: bytes) -> np.ndarray:
         return GAIN * (grams(data) @ self.weights)
@@ -96,13 +98,23 @@ class Model:
         return self.languages[order[0]], float(share[order[0]] / share.sum()), bool(close)
 
 
+def learn(languages: list[str], profiles: np.ndarray) -> Model:
+    """A bit's weights are the log odds of the profiles of the languages on its two sides."""
+    code = codewords(len(languages))
+    side = [profiles[code[:, b] == s].sum(axis=0) for b in range(code.shape[1]) for s in (1, -1)]
+    share = [(x / max(x.sum(), 1e-12)) + SMOOTH for x in side]
+    weights = np.stack([np.log(a / b) for a, b in zip(share[::2], share[1::2], strict=True)], axis=1)
+    return Model(languages, code, weights, np.ones_like(code))
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def training_rows(rows: DataFrame, rows_per_language: int) -> DataFrame:
-    """``lang, text``: about ``rows_per_language`` documents of each language, all if it has fewer."""
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    """``lang, text``: about ``rows_per_language`` documents of each language learned, all if it has fewer."""
+    commonest = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
+    counts = {r["lang"]: r["count"] for r in commonest.collect()}
     if not counts:
         return rows.select("lang", "text")
     part = 1 << 30
@@ -131,7 +143,7 @@ def fit(rows: DataFrame, rows_per_language: int) -> Model:
     shape = "lang string, profile binary"
     found = sample.mapInArrow(profiles, shape).groupBy("lang").applyInArrow(added, shape).collect()
     found.sort(key=lambda r: r["lang"])
-    model = Model([r["lang"] for r in found], np.array([np.frombuffer(r["profile"]) for r in found]).reshape(-1, BUCKETS))
+    model = learn([r["lang"] for r in found], np.array([np.frombuffer(r["profile"]) for r in found]).reshape(-1, BUCKETS))
     if len(found) < 2:
         return model
     place = {x: i for i, x in enumerate(model.languages)}
@@ -153,9 +165,9 @@ def learned(df: DataFrame, id_col: str, text_col: str, lang_col: str, rows_per_l
     """A function that gives a worker's copy of the model fitted to ``df``."""
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     labelled = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    sent = df.sparkSession.sparkContext.broadcast(fit(labelled.where(~held_out(F.col("doc_id"))), rows_per_language))
-    version = uuid.uuid4().hex
-    return lambda: worker_state("language model", lambda: sent.value, version)
+    model = fit(labelled.where(~held_out(F.col("doc_id"))), rows_per_language)
+    sent, version = df.sparkSession.sparkContext.broadcast(model.arrays()), uuid.uuid4().hex
+    return lambda: worker_state("language model", lambda: Model(*sent.value), version)
 
 
 def identify_languages(
@@ -169,7 +181,8 @@ def identify_languages(
 
     The classifier learns from labelled documents whose crc32(id as text) mod 5 isn't 0; about
     ``rows_per_language`` of each language are taken by a hash of the id. Label, id and source are
-    no inputs of a prediction; whole texts are read. Model size grows with languages, not documents.
+    no inputs of a prediction; whole texts are read. The ``MAX_LANGUAGES`` commonest labels are learned,
+    so the model is bounded whatever the labels are.
 
     Texts that are null or hold no letter are ``und`` with score 0, as is everything if nothing is
     labelled; rows with a null id aren't held out and not learned from; repeated rows count each;

@@ -8,29 +8,22 @@ from support import prose, words_of
 from corpusloom.llm import decontaminate as D
 
 
-def brute(rows, items, window=12, share=0.8):
-    """(id, leaked, items) by laying every item at every seed hit."""
+def by_rule(rows, items, window=12, share=0.8):
+    """(id, items) by laying every item at every place, whether or not a seed agrees there."""
     listed = {}
     for i, t in items:
         w = tuple(words_of((t or "").lower()))
-        if i is not None and t is not None:
+        if i is not None and w:
             listed[w] = min(listed.get(w, i), i)
     out = []
     for d, t in rows:
-        w, leaked = words_of((t or "").lower()), set()
-        for b, item in listed.items():
-            for shift in range(-len(b) + 1, len(w)):
-                same = [0 <= shift + j < len(w) and w[shift + j] == x for j, x in enumerate(b)]
-                seeded = any(
-                    0 <= shift + at and shift + at + 8 <= len(w) and all(same[at + i] for i, bit in enumerate(m) if bit == "1")
-                    for m in D.MASKS
-                    for at in range(len(b) - 7)
-                )
-                n = min(len(b), window)
-                best = max(sum(same[j : j + n]) for j in range(len(b) - n + 1)) if b else 0
-                if seeded and best >= math.ceil(share * n - 1e-9):
-                    leaked.add(item)
-        out.append((d, bool(leaked and d is not None), len(leaked) if d is not None else 0))
+        w, leaked = words_of((t or "").lower()), 0
+        for b in listed:
+            n = min(len(b), window)
+            laid = ([0 <= s + j < len(w) and w[s + j] == x for j, x in enumerate(b)] for s in range(-len(b) + 1, len(w)))
+            best = max((sum(same[j : j + n]) for same in laid for j in range(len(b) - n + 1)), default=0)
+            leaked += best >= math.ceil(share * n - 1e-9)
+        out.append((d, leaked))
     return sorted(map(repr, out))
 
 
@@ -59,15 +52,17 @@ def planted(items, seed=3):
 def test_against_every_alignment(docs_of, items, awkward):
     rows = planted(items[0]) + [(r[0] and 100 + r[0], r[1]) for r in awkward if r[0] != 9]
     got = D.leak_report(docs_of(rows), items[1]).collect()
-    assert sorted(repr(tuple(r)[:3]) for r in got) == brute(rows, items[0])
-    assert all((r["matched"] or 0) >= 7 for r in got if r["leaked"])
+    expected = by_rule(rows, items[0])
+    assert sorted(map(repr, ((r["doc_id"], r["n_items"]) for r in got))) == expected
+    assert all(r["leaked"] == (r["n_items"] > 0) for r in got)
+    assert all((r["matched"] or 0) >= 3 for r in got if r["leaked"])
 
 
 def test_large_benchmarks_are_not_broadcast(docs_of, items, monkeypatch):
     monkeypatch.setattr(D, "BROADCAST_SEEDS", 0)
     rows = planted(items[0], 4)[:20]
     got = D.leak_report(docs_of(rows), items[1]).collect()
-    assert sorted(repr(tuple(r)[:3]) for r in got) == brute(rows, items[0])
+    assert sorted(map(repr, ((r["doc_id"], r["n_items"]) for r in got))) == by_rule(rows, items[0])
 
 
 def test_rows_without_leaks(docs_of, items):
@@ -114,31 +109,12 @@ def test_every_substitution_the_rule_accepts_is_found(spark, docs_of):
     assert {(r["doc_id"], r["best_item"]) for r in got} == {(i, int(n)) for i, _, n, _ in rows}
 
 
-def by_rule(rows, items, window=12, share=0.8):
-    """(id, items) by laying every item at every place, whether or not a seed agrees there."""
-    listed = {}
-    for i, t in items:
-        w = tuple(words_of((t or "").lower()))
-        if i is not None and w:
-            listed[w] = min(listed.get(w, i), i)
-    out = []
-    for d, t in rows:
-        w, leaked = words_of((t or "").lower()), 0
-        for b in listed:
-            n = min(len(b), window)
-            laid = ([0 <= s + j < len(w) and w[s + j] == x for j, x in enumerate(b)] for s in range(-len(b) + 1, len(w)))
-            best = max((sum(same[j : j + n]) for same in laid for j in range(len(b) - n + 1)), default=0)
-            leaked += best >= math.ceil(share * n - 1e-9)
-        out.append((d, leaked))
-    return sorted(out)
-
-
 @pytest.mark.parametrize("broadcast", [0, 1_000_000])
 def test_against_the_rule_alone(docs_of, items, monkeypatch, broadcast):
     monkeypatch.setattr(D, "BROADCAST_SEEDS", broadcast)
     rows = planted(items[0], 3) + [(100 + i, t) for i, t in planted(items[0], 4)]
     got = D.leak_report(docs_of(rows), items[1]).collect()
-    assert sorted((r["doc_id"], r["n_items"]) for r in got) == by_rule(rows, items[0])
+    assert sorted(repr((r["doc_id"], r["n_items"])) for r in got) == by_rule(rows, items[0])
 
 
 def test_items_of_few_words(spark, docs_of):
@@ -150,7 +126,7 @@ def test_items_of_few_words(spark, docs_of):
             words[j] = "other"
             rows.append((100 * n + j, " ".join(words), None, None))
     got = D.leak_report(docs_of(rows), spark.createDataFrame(asked, "item_id long, text string")).collect()
-    assert sorted((r["doc_id"], r["n_items"]) for r in got) == by_rule([r[:2] for r in rows], asked)
+    assert sorted(repr((r["doc_id"], r["n_items"])) for r in got) == by_rule([r[:2] for r in rows], asked)
     assert all(r["leaked"] for r in got if r["doc_id"] < 100)
     assert {r["doc_id"] // 100 for r in got if r["leaked"]} == {0, 5, 6, 7}
 

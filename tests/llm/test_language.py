@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -82,3 +83,32 @@ def test_pieces_do_not_change_shares(monkeypatch):
     assert abs(whole.sum() - 1) < 1e-9
     monkeypatch.setattr(language, "PIECE", 1000)
     assert np.abs(language.grams(data) - whole).max() < 2e-3
+
+
+@pytest.mark.parametrize("langs", [["aa", "bb"], ["aa", "bb", "cc"], [*SYLLABLES]])
+def test_decoding_against_brute_force(langs):
+    """Every codeword's loss, summed bit by bit in plain Python from the margins."""
+    profiles = np.array([sum(language.grams(text(x, i).encode()) for i in range(20)) for x in langs])
+    model = language.learn(langs, profiles)
+    model.trust[:] = np.random.default_rng(1).uniform(0.2, 1, model.trust.shape)
+    for i, x in enumerate([*langs] * 3):
+        data = (text(x, 900 + i, 30) + " " + text(langs[i % len(langs)], i, 25)).encode()
+        odds = [
+            sum(language.GAIN * s * w for s, w in zip(language.grams(data), model.weights[:, b], strict=True))
+            for b in range(model.code.shape[1])
+        ]
+        loss = []
+        for word, trust in zip(model.code, model.trust, strict=True):
+            terms = [t * math.exp(min(max(-o * sign, -20), 20)) for t, o, sign in zip(trust, odds, word, strict=True)]
+            loss.append(sum(terms) / sum(trust))
+        got, score, near = model.predict(data)
+        ranked = sorted(range(len(langs)), key=loss.__getitem__)
+        assert got == langs[ranked[0]]
+        assert near == (loss[ranked[1]] < (1 + language.NEAR) * loss[ranked[0]])
+        assert score >= 1 / len(langs) - 1e-9
+
+
+def test_only_the_commonest_labels_are_learned(docs_of, monkeypatch):
+    monkeypatch.setattr(language, "MAX_LANGUAGES", 2)
+    rows = [*corpus(["aa", "bb"]), *corpus(["cc"], 5)]
+    assert {r["lang_pred"] for r in language.identify_languages(docs_of(rows)).collect()} == {"aa", "bb"}
