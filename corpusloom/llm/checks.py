@@ -1,7 +1,7 @@
 """DuckDB SQL that must give the same rows as the query of the same name.
 
-Operators 2, 3 and 5 need a trained classifier or a tokenizer and operator 9 the draws of its
-rounding; tests hold them against brute force and round trips instead.
+Operators 2, 3, 5 and 11 need a trained classifier or a tokenizer, operator 9 the draws of its
+rounding and operator 13 eigenvectors; tests hold them against brute force and round trips instead.
 """
 
 from __future__ import annotations
@@ -111,6 +111,34 @@ per_doc AS (SELECT doc_id, count(*) AS n_items, max(matched) AS matched,
 SELECT doc_id, n_items IS NOT NULL AS leaked, coalesce(n_items, 0) AS n_items, best_item,
   CAST(matched AS BIGINT) AS matched FROM documents LEFT JOIN per_doc USING (doc_id)"""
 
+
+
+def _assigned(n: int) -> str:
+    """Each part's nearest entry of codebook ``n``, the first one on ties, and its distance."""
+    return f"""a{n} AS MATERIALIZED (SELECT rid, part, any_value(x) AS x, min(d * 256 + entry) % 256 AS entry, min(d * 256 + entry) // 256 AS d FROM (
+  SELECT rid, p.part, x, entry, CAST(list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(x, c)]) AS HUGEINT) AS d
+  FROM p JOIN c{n} USING (part)) GROUP BY rid, part)"""
+
+
+def _moved(n: int) -> str:
+    """Codebook ``n + 1``: floor of the mean of what codebook ``n`` got; other entries stay."""
+    return f"""c{n + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m, c) AS c FROM c{n} LEFT JOIN (
+  SELECT part, entry, list((s - ((s % k) + k) % k) // k ORDER BY pos) AS m FROM (
+    SELECT part, entry, pos, sum(v) AS s, count(*) AS k FROM (
+      SELECT part, entry, unnest(x) AS v, unnest(range(len(x))) AS pos FROM a{n}) GROUP BY part, entry, pos) GROUP BY part, entry) USING (part, entry))"""
+
+
+OP12 = f"""WITH v AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS rid FROM (
+  SELECT vec_id, label, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(CAST(x AS DOUBLE))]) = 0)),
+p AS MATERIALIZED (SELECT rid, part, v[part * len(v) // 4 + 1:(part + 1) * len(v) // 4] AS x FROM v, (SELECT unnest(range(4)) AS part)),
+c0 AS (SELECT part, rid AS entry, x AS c FROM p WHERE rid < 256),
+{", ".join(_assigned(n) + ", " + _moved(n) for n in range(4))}, {_assigned(4)},
+done AS (SELECT rid, string_agg(printf('%02x', CAST(entry AS BIGINT)), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a4 GROUP BY rid),
+book AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c4)
+SELECT vec_id, label, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM v JOIN done USING (rid), book"""
+
 SQL: dict[str, str] = {
     "op1_secret_scan": OP1,
     "op4_top_k": OP4,
@@ -118,4 +146,5 @@ SQL: dict[str, str] = {
     "op7_substring_dedup": OP7,
     "op8_near_duplicates": OP8,
     "op10_decontamination": OP10,
+    "op12_vector_codes": OP12,
 }

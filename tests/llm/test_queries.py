@@ -44,7 +44,7 @@ def test_query(spark, duck, name):
 
 def test_all_are_registered():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
-    assert numbers == [*range(1, 11)]
+    assert numbers == [*range(1, 14)]
     assert {*queries.QUERIES, "pipeline"} <= {*entry_points.queries()}
     assert {*checks.SQL} <= {*entry_points.oracle_sql()}
 
