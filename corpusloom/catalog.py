@@ -32,6 +32,22 @@ ENTITY = Rule("truncate", r"&[a-z]+;", r"\.html?$")
 TIMEOUT = Rule("truncate", r"\p{Ll}+out=[0-9]+")
 CUSTOM_RULES = (QUOTED_SECRET, NAVIGATION, TIMEOUT)
 
+# Classes with set operations, in classes, and with blanks and notes between.
+CLASS_RULES = (
+    Rule("redact", r"""(?x) pass[a-z&&[wW]]ord \s* = \s*  # the name, then
+        [ [:alnum:] -- [:digit:] ]+  # letters only"""),
+    Rule("truncate", r"[a-z&&[^aeiou]]{4,}", r"(?x) \. [ t x && [^h] ]+ $"),
+    Rule("truncate", r"(?i)&[a-f~~d-z]+;", r"\.html?$"),
+    Rule("truncate", r"(?-u:\d)[[0-4][8-9]]{2,}", r"\.cfg$"),
+)
+# The same with the classes spelt out.
+SPELT_RULES = (
+    Rule("redact", r"password\s*=\s*[A-Za-z]+"),
+    Rule("truncate", r"[b-df-hj-np-tv-z]{4,}", r"\.[tx]+$"),
+    Rule("truncate", r"&[a-cg-zA-CG-Z]+;", r"\.html?$"),
+    Rule("truncate", r"[0-9][0-489]{2,}", r"\.cfg$"),
+)
+
 # File name endings dealt out over the documents of the name-based queries.
 ENDINGS = (
     ".txt", ".md", ".rs", ".RS", ".py", ".css", ".CSS", ".html", ".yml", ".svg", ".PNG",
@@ -201,6 +217,17 @@ def binary_content(spark, sf_dir):
     return admission.admit(files).select("path", "size", "status", "reason")
 
 
+def text_content(spark, sf_dir):
+    """Pages with a NUL and a beginning, by number: some beginnings tell a text whatever follows."""
+    starts = ("", "<!doctype HTML>", " \n<html >", "<htm>", "#!/bin/sh\n", "#!AMR\n", "<?xml ?>", "<!-- ", "x<p>", "<P>", "<br/>", "BMW ")
+    start = F.element_at(F.array(*map(F.lit, starts)), (F.pmod("page_id", F.lit(len(starts))) + 1).cast("int"))
+    raw = F.concat(start.cast("binary"), F.lit(bytes(1)), F.col("html").cast("binary"))
+    files = table(spark, sf_dir, "pages").select(
+        F.col("page_id").cast("string").alias("path"), raw.alias("raw"), F.octet_length(raw).cast("bigint").alias("size")
+    )
+    return admission.admit(files).select("path", "size", "status", "reason")
+
+
 def admission_log(spark, sf_dir):
     return admission.admission_log(admission.admit(named_files(spark, sf_dir), SMALL))
 
@@ -253,6 +280,11 @@ def custom_rules(spark, sf_dir):
     return _digest(rules.rewrite(_text_corpus(spark, sf_dir), CUSTOM_RULES))
 
 
+def class_rules(spark, sf_dir):
+    """Rules whose classes are sets worked out of others."""
+    return _digest(rules.rewrite(_text_corpus(spark, sf_dir), CLASS_RULES))
+
+
 def extended_rules(spark, sf_dir):
     files = admission.admit(secret_files(spark, sf_dir))
     return rules.rewrite(files, EXTENDED_RULES).select("path", "content")
@@ -482,6 +514,27 @@ def ref_select(spark, sf_dir):
     return snapshots.resolve_references(requests, named.unionByName(by_id), defaults)
 
 
+def ref_symbolic(spark, sf_dir):
+    """Branches in chains that end at a commit, in nothing, or in a circle, and the orders' wishes for them."""
+    key = F.col("c_custkey")
+    name = lambda k: F.concat(F.lit("refs/heads/c"), k.cast("string"))
+    # Of eight: one commit, a chain of three to it, a circle of two, one that points to itself, one to nothing.
+    part = F.pmod(key, F.lit(8))
+    target = (
+        F.when(part.isin(1, 2, 3), name(key - 1)).when(part == 4, name(key + 1)).when(part == 5, name(key - 1))
+        .when(part == 6, name(key)).when(part == 7, F.lit("refs/heads/none"))
+    )
+    repo = _join("r", _range("c_custkey", 64)).alias("repo")
+    refs = table(spark, sf_dir, "customer").select(
+        repo, name(key).alias("name"), F.when(part == 0, F.md5(key.cast("string").cast("binary"))).alias("commit"), target.alias("target")
+    )
+    defaults = refs.select("repo").distinct().withColumn("commit", F.md5(F.col("repo").cast("binary")))
+    requests = table(spark, sf_dir, "orders").select(
+        "o_orderkey", _join("r", _range("o_custkey", 64)).alias("repo"), _join("c", F.col("o_custkey")).alias("reference")
+    )
+    return snapshots.resolve_references(requests, refs, defaults)
+
+
 def snapshot_diff(spark, sf_dir):
     docs = document_files(spark, sf_dir)
     before = docs.unionByName(page_files(spark, sf_dir))
@@ -509,6 +562,21 @@ def ignored(spark, sf_dir):
     return ignore.ignored_files(files, ignore.parse_rules(lines))
 
 
+def ignored_by_name(spark, sf_dir):
+    """A rule file with a line for every seventh page and every eleventh turn, next to patterns."""
+    files = corpus(spark, sf_dir).select("path")
+    pages, turns = table(spark, sf_dir, "pages"), table(spark, sf_dir, "conversations")
+    lines = [
+        pages.where("page_id % 7 = 0").select(F.col("page_id").alias("n"), _join("/pages/", F.col("page_id"), ".html").alias("line")),
+        turns.where("(conv_id + turn) % 11 = 0").select("conv_id", _join("conversations/", F.col("conv_id"), "/", F.col("turn"), ".json")),
+        spark.createDataFrame([(1 << 40, "*5.cfg"), ((1 << 40) + 1, "!85.cfg"), ((1 << 40) + 2, "1*"), ((1 << 40) + 3, "!/pages/14*.html")], "n long, line string"),
+    ]
+    given = lines[0].union(lines[1]).union(lines[2]).select(
+        F.lit("").alias("owner"), F.lit("gitignore").alias("kind"), F.col("n").alias("line_no"), "line"
+    )
+    return ignore.ignored_files(files, ignore.parse_rules(given))
+
+
 def unknown_rule_type(spark, sf_dir):
     """A rule of a type that doesn't exist is skipped."""
     with warnings.catch_warnings():
@@ -536,9 +604,9 @@ def file_scan(spark, sf_dir):
 
 
 def file_admission(spark, sf_dir):
-    """Documents written as files of all kinds of names, read and admitted."""
+    """Documents written as files of all kinds of names, read and admitted up to the default limit."""
     folder = _as_files(spark, named_files(spark, sf_dir))
-    files = admission.admit(file_source.read_corpus(spark, folder, folder, max_size=SMALL), SMALL)
+    files = admission.admit(file_source.read_corpus(spark, folder, folder))
     return files.select("path", "size", "status", "reason", F.md5(F.col("content").cast("binary")).alias("digest"))
 
 
@@ -553,14 +621,14 @@ QUERIES = {
     f.__name__: f
     for f in (
         corpus_counts, path_parts, language, file_flags, admit_status, status_counts,
-        binary_content, admission_log, token_estimate, redact_default, truncate_style, truncate_svg,
-        truncate_json, truncate_generic, css_collapse, rule_chain, custom_rules,
+        binary_content, text_content, admission_log, token_estimate, redact_default, truncate_style, truncate_svg,
+        truncate_json, truncate_generic, css_collapse, rule_chain, custom_rules, class_rules,
         extended_rules, rule_applicability, match_counts, redaction_totals, match_spans,
         match_lines, line_offsets, safe_log, unsafe_log, log_headers, lines_grouped,
         tree_dirs, tree_lines, tree_text, path_order, sample_files, md_sections, xml_sections,
         xml_escaped, json_records, md_bundle, xml_bundle, json_bundle, bundle_totals,
         document_totals, document_parts, document_sink, json_sink, source_specs, size_literals, subpath, vcs_dirs,
-        ref_select, snapshot_diff, ignored, unknown_rule_type, bad_pattern, file_scan, file_admission,
+        ref_select, ref_symbolic, snapshot_diff, ignored, ignored_by_name, unknown_rule_type, bad_pattern, file_scan, file_admission,
         file_contents,
     )
 }

@@ -330,6 +330,25 @@ LEFT JOIN refs t ON t.repo = q.repo AND t.name = 'refs/tags/' || reference
 LEFT JOIN refs o ON o.repo = q.repo AND o.name = 'refs/remotes/origin/' || reference
 LEFT JOIN (SELECT DISTINCT repo, md5(repo) AS commit FROM refs) d ON d.repo = q.repo"""
 
+SYMBOLIC = """WITH RECURSIVE refs AS (SELECT c_custkey AS k, c_custkey % 8 AS part FROM customer),
+paths AS (SELECT k, k AS place, part, 0 AS steps FROM refs UNION ALL
+  SELECT p.k, r.k, r.part, steps + 1 FROM paths p JOIN refs r ON r.k = p.place - 1 WHERE p.part IN (1, 2, 3) AND steps < 9),
+ends AS (SELECT k, md5(CAST(place AS VARCHAR)) AS commit FROM paths WHERE part = 0),
+wanted AS (SELECT o_orderkey, 'r' || (o_custkey // 64) AS repo, 'c' || o_custkey AS reference, o_custkey AS k FROM orders)
+SELECT o_orderkey, repo, reference, coalesce(ends.commit, CASE WHEN EXISTS (FROM refs WHERE refs.k // 64 = wanted.k // 64) THEN md5(repo) END) AS commit,
+  ends.commit IS NOT NULL AS reference_found FROM wanted LEFT JOIN ends USING (k)"""
+
+BY_NAME = f"""WITH files AS (SELECT path, {NAME.format("path")} AS name FROM ({CORPUS})),
+named AS (SELECT 'pages/' || page_id || '.html' AS path, page_id AS n FROM pages WHERE page_id % 7 = 0
+  UNION ALL SELECT 'conversations/' || conv_id || '/' || turn || '.json', conv_id FROM conversations WHERE (conv_id + turn) % 11 = 0),
+dirs AS (SELECT DISTINCT unnest(list_transform(range(1, len(p)), lambda k: array_to_string(p[1:k], '/'))) AS dir
+  FROM (SELECT string_split(path, '/') AS p FROM files)),
+gone AS (SELECT dir FROM dirs WHERE starts_with({NAME.format("dir")}, '1'))
+SELECT path, CASE WHEN EXISTS (FROM gone WHERE starts_with(path, dir || '/')) THEN true
+  WHEN regexp_matches(path, '^pages/14[^/]*\\.html$') THEN false WHEN starts_with(name, '1') THEN true
+  WHEN name = '85.cfg' THEN false WHEN ends_with(name, '5.cfg') THEN true
+  ELSE path IN (SELECT path FROM named) END AS ignored FROM files"""
+
 TOPS = f"SELECT *, string_split(path, '/')[1] AS top FROM ({CORPUS})"
 LINES_OF_WHOLE = """SELECT unnest(range(len(lines))) AS position, md5(unnest(lines)) AS digest
 FROM (SELECT string_split(text[:-2], chr(10)) AS lines FROM whole)"""
@@ -355,6 +374,11 @@ SELECT status, count(*) AS files FROM c0 GROUP BY status""",
   CASE WHEN lang IN ('en', 'de') THEN 'text' ELSE 'binary' END AS status,
   CASE WHEN lang IN ('en', 'de') THEN 'text' WHEN lang = 'es' THEN 'invalid utf-8'
   ELSE 'binary content' END AS reason FROM documents""",
+    "text_content": """SELECT CAST(page_id AS VARCHAR) AS path, CAST(strlen(s) + 1 + strlen(html) AS BIGINT) AS size,
+  CASE WHEN p IN (1, 2, 4, 6, 7, 9) THEN 'text' ELSE 'binary' END AS status,
+  CASE WHEN p IN (1, 2, 4, 6, 7, 9) THEN 'text' ELSE 'binary content' END AS reason
+FROM (SELECT *, page_id % 12 AS p, (['', '<!doctype HTML>', ' ' || chr(10) || '<html >', '<htm>', '#!/bin/sh' || chr(10), '#!AMR' || chr(10),
+  '<?xml ?>', '<!-- ', 'x<p>', '<P>', '<br/>', 'BMW '])[page_id % 12 + 1] AS s FROM pages)""",
     "admission_log": f"""WITH {_admitted(NAMED, c.SMALL)} SELECT path, 'Filter applied: '
   || CASE reason WHEN 'stylesheet' THEN 'CSS content simplification'
   ELSE 'Binary detection by extension' END || ' - ' || path AS message
@@ -369,6 +393,7 @@ FROM c0 WHERE reason IN ('stylesheet', 'binary extension')""",
     "css_collapse": _rewritten(NAMED) + DIGEST,
     "rule_chain": _rewritten(CORPUS) + DIGEST,
     "custom_rules": _rewritten(CORPUS, c.CUSTOM_RULES) + DIGEST,
+    "class_rules": _rewritten(CORPUS, c.SPELT_RULES) + DIGEST,
     "extended_rules": _rewritten(SECRETS, EXTENDED_RULES) + "SELECT path, content FROM done",
     "rule_applicability": " UNION ALL ".join(
         f"SELECT path, {i} AS rule_id, '{r.type}' AS type FROM ({CORPUS}) WHERE "
@@ -458,6 +483,7 @@ WHERE starts_with(path, 'docs/src1/')""",
     "vcs_dirs": """SELECT source || CASE lang WHEN 'fr' THEN '/.github/' ELSE '/' END || doc_id
   || CASE lang WHEN 'de' THEN '/.git' ELSE '' END AS path FROM documents WHERE lang <> 'en'""",
     "ref_select": REFS,
+    "ref_symbolic": SYMBOLIC,
     "snapshot_diff": f"""{_rewritten(DOCS, c.CUSTOM_RULES)},
 before AS (SELECT path, content FROM ({DOCS}) UNION ALL SELECT path, content FROM ({PAGES})),
 after AS (SELECT path, content FROM done UNION ALL SELECT path, content FROM ({TURNS}))
@@ -465,12 +491,13 @@ SELECT coalesce(b.path, a.path) AS path, CASE WHEN b.path IS NULL THEN 'added'
   WHEN a.path IS NULL THEN 'removed' WHEN a.content = b.content THEN 'same' ELSE 'changed' END AS change
 FROM before b FULL JOIN after a ON a.path = b.path""",
     "ignored": _ignored(),
+    "ignored_by_name": BY_NAME,
     "unknown_rule_type": _rewritten(CORPUS, [c.TIMEOUT]) + DIGEST,
     "bad_pattern": _rewritten(CORPUS, [c.TIMEOUT])
     + """SELECT path, CASE WHEN bad THEN 'error' ELSE status END AS status, CASE WHEN NOT bad THEN md5(content) END AS digest
 FROM (SELECT *, status = 'text' AND regexp_matches(path, '\\.(cfg|json)$') AS bad FROM done)""",
     "file_scan": f"SELECT path, strlen(content) AS size FROM ({DOCS})",
-    "file_admission": f"""WITH {_admitted(NAMED, c.SMALL)} SELECT path, strlen(given) AS size, status, reason,
+    "file_admission": f"""WITH {_admitted(NAMED)} SELECT path, strlen(given) AS size, status, reason,
   md5(content) AS digest FROM c0""",
     "file_contents": f"""WITH {_admitted(NAMED)} SELECT path, strlen(given) AS size, status, reason,
   md5(content) AS digest FROM c0""",

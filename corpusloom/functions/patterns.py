@@ -2,18 +2,23 @@
 
 Texts are searched with RE2, which is of the same family: :func:`to_re2` spells out what RE2 takes
 for ASCII (``\\d``, ``\\s``, ``\\w``) and refuses what it would misread. Paths are tested inside
-Spark's plans with Java's engine: :func:`to_java`. Look-around, back-references and possessive
-repeats do not exist in the dialect; set operations in classes, the ``x`` and ``u`` flags and the
-``\\<``, ``\\>`` and ``\\b{...}`` assertions do, but not on both sides, and are refused as well, so
-that a pattern that is taken means what it says.
+Spark's plans with Java's engine: :func:`to_java`. Classes with set operations, classes in classes
+and classes under the flags ``x`` or ``-u`` are worked out as sets of code points and written as
+ranges (:mod:`.classes`); those flags then go. Look-around, back-references and possessive repeats do
+not exist in the dialect; the ``\\<``, ``\\>`` and ``\\b{...}`` assertions do, but not on both
+sides, and are refused as well, so that a pattern that is taken means what it says.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
+
+from . import classes
 
 _LOOK = re.compile(r"\(\?(?:<?[=!]|>)")
-_FLAGS = re.compile(r"\(\?([a-zA-Z]*)(?:-([a-zA-Z]*))?[:)]")
+_FLAGS = re.compile(r"\(\?([a-zA-Z]*)(?:-([a-zA-Z]*))?([:)])")
 # Named ASCII classes of the rule dialect.
 _NAMED_CLASS = {
     "[:alnum:]": "0-9A-Za-z",
@@ -44,60 +49,151 @@ class PatternError(ValueError):
     """The pattern is not valid in the rule dialect."""
 
 
-def _tokens(pattern: str):
-    """Yield (token, inside_class): an escape pair or one character each."""
-    inside, i = 0, 0
-    while i < len(pattern):
-        named = next((n for n in _NAMED_CLASS if inside and pattern.startswith(n, i)), None)
+@dataclass(frozen=True)
+class _Flags:
+    """The flags that the scan itself acts upon; the engines see to the others."""
+
+    i: bool = False
+    x: bool = False
+    u: bool = True
+
+
+@dataclass(frozen=True)
+class _Token:
+    """A piece of a pattern: text as it stands, in a plain class or not, or a class as a set."""
+
+    text: str
+    inside: bool = False
+    ranges: classes.Ranges | None = None
+    flags: _Flags = _Flags()
+
+
+def _plain_class(pattern: str, start: int) -> int | None:
+    """Where the class that opens at ``start`` ends, if engines read it alike; None if it must be worked out."""
+    at = start + 1 + pattern.startswith("^", start + 1)
+    at += pattern.startswith("]", at)
+    while at < len(pattern):
+        named = next((n for n in _NAMED_CLASS if pattern.startswith(n, at)), None)
         if named:
-            token = named
-        elif pattern[i] == "\\":
-            braced = re.match(r"\\[pPx]\{[^}]*\}", pattern[i:])
-            token = braced[0] if braced else pattern[i : i + 2]
+            at += len(named)
+        elif pattern[at] == "[" or pattern[at : at + 2] in ("&&", "--", "~~", r"\W"):
+            return None
+        elif pattern[at] == "]":
+            return at + 1
+        else:
+            at += len(_escape(pattern, at)) if pattern[at] == "\\" else 1
+    return None
+
+
+def _escape(pattern: str, at: int) -> str:
+    braced = re.compile(r"\\[pPx]\{[^}]*\}").match(pattern, at)
+    return braced[0] if braced else pattern[at : at + 2]
+
+
+def _plain_tokens(text: str) -> Iterator[_Token]:
+    """The pieces of a plain class from its bracket to the other one."""
+    head = re.match(r"\[\^?\]?", text)[0]
+    yield _Token("[")
+    for char in head[1:]:
+        yield _Token("\\]" if char == "]" else char, True)
+    at = len(head)
+    while at < len(text) - 1:
+        named = next((n for n in _NAMED_CLASS if text.startswith(n, at)), None)
+        token = named or (_escape(text, at) if text[at] == "\\" else text[at])
+        yield _Token(token, True)
+        at += len(token)
+    yield _Token("]", True)
+
+
+def _scan(pattern: str) -> Iterator[_Token]:
+    """The pieces of a pattern; flags that engines don't share are acted upon and left out."""
+    at, flags, outer = 0, _Flags(), []
+    while at < len(pattern):
+        char = pattern[at]
+        if flags.x and char.isspace():
+            at += 1
+        elif flags.x and char == "#":
+            end = pattern.find("\n", at)
+            at = len(pattern) if end < 0 else end + 1
+        elif char == "[":
+            end = _plain_class(pattern, at) if flags.u and not flags.x else None
+            if end:
+                yield from _plain_tokens(pattern[at:end])
+                at = end
+            else:
+                ranges, at = classes.parse(pattern, at, flags.i, flags.x, flags.u)
+                yield _Token("[]", False, ranges, flags)
+        elif char == "\\":
+            token = _escape(pattern, at)
+            yield _Token(token, flags=flags)
+            at += len(token)
+        elif char == "(":
+            setting = _FLAGS.match(pattern, at)
+            if _LOOK.match(pattern, at):
+                raise PatternError(f"look-around is not supported: {pattern}")
+            if not setting:
+                outer.append(flags)
+                yield _Token("(")
+                at += 1
+                continue
+            on, off = setting[1], setting[2] or ""
+            if set(on + off) - set("imsUxu"):
+                raise PatternError(f"a flag of {setting[0]} is not supported: {pattern}")
+            if setting[3] == ":":
+                outer.append(flags)
+            for f in "ixu":
+                flags = replace(flags, **{f: f in on or f not in off and getattr(flags, f)})
+            on, off = ("".join(c for c in part if c not in "xu") for part in (on, off))
+            if on or off or setting[3] == ":":
+                yield _Token(f"(?{on}{'-' * bool(off)}{off}{setting[3]}")
+            at = setting.end()
         else:
-            token = pattern[i]
-        yield token, inside > 0
-        if token == "[":
-            inside += 1
-            # A bracket right after the opening (or its ^) is a member.
-            head = re.match(r"\^?\]", pattern[i + 1 :])
-            if head:
-                yield head[0][:-1] + "\\]", True
-                i += head.end()
-        elif token == "]" and inside:
-            inside -= 1
-        i += len(token)
-
-
-def _checked(pattern: str) -> list[tuple[str, bool]]:
-    """The pattern's tokens, once it holds nothing that an engine would misread."""
-    tokens = list(_tokens(pattern))
-    previous, inside_text = "", ""
-    for at, (token, inside) in enumerate(tokens):
-        following = tokens[at + 1][0] if at + 1 < len(tokens) else ""
-        if inside:
-            inside_text += token
-            if token == "[" or any(x in inside_text[-2:] for x in ("&&", "--", "~~")):
-                raise PatternError(f"set operations in classes are not supported: {pattern}")
+            if char == ")" and outer:
+                flags = outer.pop()
+            yield _Token(char, flags=flags)
+            at += 1
+
+
+def _checked(pattern: str) -> list[_Token]:
+    """The pattern's pieces, once it holds nothing that an engine would misread."""
+    try:
+        tokens = list(_scan(pattern))
+    except classes.ClassError as e:
+        raise PatternError(f"{e}: {pattern}") from None
+    previous = ""
+    for at, token in enumerate(tokens):
+        text, following = token.text, tokens[at + 1].text if at + 1 < len(tokens) else ""
+        if token.inside:
             previous = ""
             continue
-        inside_text = ""
-        if token[0] == "\\" and token[1:].isdigit() or token == "\\k":
+        if text[0] == "\\" and text[1:].isdigit() or text == "\\k":
             raise PatternError(f"backreferences are not supported: {pattern}")
-        if token in ("\\<", "\\>", "\\C", "\\Q", "\\E") or token == "\\b" and following == "{":
-            raise PatternError(f"{token}{following if token == '\\b' else ''} is not supported: {pattern}")
-        if token == "+" and previous in ("*", "+", "?", "}"):
+        if text in ("\\<", "\\>", "\\C", "\\Q", "\\E") or text == "\\b" and following == "{":
+            raise PatternError(f"{text}{following if text == '\\b' else ''} is not supported: {pattern}")
+        if text == "+" and previous in ("*", "+", "?", "}"):
             raise PatternError(f"possessive repeats are not supported: {pattern}")
-        previous = token
-    plain = "".join(t for t, inside in tokens if not inside)
-    if _LOOK.search(plain):
-        raise PatternError(f"look-around is not supported: {pattern}")
-    for on, off in _FLAGS.findall(plain):
-        if set(on + off) - set("imsU"):
-            raise PatternError(f"a flag of (?{on}-{off}) is not supported: {pattern}")
+        if not token.flags.u and (text in (".", r"\D", r"\S", r"\W") or token.ranges and token.ranges[-1][1] > 0x7F):
+            raise PatternError(f"without Unicode, {'a class' if token.ranges else text} would match parts of characters: {pattern}")
+        previous = text
     return tokens
 
 
+def _spelt(token: _Token) -> str | None:
+    """Pieces that no engine is left to read by its own rules; None for all others."""
+    if token.ranges is not None:
+        text = classes.written(token.ranges)
+    elif token.inside or token.flags.u:
+        return None
+    elif token.text in (r"\d", r"\s", r"\w"):
+        text = classes.written(classes.letter(token.text[1], unicode=False))
+    elif token.flags.i and len(token.text) == 1 and (token.text in "kKsS" or not token.text.isascii()):
+        text = classes.written(classes.folded(((ord(token.text),) * 2,), unicode=False))
+    else:
+        return None
+    # Cases are in the set already; without Unicode, an engine would add some that don't belong.
+    return f"(?-i:{text})" if token.flags.i else text
+
+
 def _code_points(pattern: str) -> str:
     """Escapes of a code point by four or eight digits in the form that both engines have."""
     return re.sub(
@@ -110,17 +206,18 @@ def _code_points(pattern: str) -> str:
 def to_re2(pattern: str) -> str:
     """The same pattern for RE2. Word boundaries go by ASCII words there."""
     out = []
-    for token, inside in _checked(_code_points(pattern)):
-        if inside and token == r"\W":
-            raise PatternError(f"\\W in a class is not supported: {pattern}")
-        if token == r"\W":
+    for token in _checked(_code_points(pattern)):
+        text, spelt = token.text, _spelt(token)
+        if spelt is not None:
+            out.append(spelt)
+        elif text == r"\W":
             out.append(f"[^{_WORD}]")
-        elif token in _RE2_CLASS:
-            out.append(_RE2_CLASS[token] if inside else f"[{_RE2_CLASS[token]}]")
-        elif inside:
-            out.append(_NAMED_CLASS.get(token, token))
+        elif text in _RE2_CLASS:
+            out.append(_RE2_CLASS[text] if token.inside else f"[{_RE2_CLASS[text]}]")
+        elif token.inside:
+            out.append(_NAMED_CLASS.get(text, text))
         else:
-            out.append(token)
+            out.append(text)
     return "".join(out)
 
 
@@ -131,15 +228,18 @@ def to_java(pattern: str) -> str:
     to let ``$`` mean the very end of the text.
     """
     tokens = _checked(_code_points(pattern))
-    flags = "".join(on for on, _ in _FLAGS.findall("".join(t for t, inside in tokens if not inside)))
+    flags = "".join(on for on, *_ in _FLAGS.findall("".join(t.text for t in tokens if not t.inside)))
     if "U" in flags:
         raise PatternError(f"swapped greed is not supported for paths: {pattern}")
     out = []
-    for token, inside in tokens:
-        if inside:
-            out.append(_NAMED_CLASS.get(token, token))
-        elif token == "$" and "m" not in flags:
+    for token in tokens:
+        text, spelt = token.text, _spelt(token)
+        if spelt is not None:
+            out.append(spelt)
+        elif token.inside:
+            out.append(_NAMED_CLASS.get(text, text))
+        elif text == "$" and "m" not in flags:
             out.append(r"\z")
         else:
-            out.append(token)
+            out.append(text)
     return "(?Ud)" + "".join(out).replace("(?P<", "(?<")

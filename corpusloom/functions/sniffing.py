@@ -74,8 +74,23 @@ SIGNATURES = (
     (0, "774F4632"),  # WOFF2
     (0, "0001000000"),  # TrueType
     (0, "4F54544F00"),  # OpenType
+    (0, "4D534346"),  # cabinet
+    (0, "43723234"),  # browser extension
+    (0, "EDABEEDB"),  # RPM
+    (0, "4C5A4950"),  # LZIP
+    (0, "2321414D52"),  # AMR sound, which begins like a script
+    (8, "41494646"),  # AIFF
+    (128, "4449434D"),  # DICOM
 )
 
+# The tags that HTML is told by, before a blank or a closing bracket, whatever their case.
+HTML_STARTS = (
+    "!DOCTYPE HTML", "HTML", "HEAD", "SCRIPT", "IFRAME", "H1", "DIV", "FONT", "TABLE", "A", "STYLE", "TITLE", "B",
+    "BODY", "BR", "P",
+)
+# Beginnings of texts: such a tag or a comment, or an XML declaration (behind white space), or a script's first line.
+_TEXT_KIND = r"^(?:[\t\n\x0C\r ]*<(?:(?i:%s)[ >]|!--|\?xml)|#!)" % "|".join(HTML_STARTS)
+
 _SNIFFED_BYTES = 1024
 _UTF8_MARK = "EFBBBF"
 
@@ -94,14 +109,16 @@ def has_binary_extension(ext: Column) -> Column:
 
 
 def looks_binary(raw: Column | str) -> Column:
-    """Known signature, or a NUL byte near the start of unmarked bytes."""
+    """Known signature, or a NUL byte near the start of bytes that no mark or beginning tells to be text."""
     raw = F.col(raw) if isinstance(raw, str) else raw
     signed = F.rlike(F.hex(F.substring(raw, 1, _NEAR)), F.lit(_SIGNED))
     for at, sig in SIGNATURES:
         if at >= _NEAR:
             signed = signed | (F.substring(raw, at + 1, len(sig) // 2) == _hex(sig))
     nul = F.contains(F.substring(raw, 1, _SNIFFED_BYTES), _hex("00"))
-    return signed | (nul & ~F.startswith(raw, _hex(_UTF8_MARK)))
+    # The beginning is only looked at where there is a NUL.
+    told = F.startswith(raw, _hex(_UTF8_MARK)) | F.rlike(F.decode(raw, "ISO-8859-1"), F.lit(_TEXT_KIND))
+    return signed | (nul & ~told)
 
 
 def is_utf8(raw: Column | str) -> Column:

@@ -2,7 +2,9 @@
 
 Arrow's compute functions search and replace; Python sees columns, not texts. Where matches are to
 be told apart, they are marked: replaced by themselves between two characters that no text of the
-batch holds.
+batch holds. Positions of all marks of a batch are then read off its one buffer of bytes at once:
+which text a mark lies in, which line and which character, are binary searches in sorted offsets.
+Batches are worked on in slices of a few megabytes, which bounds the offsets.
 """
 
 from __future__ import annotations
@@ -26,7 +28,9 @@ MATCH = pa.struct(
     + [("at_break", pa.bool_()), ("text", pa.string())]
 )
 LINE = pa.struct([("start", pa.int64()), ("len", pa.int64()), ("line", pa.string())])
-_PRIVATE = range(0xF0000, 0xF1000)
+#: Characters of private use that can be marks, four bytes each; bytes of text worked on at once.
+_PRIVATE = np.concatenate([np.arange(0xF0000, 0xFFFFE), np.arange(0x100000, 0x10FFFE)])
+_SLICE = 8 << 20
 
 
 def compiles(pattern: str) -> str | None:
@@ -61,8 +65,7 @@ class Batch:
     def marked(self, rows: np.ndarray, step) -> tuple[pa.Array, str, str]:
         """The texts of some rows with every match between two marks."""
         texts = self.texts.filter(pa.array(rows))
-        free = (chr(c) for c in _PRIVATE if not pc.any(pc.match_substring(texts, chr(c))).as_py())
-        opening, closing = next(free), next(free)
+        opening, closing = marks(raw_of(texts)[0])
         return pc.replace_substring_regex(texts, f"({step.re2})", f"{opening}\\1{closing}"), opening, closing
 
     def replace(self, rows: np.ndarray, step) -> None:
@@ -73,72 +76,140 @@ class Batch:
         self.changed |= rows
 
 
-def listed(per_row: list[list[pa.Array]], kind: pa.DataType, n: int) -> pa.Array:
-    """A list array from arrays of items, several per row."""
-    sizes = [sum(map(len, parts)) for parts in per_row]
-    flat = [a for parts in per_row for a in parts]
-    values = pa.concat_arrays(flat) if flat else pa.array([], kind)
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values)
+def raw_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts one behind the other, and where each begins (and the last ends)."""
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    _, offsets, data = texts.buffers()
+    bounds = np.frombuffer(offsets, kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return raw[bounds[0] : bounds[-1]], bounds - bounds[0]
+
+
+def four_bytes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and code points of the characters in the planes of private use."""
+    at = np.flatnonzero(raw >= 0xF3)
+    b = [raw[at + i].astype(np.int64) & m for i, m in enumerate((0x07, 0x3F, 0x3F, 0x3F))]
+    return at, b[0] << 18 | b[1] << 12 | b[2] << 6 | b[3]
+
+
+def marks(raw: np.ndarray) -> tuple[str, str]:
+    """Two characters that the bytes don't hold."""
+    used = four_bytes(raw)[1]
+    free = np.setdiff1d(_PRIVATE, used)[:2] if len(used) else _PRIVATE[:2]
+    if len(free) < 2:
+        raise _AllTaken("a text holds every character of private use: its matches can't be marked")
+    return chr(free[0]), chr(free[1])
+
+
+class _AllTaken(ValueError):
+    pass
+
+
+def sliced(paths: pa.Array, texts: pa.Array, work: Callable) -> pa.Array:
+    """``work(paths, texts)`` over slices of some megabytes; one whose marks are all taken is halved."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // _SLICE)) + 1
+    todo, done = [*zip([0, *cuts], [*cuts, len(texts)], strict=True)][::-1], []
+    while todo:
+        a, b = todo.pop()
+        try:
+            done.append(work(paths.slice(a, b - a), texts.slice(a, b - a)))
+        except _AllTaken:
+            if b - a < 2:
+                raise
+            todo += [((a + b) // 2, b), (a, (a + b) // 2)]
+    return pa.concat_arrays(done)
+
+
+def listed(rows: list[np.ndarray], parts: list[pa.StructArray], kind: pa.DataType, n: int) -> pa.Array:
+    """A list per row, from items of which each part has its rows, in rising order; a row's items by part."""
+    if not parts:
+        return pa.ListArray.from_arrays(pa.array(np.zeros(n + 1, np.int32)), pa.array([], kind))
+    row = np.concatenate(rows)
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))])
+    items = pa.concat_arrays(parts).take(pa.array(np.argsort(row, kind="stable")))
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), items)
+
+
+def _repeated(value, kind: pa.DataType, n: int) -> pa.Array:
+    return pa.repeat(pa.scalar(value, kind), n)
 
 
 def rewriting(steps: list, counts: bool):
     """A function of path and text: the new text (null where it is the old one) and matches by rule."""
 
-    def run(paths: pa.Array, texts: pa.Array) -> pa.Array:
-        batch, found = Batch(paths, texts), [[] for _ in range(len(texts))]
+    def work(paths: pa.Array, texts: pa.Array) -> pa.Array:
+        batch, found, items = Batch(paths, texts), [], []
         for step in steps:
             rows = batch.hits(step)
             if not rows.any():
                 continue
             if counts:
                 marked, opening, _ = batch.marked(rows, step)
-                for i, n in zip(np.flatnonzero(rows), pc.count_substring(marked, opening).to_pylist(), strict=True):
-                    found[i].append((step.rule_id, step.rule.type, n))
+                found.append(np.flatnonzero(rows))
+                n, times = len(marked), pc.count_substring(marked, opening).cast(pa.int64())
+                columns = [_repeated(step.rule_id, pa.int32(), n), _repeated(step.rule.type, pa.string(), n), times]
+                items.append(pa.StructArray.from_arrays(columns, fields=list(COUNT)))
             batch.replace(rows, step)
         fresh = pc.if_else(pa.array(batch.changed), batch.texts, pa.scalar(None, batch.texts.type))
-        rules = [[dict(zip(("rule_id", "type", "matches"), c, strict=True)) for c in row] for row in found]
-        return pa.StructArray.from_arrays([fresh, pa.array(rules, pa.list_(COUNT))], ["content", "rule_counts"])
+        return pa.StructArray.from_arrays([fresh, listed(found, items, COUNT, len(texts))], ["content", "rule_counts"])
+
+    def run(paths: pa.Array, texts: pa.Array) -> pa.Array:
+        return sliced(paths, texts, work)
 
     return _udf(run, "content string, rule_counts array<struct<rule_id: int, type: string, matches: bigint>>")
 
 
-def placed(data: bytes, marked: bytes, opening: bytes, closing: bytes):
-    """Start, length, character, line, place in the line and line-end flag of each marked match."""
-    pieces = [p.partition(closing) for p in marked.split(opening)[1:]]
-    sizes = np.fromiter((len(m) for m, _, _ in pieces), np.int64, len(pieces))
-    gaps = np.fromiter((len(g) for _, _, g in pieces), np.int64, len(pieces))
-    head = marked.index(opening)
-    start = head + np.concatenate([[0], np.cumsum(sizes + gaps)[:-1]])
-    raw = np.frombuffer(data, np.uint8)
-    chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[start]
-    breaks = np.flatnonzero(raw == 10)
-    line = np.searchsorted(breaks, start)
-    begins = np.concatenate([[0], breaks + 1])[line]
-    at_break = np.append(raw, 10)[start] == 10
-    return start, sizes, chars, line + 1, start - begins, at_break, [m for m, _, _ in pieces]
+def placed(before: pa.Array, marked: pa.Array, opening: str, closing: str) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Of each marked match: which text it lies in; its start, length, character, line, place in the
+    line and line-end flag; and where it starts among the bytes of all texts."""
+    raw, bounds = raw_of(before)
+    with_marks, marked_bounds = raw_of(marked)
+    at, code = four_bytes(with_marks)
+    opens, closes = at[code == ord(opening)], at[code == ord(closing)]
+    row = np.searchsorted(marked_bounds, opens, side="right") - 1
+    earlier = np.arange(len(row)) - np.searchsorted(row, row)  # in the same text; each took eight bytes of marks
+    start = opens - marked_bounds[row] - 8 * earlier
+    where, head = bounds[row] + start, bounds[row]
+    inner = np.flatnonzero((raw & 0xC0) == 0x80)  # bytes that begin no character
+    chars = start - (np.searchsorted(inner, where) - np.searchsorted(inner, head))
+    breaks = np.concatenate([[-1], np.flatnonzero(raw == 10)])
+    passed, own = np.searchsorted(breaks, where), np.searchsorted(breaks, head)
+    begins = np.maximum(breaks[passed - 1] + 1, head)
+    at_break = (where == bounds[row + 1]) | (np.append(raw, 0)[where] == 10)
+    return row, [start, closes - opens - 4, chars, passed - own + 1, where - begins, at_break], where
+
+
+def cut_out(raw: np.ndarray, where: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Pieces of the bytes as texts."""
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    data = raw[np.arange(bounds[-1]) + np.repeat(where - bounds[:-1], sizes)]
+    return pa.StringArray.from_buffers(len(sizes), pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(data))
 
 
 def finding(steps: list, safe: bool):
     """A function of path and text: every match of every rule, on the text as it stood before the rule."""
 
-    def run(paths: pa.Array, texts: pa.Array) -> pa.Array:
-        batch, found = Batch(paths, texts), [[] for _ in range(len(texts))]
+    def work(paths: pa.Array, texts: pa.Array) -> pa.Array:
+        batch, found, items = Batch(paths, texts), [], []
         for step in steps:
             rows = batch.hits(step)
             if not rows.any():
                 continue
-            marked, *marks = batch.marked(rows, step)
+            marked, *pair = batch.marked(rows, step)
             before = batch.texts.filter(pa.array(rows))
-            for at, i in enumerate(np.flatnonzero(rows)):
-                data = before[at].as_buffer().to_pybytes()
-                *numbers, shown = placed(data, marked[at].as_buffer().to_pybytes(), *(m.encode() for m in marks))
-                n = len(shown)
-                columns = [pa.array(np.full(n, step.rule_id, np.int32)), pa.array([step.rule.type] * n, pa.string())]
-                columns += [pa.array(x) for x in numbers]
-                columns.append(pa.nulls(n, pa.string()) if safe else pa.array(shown, pa.binary()).cast(pa.string()))
-                found[i].append(pa.StructArray.from_arrays(columns, fields=list(MATCH)))
+            row, numbers, where = placed(before, marked, *pair)
+            n = len(row)
+            text = pa.nulls(n, pa.string()) if safe else cut_out(raw_of(before)[0], where, numbers[1])
+            columns = [_repeated(step.rule_id, pa.int32(), n), _repeated(step.rule.type, pa.string(), n)]
+            columns += [*map(pa.array, numbers), text]
+            found.append(np.flatnonzero(rows)[row])
+            items.append(pa.StructArray.from_arrays(columns, fields=list(MATCH)))
             batch.replace(rows, step)
-        return pa.StructArray.from_arrays([listed(found, MATCH, len(texts))], ["matches"])
+        return pa.StructArray.from_arrays([listed(found, items, MATCH, len(texts))], ["matches"])
+
+    def run(paths: pa.Array, texts: pa.Array) -> pa.Array:
+        return sliced(paths, texts, work)
 
     return _udf(run, f"matches array<struct<{MATCH_FIELDS.replace(' ', ': ')}>>".replace(",: ", ", "))
 

@@ -28,6 +28,11 @@ GIT_IGNORE_FILE = ".gitignore"
 GIT_EXCLUDE_FILE = ".git/info/exclude"
 KINDS = {"ignore": 4, "gitignore": 3, "exclude": 2, "global": 1}
 
+#: Characters up to which the end or beginning of a name is looked up by its length.
+LONGEST_KEY = 255
+_SEP = "\u0000"
+
+
 def drop_vcs(files: DataFrame) -> DataFrame:
     """Leave out everything below a directory named ``.git``; a file of that name stays."""
     return files.where(~under_directory("path", ".git"))
@@ -101,17 +106,66 @@ def glob_text(glob: str) -> str | None:
     return rf"(?s)\A{'' if anchored else '(?:.*/)?'}{''.join(out)}\z"
 
 
-def _glob_texts(globs: pa.Array) -> pa.Array:
-    found = [g if g is None else glob_text(g) for g in globs.to_pylist()]
-    for glob, regex in zip(globs.to_pylist(), found, strict=True):
+def _plain(glob: str) -> str | None:
+    """What a glob without wildcards stands for; None if it has some."""
+    out, i = [], 0
+    while i < len(glob):
+        if glob[i] in "*?[":
+            return None
+        i += glob[i] == "\\"
+        out.append(glob[i : i + 1])
+        i += 1
+    return "".join(out)
+
+
+def glob_form(glob: str) -> tuple[str, str]:
+    """How nodes that a glob matches are found by equal keys, and the key's text.
+
+    ``name`` (the last component is), ``end`` and ``begin`` (it ends or begins with) and ``path`` (the
+    path below the rule's directory is) decide alone; ``under`` (the directory that all matches lie
+    below) and ``glob`` (any node) leave it to the regular expression.
+    """
+    anchored, rest = "/" in glob.rstrip("/"), glob.removeprefix("/")
+    while rest.startswith("**/"):
+        rest = rest[3:]
+        anchored = "/" in rest
+    if not anchored:
+        open_end, open_start = rest.rstrip("*"), rest.lstrip("*")
+        tries = [("name", rest), ("end", open_start), ("begin", open_end)]
+        cut = open_end != rest and not (len(open_end) - len(open_end.rstrip("\\"))) % 2
+        for form, text in tries[: 3 if cut else 2]:
+            found = _plain(text)
+            if found and len(found) <= LONGEST_KEY:
+                return form, found
+        return "glob", ""
+    if glob.startswith("**/"):
+        return "glob", ""
+    whole = _plain(rest)
+    if whole is not None:
+        return "path", whole
+    head = ""
+    for part in rest.split("/")[:-1]:
+        found = _plain(part)
+        if not found:
+            break
+        head += f"/{found}" if head else found
+    return ("under", head) if head else ("glob", "")
+
+
+def _globs(globs: pa.Array) -> pa.Array:
+    rows = []
+    for glob in globs.to_pylist():
+        regex = None if glob is None else glob_text(glob)
         if glob is not None and regex is None:
             _log.warning("ignore rule left out, it is no glob: %s", glob)
-    return pa.array(found, pa.string())
+        rows.append((regex, *(("", "") if regex is None else glob_form(glob))))
+    columns = zip(*rows) if rows else ([], [], [])
+    return pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in columns], ["regex", "form", "needle"])
 
 
-def glob_regex(glob: Column) -> Column:
-    """:func:`glob_text` of a column of globs, as there are few."""
-    return F.arrow_udf(_glob_texts, returnType="string")(glob)
+def read_globs(glob: Column) -> Column:
+    """:func:`glob_text` and :func:`glob_form` of a column of globs."""
+    return F.arrow_udf(_globs, returnType="struct<regex: string, form: string, needle: string>")(glob)
 
 
 def parse_rules(lines: DataFrame) -> DataFrame:
@@ -140,9 +194,9 @@ def parse_rules(lines: DataFrame) -> DataFrame:
         F.col("line_no").cast("bigint").alias("line_no"),
         "negated",
         "dir_only",
-        glob_regex(F.col("glob")).alias("regex"),
+        read_globs(F.col("glob")).alias("glob"),
     )
-    return settle(found, "regex").where("regex is not null")
+    return settle(found, "glob").select("*", "glob.*").drop("glob").where("regex is not null")
 
 
 def rules_in_corpus(files: DataFrame) -> DataFrame:
@@ -168,36 +222,30 @@ def owner_or_parent(owner: Column) -> Column:
     return F.coalesce(owner, parent("path"))
 
 
-def _verdict(node: Column, is_dir: Column, rules: Column) -> Column:
-    """Whether the strongest rule that matches a node ignores it; null when none does."""
-
-    def matches(r: Column) -> Column:
-        inside = F.when(r["owner"] == "", node).otherwise(
-            F.substr(node, F.length(r["owner"]) + 2)
-        )
-        below = (r["owner"] == "") | F.startswith(node, F.concat(r["owner"], F.lit("/")))
-        return below & (is_dir | ~r["dir_only"]) & F.regexp_like(inside, r["regex"])
-
-    # Rules are held weakest first.
-    return ~F.try_element_at(F.filter(rules, matches), F.lit(-1))["negated"]
-
-
 def ignored_files(files: DataFrame, rules: DataFrame) -> DataFrame:
     """Add ``ignored`` to the files (one row per path; take paths, not texts, through here).
 
-    Rules meet directories first: each distinct directory gets the rules of the
-    directories above it and is settled once. Files then look up their own
-    directory over a spread key, so a directory with most of the files in it is
-    shared by many tasks. The rules a file sees are those of the rule files
-    above it, never the whole rule table.
+    Every directory points to the directories at and above it that own rules: a short list of names,
+    never their rules. Directories are judged first, each once; below an ignored one nothing is asked
+    any more. Rules are met by equal keys (a name, the end or beginning of one, a path), so a rule file
+    of any length costs a node a few look-ups; only globs with wildcards elsewhere are tried one by one,
+    those with a directory in front only below it. Joins go over a spread key, so a directory with most
+    of the files in it, or a rule that all of them meet, is shared by many tasks.
     """
-    stacks = _directory_rules(files, rules)
-    held = files.withColumn("__dir", parent("path"))
-    met = spread_join(held, stacks.withColumnRenamed("dir", "__dir"), ["__dir"], "left")
-    own = _verdict(F.col("path"), F.lit(False), F.col("__rules"))
-    ignored = F.col("__dir_ignored") | own
-    return met.withColumn("ignored", F.coalesce(ignored, F.lit(False))).drop(
-        "__dir", "__rules", "__dir_ignored"
+    rules = rules.where("owner is not null")
+    probes = _probes(rules)
+    lookup = _keyed(rules)
+    dirs = _directories(files, rules)
+    gone = _below_ignored(dirs, _judged(dirs.where("dir <> ''").select(
+        F.col("dir").alias("path"), _owners_of_parent().alias("__owners")), lookup, probes, True))
+    known = dirs.join(gone, "dir", "left").select(
+        F.col("dir").alias("__dir"), F.col("owners").alias("__owners"), F.coalesce("gone", F.lit(False)).alias("__gone")
+    )
+    met = spread_join(files.withColumn("__dir", parent("path")), known, ["__dir"], "left")
+    asked = met.where("not __gone").select("path", "__owners")
+    own = _judged(asked, lookup, probes, False).withColumnRenamed("ignored", "__own")
+    return met.join(own, "path", "left").select(
+        *(F.col(c) for c in files.columns), F.coalesce(F.col("__gone") | F.coalesce("__own", F.lit(False)), F.lit(False)).alias("ignored")
     )
 
 
@@ -205,37 +253,74 @@ def drop_ignored(files: DataFrame, rules: DataFrame) -> DataFrame:
     return ignored_files(files, rules).where(~F.col("ignored")).drop("ignored")
 
 
-def _directory_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """``dir, __rules, __dir_ignored`` for directories that some rule reaches."""
-    by_owner = rules.groupBy("owner").agg(
-        F.collect_list(
-            F.struct(
-                "strength",
-                F.when(F.col("owner") == "", 0).otherwise(F.length("owner") + 1).alias("reach"),
-                "line_no",
-                "owner",
-                "negated",
-                "dir_only",
-                "regex",
-            )
-        ).alias("own_rules")
-    )
-    dirs = files.select(parent("path").alias("dir")).distinct()
+def _directories(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """``dir, owners``: every directory at or below one that owns rules, and those owners."""
     above = F.concat(F.array(F.lit("")), ancestors("dir"), F.array("dir"))
+    held = files.select(parent("path").alias("dir")).where("dir is not null").distinct()
+    dirs = held.select(F.explode(F.array_distinct(above)).alias("dir")).distinct()
     reached = dirs.select("dir", F.explode(F.array_distinct(above)).alias("owner"))
-    stacks = (
-        spread_join(reached, by_owner, ["owner"])
-        .groupBy("dir")
-        .agg(F.array_sort(F.flatten(F.collect_list("own_rules"))).alias("__rules"))
-    )
-    nodes = F.filter(F.concat(ancestors("dir"), F.array("dir")), lambda n: n != "")
-    gone = F.exists(
-        nodes, lambda n: F.coalesce(_verdict(n, F.lit(True), F.col("__rules")), F.lit(False))
-    )
-    settled = stacks.withColumn("__dir_ignored", gone)
-    # Files of an ignored directory need no rules, and rules for directories no file.
-    for_files = F.filter("__rules", lambda r: ~F.col("__dir_ignored") & ~r["dir_only"])
-    return settled.withColumn("__rules", for_files)
+    met = spread_join(reached, rules.select("owner").distinct(), ["owner"])
+    return met.groupBy("dir").agg(F.array_sort(F.collect_set("owner")).alias("owners"))
+
+
+def _owners_of_parent() -> Column:
+    """A directory's own rules are about what lies in it, not about itself."""
+    return F.filter("owners", lambda o: o != F.col("dir"))
+
+
+def _below_ignored(dirs: DataFrame, judged: DataFrame) -> DataFrame:
+    """``dir, gone`` for directories that are ignored or lie in one that is."""
+    lost = judged.where("ignored").select(F.col("path").alias("node"))
+    nodes = dirs.select("dir", F.explode(F.concat(ancestors("dir"), F.array("dir"))).alias("node"))
+    return nodes.join(lost, "node", "left_semi").select("dir").distinct().withColumn("gone", F.lit(True))
+
+
+def _keyed(rules: DataFrame) -> DataFrame:
+    """Rules with the key ``probe`` that nodes they may match have, too."""
+    below = F.when(F.col("owner") == "", F.col("needle")).otherwise(F.concat("owner", F.lit("/"), F.col("needle")))
+    in_owner = F.concat("form", F.lit(_SEP), "owner", F.lit(_SEP), "needle")
+    probe = F.when(F.col("form").isin("path", "under"), F.concat("form", F.lit(_SEP), below)).otherwise(in_owner)
+    reach = F.when(F.col("owner") == "", 0).otherwise(F.length("owner") + 1)
+    regex = F.when(F.col("form").isin("under", "glob"), F.col("regex"))
+    order = F.struct("strength", reach.alias("reach"), "line_no", "negated")
+    return rules.select(probe.alias("probe"), "owner", order.alias("order"), "negated", "dir_only", regex.alias("regex"))
+
+
+def _probes(rules: DataFrame) -> Column:
+    """The keys of a node (``path`` and ``__owners``) under which rules may be found, of forms that there are.
+
+    What is collected is form and length of the keys: at most two times ``LONGEST_KEY`` and four.
+    """
+    size = F.when(F.col("form").isin("end", "begin"), F.length("needle")).otherwise(0)
+    kinds = {(r["form"], r["size"]) for r in rules.select("form", size.alias("size")).distinct().collect()}
+    forms, name = {form for form, _ in kinds}, file_name("path")
+    cuts = {form: sorted(n for f, n in kinds if f == form) for form in ("end", "begin")}
+
+    def of_owner(owner: Column) -> Column:
+        key = lambda form, text: F.concat(F.lit(form + _SEP), owner, F.lit(_SEP), text)
+        found = [key("name", name)] if "name" in forms else []
+        found += [F.when(F.length(name) >= n, key("end", F.right(name, F.lit(n)))) for n in cuts["end"]]
+        found += [F.when(F.length(name) >= n, key("begin", F.left(name, F.lit(n)))) for n in cuts["begin"]]
+        found += [key("glob", F.lit(""))] if "glob" in forms else []
+        return F.array(*found).cast("array<string>")
+
+    keys = [F.flatten(F.transform("__owners", of_owner))]
+    if "path" in forms:
+        keys.append(F.array(F.concat(F.lit("path" + _SEP), "path")))
+    if "under" in forms:
+        keys.append(F.transform(ancestors("path"), lambda d: F.concat(F.lit("under" + _SEP), d)))
+    return F.array_compact(F.concat(*keys))
+
+
+def _judged(nodes: DataFrame, lookup: DataFrame, probes: Column, are_dirs: bool) -> DataFrame:
+    """``path, ignored`` of the nodes (``path, __owners``) that some rule matches: the strongest one decides."""
+    if not are_dirs:
+        lookup = lookup.where("not dir_only")
+    asked = nodes.select("path", F.explode(probes).alias("probe"))
+    met = spread_join(asked, lookup, ["probe"])
+    inside = F.when(F.col("owner") == "", F.col("path")).otherwise(F.substr("path", F.length("owner") + 2))
+    matching = met.where(F.col("regex").isNull() | F.regexp_like(inside, F.col("regex")))
+    return matching.groupBy("path").agg((~F.max_by("negated", "order")).alias("ignored"))
 
 
 def in_repositories(rules: DataFrame, repositories: DataFrame) -> DataFrame:

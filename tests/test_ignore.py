@@ -57,6 +57,16 @@ CASES = [
     ("[a\\]]b", ["]b", "ab"], ["xb"]),
     ("[&&[]b", ["&b", "[b"], ["xb"]),
     ("a[/]b", [], ["a/b"]),
+    ("/x*", ["x", "xy", "xd/f"], ["d/x", "yx"]),
+    ("pre*", ["prefix", "d/pre", "pred/f"], ["apre"]),
+    ("pre\\*", ["pre*"], ["prefix"]),
+    ("pre\\\\*", ["pre\\x"], ["pre*", "prex"]),
+    ("**/*.o", ["a.o", "d/b.o", "d/e/.o"], ["a.oo"]),
+    ("**/a/b", ["a/b", "x/a/b/c"], ["a/xb", "b"]),
+    ("lib/*/gen", ["lib/a/gen", "lib/b/gen/x"], ["lib/gen", "x/lib/a/gen"]),
+    ("lib/gen/*.c\n!lib/gen/k*", ["lib/gen/a.c"], ["lib/gen/k.c", "lib/a.c"]),
+    ("*", ["a", "d/b"], []),
+    ("*" + "y" * 300, ["z" + "y" * 300], ["y" * 299]),
     ("foo[\n[z-a].txt\nx\\\n*.log", ["a.log"], ["foo[", "foo", "z.txt", "a.txt", "x", "x\\"]),
 ]
 
@@ -135,3 +145,29 @@ def test_a_key_of_equal_rows_uses_all_salts(spark):
     lookup = spark.createDataFrame([("r", "x")], "repo string, found string")
     met = spread_join(rows, lookup, ["repo"], salts=16)
     assert met.where("found = 'x'").count() == 100_000
+
+
+def test_a_rule_file_of_many_lines(spark):
+    """A line is looked up, not tried: 100,000 of them at the top, next to one pattern."""
+    many = spark.range(100_000).selectExpr("'' AS owner", "'gitignore' AS kind", "id AS line_no",
+                                           "concat(if(id % 2 = 0, '/d/n', 'm'), id) AS line")
+    more = spark.createDataFrame([("", "gitignore", 200_000, "!m77??7")], many.schema)
+    rules = parse_rules(many.union(more))
+    files = spark.range(30_000).selectExpr("concat('d/', if(id % 3 = 0, 'n', if(id % 3 = 1, 'x/m', 'z')), id * 5) AS path")
+    got = {r.path for r in ignored_files(files, rules).where("ignored").collect()}
+    expected = set()
+    for i in range(30_000):
+        n = i * 5
+        if i % 3 == 0 and n % 2 == 0 and n < 100_000 or i % 3 == 1 and n % 2 and n < 100_000 and not (
+            str(n).startswith("77") and str(n).endswith("7") and len(str(n)) == 5
+        ):
+            expected.add(f"d/{'n' if i % 3 == 0 else 'x/m'}{n}")
+    assert got == expected
+
+
+def test_no_rules_are_copied_next_to_directories(spark):
+    """The rules themselves are in no aggregate: a directory holds names of directories only."""
+    files = spark.createDataFrame([("a/b",)], "path string")
+    plan = ignored_files(files, rules_of(spark, [("", "gitignore", "x\n*.y\nz?")]))._jdf.queryExecution().optimizedPlan().toString()
+    for line in plan.splitlines():
+        assert "collect_list" not in line and ("collect_set" not in line or "regex" not in line)

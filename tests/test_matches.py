@@ -1,9 +1,14 @@
 import re
 import time
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from corpusloom.operators import engine
 from corpusloom.operators.admit import admit
 from corpusloom.operators.matches import (
     line_table,
@@ -164,3 +169,24 @@ def test_time_grows_with_the_lines(corpus_of):
 def test_no_shuffle(corpus_of):
     plan = match_table(admit(corpus_of({"a": "x"})))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Window" not in plan
+
+
+def test_slices_and_marks_in_the_text(corpus_of, monkeypatch):
+    """Texts that hold characters of private use, slices of a few bytes, and rules on what others left."""
+    monkeypatch.setattr(engine, "_SLICE", 64)
+    monkeypatch.setattr(engine, "_PRIVATE", np.arange(0xF0000, 0xF0004))
+    rules = [Rule("redact", "\U000F0000?é+"), Rule("truncate", "b\n?"), Rule("redact", "██R")]
+    texts = {f"f{i}": "a\U000F0000é\nb" * (i % 7) + chr(0xF0000 + i % 4) + "é" * (i % 3) + "\U0010FFFDb\n" for i in range(40)}
+    assert found(admit(corpus_of(texts)), rules) == {k: v for k, v in ((k, by_hand(t, rules)) for k, t in texts.items()) if v}
+    counts = {(r.path, r.rule_id): r.matches for r in match_counts(admit(corpus_of(texts)), rules).collect()}
+    assert counts == {(k, n): c for k, t in texts.items() for n, c in Counter(m[0] for m in by_hand(t, rules)).items()}
+    shown = show_matches(admit(corpus_of({"a": "xé é\n"})), [Rule("redact", "é")], safe=False).orderBy("start").collect()
+    assert [(r.start, r.shown) for r in shown] == [(1, "é"), (4, "é")]
+
+
+def test_a_text_with_every_mark_is_refused():
+    texts = pa.array(["a", "".join(map(chr, engine._PRIVATE[:-1])), "b"])
+    with pytest.raises(ValueError, match="private use"):
+        engine.sliced(texts, texts, lambda p, t: pa.array([engine.marks(engine.raw_of(t)[0])[0]] * len(t)))
+    some = engine.sliced(texts.slice(0, 1), texts.slice(0, 1), lambda p, t: pa.array([engine.marks(engine.raw_of(t)[0])[0]]))
+    assert some.to_pylist() == [chr(engine._PRIVATE[0])]

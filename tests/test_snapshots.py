@@ -1,9 +1,14 @@
+import random
+
 import pytest
 
+from corpusloom.operators import snapshots
 from corpusloom.operators.skew import spread_join
 from corpusloom.operators.snapshots import (
     SubpathNotFound,
     compare_snapshots,
+    directory_digests,
+    follow_references,
     resolve_references,
     select_subpath,
 )
@@ -16,10 +21,38 @@ def test_compare(corpus_of):
     assert got == {"a": "same", "b": "changed", "c": "removed", "d": "added", "e": "same"}
 
 
-def test_compare_shuffles_no_text(corpus_of):
+def test_compare_reads_texts_once_and_shuffles_none(corpus_of):
     plan = compare_snapshots(corpus_of({"a": "1"}), corpus_of({"a": "2"}))
     text = plan._jdf.queryExecution().optimizedPlan().toString()
-    assert text.count("sha2(") == 2 and text.index("Join") < text.index("sha2(")
+    assert "content" not in text
+
+
+def test_equal_directories_are_not_joined(corpus_of, monkeypatch):
+    """Files that change, move and vanish, against sets; equal directories stand aside whatever lies above them."""
+    pick = random.Random(7)
+    old = {f"{pick.choice('abc')}/{pick.choice('de')}/{i}": str(i % 5) for i in range(120)} | {"top": "x", "/r/s": "1"}
+    new = {k: v for k, v in old.items() if k != "a/d/gone"} | {"b/e/new": "1", "c/new/x": "", "top": "y"}
+    for k in list(new):
+        if k.startswith("a/d/"):
+            new[k.replace("a/d/", "a/f/")] = new.pop(k)
+    moved = next(k for k in new if k.startswith("b/e/"))
+    new[moved] += "!"
+    got = {r.path: r.change for r in compare_snapshots(corpus_of(old), corpus_of(new)).collect()}
+    assert got == {
+        k: "removed" if k not in new else "added" if k not in old else "same" if old[k] == new[k] else "changed"
+        for k in {*old, *new}
+    }
+    digests = lambda files: snapshots._digests(corpus_of(files))
+    equal = {r[0] for r in snapshots._equal_directories(digests(old), digests(new)).collect()}
+    assert {"a/e", "b/d", "c/d", "c/e", "/r"} <= equal and not {"", "a", "a/d", "b", "b/e", "c"} & equal
+
+
+def test_digests_of_directories(corpus_of):
+    files = {"a/b/1": "x", "a/b/2": "y", "a/3": "z", "4": ""}
+    got = {r["dir"]: (r["files"], r["digest"]) for r in directory_digests(snapshots._digests(corpus_of(files))).collect()}
+    assert {d: n for d, (n, _) in got.items()} == {"": 4, "a": 3, "a/b": 2}
+    other = {r["dir"]: r["digest"] for r in directory_digests(snapshots._digests(corpus_of(dict(reversed(files.items())) | {"4": "!"}))).collect()}
+    assert other["a"] == got["a"][1] and other["a/b"] == got["a/b"][1] and other[""] != got[""][1]
 
 
 def test_subpath(corpus_of):
@@ -59,3 +92,30 @@ def test_spread_join_keeps_every_row_once(spark, how, expected):
     rows = spark.range(1000).selectExpr("id", "if(id < 900, 'hot', 'cold') k")
     lookup = spark.createDataFrame([("hot", 1)], "k string, v int")
     assert spread_join(rows, lookup, ["k"], how).count() == expected
+
+
+def test_symbolic_references(spark):
+    """Chains of any length, over kinds of names, circles, dangling targets and equal names in two repositories."""
+    pick = random.Random(3)
+    rows, expected = [], {}
+    for repo in ("r", "q"):
+        names = [f"refs/{pick.choice(['heads', 'tags'])}/n{i}" for i in range(60)]
+        next_ = {n: pick.choice([None, None, "refs/heads/none", *names]) for n in names}
+        if repo == "q":  # one long chain
+            next_ = {n: m for n, m in zip(names, [*names[1:], None], strict=True)}
+        for n in names:
+            rows.append((repo, n, None if next_[n] else f"{repo}:{n}", next_[n]))
+            at, seen = n, set()
+            while at in next_ and next_[at] and at not in seen:
+                seen.add(at)
+                at = next_[at]
+            if at in next_ and not next_[at]:
+                expected[repo, n] = f"{repo}:{at}"
+    refs = spark.createDataFrame(rows, "repo string, name string, commit string, target string")
+    got = follow_references(refs).collect()
+    assert {(r.repo, r.name): r.commit for r in got} == expected and len(got) == len(expected)
+    requests = spark.createDataFrame([("q", "n0"), ("q", "refs/heads/none")], "repo string, reference string")
+    defaults = spark.createDataFrame([("q", "d")], "repo string, commit string")
+    answers = resolve_references(requests, refs, defaults).collect()
+    assert {(r.reference, r.commit) for r in answers} == {("n0", expected["q", rows[60][1]]), ("refs/heads/none", "d")}
+    assert follow_references(refs.limit(0)).count() == 0

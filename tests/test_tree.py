@@ -1,5 +1,6 @@
 import pytest
 
+from corpusloom.operators import order as ordering
 from corpusloom.operators.order import in_order
 from corpusloom.operators.tree import directories, tree, tree_lines, tree_order, tree_text
 
@@ -73,3 +74,25 @@ def test_positions(spark, by):
         values.setdefault(r.k if by else "", []).append(r.v)
     assert got == sorted((k, i, v) for k, vs in values.items() for i, v in enumerate(sorted(vs)))
     assert in_order(rows.limit(0), ["v"], by).count() == 0
+
+
+@pytest.mark.parametrize("by", [[], ["k"]])
+def test_sums_before_every_partition(spark, monkeypatch, by):
+    """Two levels of blocks, numbers left out, against a running total."""
+    monkeypatch.setattr(ordering, "BLOCK", 4)
+    rows = [(k, p, (7 * p + len(k)) % 5) for k in ("x", "yy") for p in range(41) if p % 3]
+    if not by:
+        rows = rows[: len(rows) // 2]
+    got = ordering.before(spark.createDataFrame(rows, "k string, p long, n long").repartition(5), "p", "n", by, "b").collect()
+    assert sorted((r.k, r.p, r.b) for r in got) == [(k, p, sum(n for j, q, n in rows if j == k and q < p)) for k, p, _ in rows]
+
+
+def test_positions_cost_the_plan_nothing_per_partition(spark):
+    sizes = []
+    for parts in (4, 400):
+        rows = spark.range(0, 1000, 1, parts).selectExpr("id")
+        text = ordering.numbered(rows)._jdf.queryExecution().optimizedPlan().toString()
+        sizes.append(len(text))
+        got = ordering.numbered(rows)
+        assert got.where("position != id").count() == 0 and got.count() == 1000
+    assert abs(sizes[0] - sizes[1]) < 200
