@@ -151,7 +151,8 @@ def rewriting(steps: list, counts: bool):
                 columns = [_repeated(step.rule_id, pa.int32(), n), _repeated(step.rule.type, pa.string(), n), times]
                 items.append(pa.StructArray.from_arrays(columns, fields=list(COUNT)))
             batch.replace(rows, step)
-        fresh = pc.if_else(pa.array(batch.changed), batch.texts, pa.scalar(None, batch.texts.type))
+        changed = pa.array(batch.changed)
+        fresh = pc.replace_with_mask(pa.nulls(len(texts), texts.type), changed, batch.texts.filter(changed))
         return pa.StructArray.from_arrays([fresh, listed(found, items, COUNT, len(texts))], ["content", "rule_counts"])
 
     def run(paths: pa.Array, texts: pa.Array) -> pa.Array:

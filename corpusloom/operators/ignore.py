@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import ancestors, file_name, parent, under_directory
 from ..sources.shipping import ship
+from ..sources.workspace import workspace
 from ._plan import settle
 from .skew import spread_join
 
@@ -232,10 +233,11 @@ def ignored_files(files: DataFrame, rules: DataFrame) -> DataFrame:
     those with a directory in front only below it. Joins go over a spread key, so a directory with most
     of the files in it, or a rule that all of them meet, is shared by many tasks.
     """
-    rules = rules.where("owner is not null")
+    # Written, so that globs are read once and Spark knows the size of what it joins with.
+    rules = _written(rules.where("owner is not null"))
     probes = _probes(rules)
     lookup = _keyed(rules)
-    dirs = _directories(files, rules)
+    dirs = _written(_directories(files, rules))
     gone = _below_ignored(dirs, _judged(dirs.where("dir <> ''").select(
         F.col("dir").alias("path"), _owners_of_parent().alias("__owners")), lookup, probes, True))
     known = dirs.join(gone, "dir", "left").select(
@@ -249,6 +251,12 @@ def ignored_files(files: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
+def _written(rows: DataFrame) -> DataFrame:
+    folder = workspace(rows.sparkSession)
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
 def drop_ignored(files: DataFrame, rules: DataFrame) -> DataFrame:
     return ignored_files(files, rules).where(~F.col("ignored")).drop("ignored")
 

@@ -216,12 +216,16 @@ def list_files(
     rule_file = F.regexp_like(
         "path", F.lit(rf"(^|/)(\{IGNORE_FILE}|\{GIT_IGNORE_FILE}|\{GIT_EXCLUDE_FILE})\z")
     )
-    held = read_files(below.where(rule_file))
-    rules = rules_in_corpus(held.select("path", F.col("raw").cast("string").alias("content")))
+    rule_files = below.where(rule_file)
+    visible = below.where(~F.endswith("path", F.lit(GIT_EXCLUDE_FILE)))
     given = [(o, k, n, line) for o, k, text in above for n, line in enumerate(text.split("\n"))]
     if global_rules:
         with open(global_rules, encoding="utf-8", errors="replace") as f:
             given += [("", "global", n, line) for n, line in enumerate(f.read().split("\n"))]
+    if not given and rule_files.isEmpty():
+        return _named(visible.drop("path"), base)
+    held = read_files(rule_files)
+    rules = rules_in_corpus(held.select("path", F.col("raw").cast("string").alias("content")))
     if given:
         lines = spark.createDataFrame(given, "owner string, kind string, line_no int, line string")
         rules = rules.unionByName(parse_rules(lines))
@@ -229,7 +233,6 @@ def list_files(
     folder = workspace(spark)
     rules.write.parquet(folder)
     rules = spark.read.schema(rules.schema).parquet(folder)
-    visible = below.where(~F.endswith("path", F.lit(GIT_EXCLUDE_FILE)))
     if rules.isEmpty():
         return _named(visible.drop("path"), base)
     # Written once: what reads the listing, and counts it, shouldn't join again.
