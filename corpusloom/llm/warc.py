@@ -31,6 +31,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 PREFIX, NO_ID = "urn:page:", "urn:no-page-id"
 #: Frames that a task reads.
 RUN = 32
+#: Bytes of records that a task reads back.
+READ_BYTES = 32 << 20
 
 
 def urn(page_id) -> str:
@@ -210,7 +212,11 @@ def read_records(index: DataFrame, folder: str, with_payload: bool = True) -> Da
     checked against the seek table. Ids come back as text. A revisit has no payload; its length and
     digest are those in its header. A response's are counted from its payload, and must agree.
     """
-    runs = index.groupBy("archive", F.floor(F.col("frame") / RUN).alias("run")).agg(
+    placed = index.withColumn("run", F.floor(F.col("frame") / RUN))
+    tasks = -(-(index.agg(F.sum("length")).first()[0] or 0) // READ_BYTES)
+    # The work is in the archives, not in the index that is shuffled: the tasks are counted by it.
+    dealt = placed.repartition(max(int(tasks), index.sparkSession.sparkContext.defaultParallelism), "archive", "run")
+    runs = dealt.groupBy("archive", "run").agg(
         F.sort_array(F.collect_list(F.struct("frame", "offset", "length"))).alias("places")
     )
     fields = [("record_id", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string())]
