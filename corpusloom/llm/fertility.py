@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shipping import ship
-from .shared import identified, worker_state
+from .shared import identified, slices, worker_state
 from .tokens import SEGMENT, SPACE, separable
 from .words import mix, run_hashes, word_hashes
 
@@ -229,19 +229,6 @@ def measured(texts: pa.Array, pieces: Pieces, bands: dict[str, Band]) -> list[pa
     return [pa.array(columns[name], kind) for name, kind in FIELDS]
 
 
-def slices(column: pa.Array):
-    """Ranges of rows of about ``SLICE`` bytes."""
-    sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), np.int64)
-    at, filled = 0, 0
-    for i, n in enumerate(sizes.tolist()):
-        if filled and filled + n > SLICE:
-            yield at, i
-            at, filled = i, 0
-        filled += n + 1
-    if at < len(sizes):
-        yield at, len(sizes)
-
-
 def quality_report(
     df: DataFrame,
     model: str,
@@ -269,7 +256,7 @@ def quality_report(
         pieces = worker_state("pieces", lambda: Pieces(model), version)
         for batch in batches_:
             texts = batch.column("text").cast(pa.large_string())
-            for a, b in slices(texts):
+            for a, b in slices(texts, SLICE):
                 part = pc.fill_null(texts.slice(a, b - a), "")
                 columns = [batch.column("doc_id").slice(a, b - a), *measured(part, pieces, asked)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", *(name for name, _ in FIELDS)])

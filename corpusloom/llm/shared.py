@@ -5,7 +5,9 @@ from __future__ import annotations
 import sys
 import types
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,3 +64,16 @@ def batches(rows: list[tuple], schema: pa.Schema):
 def texts_of(batch: pa.RecordBatch, column: str) -> list[bytes]:
     """UTF-8 bytes of a string column; null is the empty text."""
     return [b"" if x is None else x for x in batch.column(column).cast(pa.binary()).to_pylist()]
+
+
+def slices(column: pa.Array, limit: int):
+    """Ranges of rows of about ``limit`` bytes of text; a longer text is a range of its own."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), np.int64)
+    at, filled = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if filled and filled + n > limit:
+            yield at, i
+            at, filled = i, 0
+        filled += n + 1
+    if at < len(sizes):
+        yield at, len(sizes)

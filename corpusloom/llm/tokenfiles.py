@@ -8,16 +8,19 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.shipping import ship
-from .shared import identified, shared_folder, texts_of, worker_state
+from .shared import identified, shared_folder, slices, worker_state
 
 ship(__name__)
 
-#: Texts whose unknown words are looked for together, and such words that are encoded as one text.
-TEXTS, TOGETHER = 128, 512
+#: Words that are encoded as one text.
+TOGETHER = 512
+#: Bytes of text worked on at once; a longer text is worked on alone.
+SLICE = 4 << 20
 #: Marks that end words.
 MARKS = b".,;:!?"
 
@@ -55,19 +58,30 @@ class Words:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer, self.words, self.cores = Tokenizer.from_file(path), Recent(room), Recent(room)
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Each text's ids. What isn't known of all texts' words is encoded together, once."""
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, ``end`` behind each text's, and how many each has.
+
+        Only distinct words are looked up, and what isn't known of them is encoded together, once. The
+        texts' ids are then taken from those of the words by position.
+        """
         self.words.turn()
         self.cores.turn()
-        known = self.words.known
-        split = [t.split() for t in texts]
-        found = [list(map(known.get, s)) for s in split]
-        holes = [i for i, f in enumerate(found) if None in f]
-        if holes:
-            self.learn({w for i in holes for w, ids in zip(split[i], found[i], strict=True) if ids is None})
-            for i in holes:
-                found[i] = map(known.__getitem__, split[i])
-        return [b"".join(f) for f in found]
+        split = pc.ascii_split_whitespace(texts)
+        counts = np.diff(split.offsets.to_numpy())
+        coded = split.flatten().dictionary_encode()
+        words, known = coded.dictionary.cast(pa.large_binary()).to_pylist(), self.words.known
+        known[b""] = b""  # in front of the first blank and behind the last one
+        fresh = {w for w in words if w not in known}
+        if fresh:
+            self.learn(fresh)
+        ids = [*map(known.__getitem__, words), np.array([end], "<i4").tobytes()]
+        raw, sizes = np.frombuffer(b"".join(ids), "<i4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        behind = np.cumsum(counts)
+        place = np.insert(coded.indices.to_numpy().astype(np.int64), behind, len(words))
+        held = sizes[place]
+        ends = np.cumsum(held)
+        taken = raw[np.arange(ends[-1]) + np.repeat((np.cumsum(sizes) - sizes)[place] - ends + held, held)]
+        return taken, np.add.reduceat(held, behind - counts + np.arange(len(texts)))
 
     def learn(self, words: set) -> None:
         """Words in ASCII letters come down to lower case, others as :func:`parted` says."""
@@ -118,22 +132,20 @@ def encode_documents(
     """
     docs = identified(df, id_col, text_col)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    end = np.array([end_id], "<i4").tobytes()
 
     def run(batches_):
         words, before = worker_state("words", lambda: Words(tokenizer, room), tokenizer), 0
         for batch in batches_:
-            texts = texts_of(batch, "text")
-            for at in range(0, len(texts), TEXTS):
-                lists = [ids + end for ids in words.encode(texts[at : at + TEXTS])]
-                ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in lists])])
-                values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(lists))])
+            texts = batch.column("text").cast(pa.large_string())
+            for a, b in slices(texts, SLICE):
+                values, counts = words.encode(pc.fill_null(texts.slice(a, b - a), ""), end_id)
+                ends = np.concatenate([[0], np.cumsum(counts)])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").slice(at, len(lists)),
-                        pa.array(np.diff(ends)),
+                        batch.column("doc_id").slice(a, b - a),
+                        pa.array(counts),
                         pa.array(ends[:-1] + before),
-                        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values),
+                        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32())),
                     ],
                     ["doc_id", "n_tokens", "token_offset", "ids"],
                 )
@@ -166,6 +178,15 @@ def write_token_files(df: DataFrame, tokenizer: str, end_id: int, path: str, str
     return path
 
 
+def read_documents(spark: SparkSession, path: str, ids: list) -> DataFrame:
+    """``doc_id, n_tokens, ids`` of some documents.
+
+    The ids asked for are pushed to the ORC reader, which skips files, stripes and rows by their minimum,
+    maximum and Bloom filter.
+    """
+    return spark.read.orc(path).where(F.col("doc_id").isin(ids)).select("doc_id", "n_tokens", "ids")
+
+
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, n_tokens, start, ids`` of token files; ``start`` counts all ids before the document.
 

@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from support import prose, words_of
 
-from corpusloom.llm import fertility
+from corpusloom.llm import fertility, shared
 from corpusloom.llm.queries import vocabulary
 
 MODEL = vocabulary("piece_bpe_32k.model")
@@ -66,7 +66,7 @@ def test_slices_do_not_matter(odd):
     whole = [c.to_pylist() for c in fertility.measured(texts, pieces, fertility.BANDS)]
     one = [[c.to_pylist()[0] for c in fertility.measured(texts.slice(i, 1), pieces, fertility.BANDS)] for i in range(len(texts))]
     assert [list(x) for x in zip(*whole, strict=True)] == one
-    ranges = list(fertility.slices(pa.array(["a" * (1 << 22), None, "b", "c" * (1 << 23), ""], pa.large_string())))
+    ranges = list(shared.slices(pa.array(["a" * (1 << 22), None, "b", "c" * (1 << 23), ""], pa.large_string()), 1 << 22))
     assert [a for a, _ in ranges] == [0, *(b for _, b in ranges[:-1])] and ranges[-1][1] == 5
 
 

@@ -29,6 +29,15 @@ def test_counts_equal_the_library(docs_of, awkward):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
 
 
+def test_the_sample_is_bounded_whatever_the_ids(spark):
+    """Null ids and equal rows are drawn one by one, so a third of all rows can't be in the sample together."""
+    docs = spark.range(40_000).selectExpr("if(id % 3 = 0, id, null) AS doc_id", "'the same words' AS text")
+    drawn = docs.sample(min(1.0, 500 / docs.count()), seed=3).count()
+    assert 300 < drawn < 800
+    table = tokens.frequent_words(docs, PIECES, 500, 10)
+    assert set(table) == {"the", "same", "words"}
+
+
 def test_vocabulary_that_joins_words_is_refused():
     assert tokens.separable(["▁a", "▁▁", "b"])
     assert not tokens.separable(["a▁b"])
@@ -61,7 +70,18 @@ def test_files_hold_what_was_encoded(spark, docs_of, tmp_path):
     rows = tokenfiles.read_token_files(spark, path).orderBy("start").collect()
     assert [r["doc_id"] for r in rows] == [3, 4, 5]
     assert rows[0]["ids"] == [2] and rows[2]["ids"][-1] == 2 and len(rows[2]["ids"]) == 3
-    assert spark.read.orc(path).where("doc_id = 4").count() == 1
+    some = tokenfiles.read_documents(spark, path, [4, 5, 77])
+    assert sorted(r["doc_id"] for r in some.collect()) == [4, 5]
+    assert "PushedFilters: [In(doc_id, [4,5,77])]" in some._jdf.queryExecution().executedPlan().toString()
+
+
+def test_slices_do_not_change_ids(docs_of, awkward, monkeypatch):
+    rows = [*enumerate(odd_texts()[:200], 100), *(r[:2] for r in awkward)]
+    whole = tokenfiles.token_output(docs_of(rows), WORDS, 2).collect()
+    monkeypatch.setattr(tokenfiles, "SLICE", 40)
+    small = tokenfiles.token_output(docs_of(rows), WORDS, 2).collect()
+    key = lambda r: (r["n_tokens"], r["ids_crc32"], str(r["doc_id"]))
+    assert sorted(map(key, whole)) == sorted(map(key, small))
 
 
 def test_empty_tables(docs_of):
