@@ -54,10 +54,10 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
 
 
 def search_block(candidates: pa.Table, queries: pa.Table, k: int, lists: int, with_cut: bool) -> pa.Table:
-    """``query_id, vec_id, score``: the block's best k of what its phase looks at, per query."""
-    out_q, out_c, out_s = [], [], []
+    """``query_id, query, vec_id, score``: the block's best k of what its phase looks at, per query."""
+    out_q, out_k, out_c, out_s = [], [], [], []
     if len(candidates) and len(queries):
-        c_ids, q_ids = candidates["vec_id"].to_numpy(), queries["vec_id"].to_numpy()
+        c_ids, q_ids, keys = candidates["vec_id"].to_numpy(), queries["vec_id"].to_numpy(), queries["query"].to_numpy()
         c, q = matrix(candidates), matrix(queries)
         cuts = list(zip(queries["cut"].to_pylist(), queries["cut_id"].to_pylist(), strict=True)) if with_cut else []
         for at in range(0, len(q), AT_ONCE):
@@ -80,10 +80,11 @@ def search_block(candidates: pa.Table, queries: pa.Table, k: int, lists: int, wi
                     found, scores = found[enough], scores[enough]
                 top = best(c_ids[found], scores, k)
                 out_q.append(np.full(len(top), q_ids[at + i]))
+                out_k.append(np.full(len(top), keys[at + i]))
                 out_c.append(c_ids[found[top]])
                 out_s.append(scores[top])
-    columns = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_q, out_c, out_s)]
-    return pa.table([pa.array(x, pa.int64()) for x in columns], ["query_id", "vec_id", "score"])
+    columns = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_q, out_k, out_c, out_s)]
+    return pa.table([pa.array(x, pa.int64()) for x in columns], ["query_id", "query", "vec_id", "score"])
 
 
 def search(candidates: DataFrame, queries: DataFrame, k: int, lists: int, with_cut: bool) -> DataFrame:
@@ -99,11 +100,11 @@ def search(candidates: DataFrame, queries: DataFrame, k: int, lists: int, with_c
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         return search_block(a, b, k, lists, with_cut)
 
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score long")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "query_id long, query long, vec_id long, score long")
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -112,13 +113,15 @@ def exact_top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, lists: in
 
     Both inputs have ``vec_id`` (long) and ``vector`` (array of long). A row isn't a candidate for a
     query of its own id. Only vectors of one length are compared; a query without candidates gives
-    no rows, one with fewer than k gives all. Rows that repeat an id are candidates each; queries
-    are expected once per id. Empty tables give no rows. Sums must stay below 2^63.
+    no rows, one with fewer than k gives all. Rows that repeat an id are candidates each. Queries that
+    repeat id and vector are one; those that share an id only have a ranking each. Empty tables give
+    no rows. Sums must stay below 2^63.
     """
+    queries = queries.dropDuplicates(["vec_id", "vector"]).withColumn("query", F.xxhash64("vec_id", "vector"))
     first = search(candidates, queries, k, lists, with_cut=False)
     cut = ranked(first, k).where(F.col("rank") == k)
-    cut = cut.select(F.col("query_id").alias("vec_id"), F.col("score").alias("cut"), F.col("vec_id").alias("cut_id"))
-    asked = keep(queries.join(cut, "vec_id", "left"))
+    cut = cut.select(F.col("query_id").alias("vec_id"), "query", F.col("score").alias("cut"), F.col("vec_id").alias("cut_id"))
+    asked = keep(queries.join(cut, ["vec_id", "query"], "left"))
     done = ranked(search(candidates, asked, k, lists, with_cut=True), k)
     return done.select("query_id", "rank", "vec_id", "score")
 

@@ -59,6 +59,14 @@ def test_large_components_stay_exact():
     assert (sum(topk.partial_scores(a, b, 4)) == a @ b.T).all()
 
 
+def test_repeated_queries(spark):
+    """Equal rows ask once; other vectors under the same id ask for themselves; candidates count each."""
+    rows = vectors(4, 40, 4) + [(0, [0.5, 0.1, -0.2, 0.9]), (7, [0.1, 0.2, 0.3, 0.4])]
+    twice = [*rows, rows[0], rows[0], (9, rows[9][1])]
+    once = brute([r for n, r in enumerate(twice) if r[0] != 0 or n in (0, 40)])
+    assert found(table(spark, twice)) == once and len(once) == 10
+
+
 def test_empty_and_single(spark):
     assert found(table(spark, [])[["vec_id", "embedding"]]) == []
     assert found(table(spark, [(0, [1.0, 2.0])])) == []
