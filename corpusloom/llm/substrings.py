@@ -1,11 +1,11 @@
-"""Operator 7, substring deduplication by relative Lempel-Ziv parsing.
-
-The reference is every document, indexed in blocks: around each content-defined anchor (the word
-n-gram with the smallest hash in a window) lie the windows that have it as theirs. A document is
-parsed against all of them in two steps. First greedily, by whole factors: a block whose words all
-stand in a block of an earlier document is a duplicate as it is. Then at factor boundaries, where
-blocks of one anchor differ: their windows are looked up one by one. Equal windows have equal
-anchors, so nothing is missed; blocks without a shared anchor are never looked at again.
+"""Operator 7, substring deduplication, in place of relative Lempel-Ziv parsing.
+
+No longest factor is extended greedily and none is measured: repeats are windows of a fixed length, and
+equal windows are found by joins on hashes. The reference is every document, indexed in blocks: around
+each content-defined anchor (the word n-gram with the smallest hash in a window) lie the windows that
+have it as theirs. A block whose words all stand in a block of an earlier document is a duplicate as it
+is; where blocks of one anchor differ, their windows are looked up one by one. Equal windows have
+equal anchors, so nothing is missed; blocks without a shared anchor are never looked at again.
 """
 
 from __future__ import annotations
