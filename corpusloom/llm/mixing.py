@@ -21,6 +21,8 @@ GROUP = 64
 #: Sources up to which their table is broadcast (one short row each).
 FEW_SOURCES = 50_000
 SALTS = 32
+#: Equal rows that are told apart in one task.
+REPEATS = 4096
 #: Strata by length: documents of 2^i to 2^(i+1) - 1 words.
 STRATA = 40
 
@@ -124,9 +126,25 @@ def settle_rest(items: Column) -> Column:
     return F.zip_with(items, chosen, lambda e, x: e.withField("x", x))
 
 
+def told_apart(rows: DataFrame) -> DataFrame:
+    """``source, doc_id, own, tie, size``, one row per document again, from equal ones counted as ``n``.
+
+    ``tie`` is ``own`` for the first of them and a hash of it and a number for the others, so equal
+    documents fall into groups like any others. Many of one kind are dealt out in blocks.
+    """
+    block = F.explode(F.sequence(F.lit(0).cast("long"), F.call_function("div", F.col("n") - 1, F.lit(REPEATS))))
+    few = rows.where(F.col("n") <= REPEATS).withColumn("__block", F.lit(0).cast("long"))
+    many = rows.where(F.col("n") > REPEATS).withColumn("__block", block).repartition("own", "__block")
+    first = F.col("__block") * REPEATS
+    each = F.explode(F.sequence(first, F.least(F.col("n"), first + REPEATS) - 1)).alias("k")
+    tie = F.when(F.col("k") == 0, F.col("own")).otherwise(F.xxhash64("own", "k"))
+    out = few.unionByName(many).select("source", "doc_id", "own", "size", each)
+    return out.select("source", "doc_id", "own", tie.alias("tie"), "size")
+
+
 def round_copies(rows: DataFrame, largest: int, seed: int) -> DataFrame:
-    """``source, doc_id, tie, size, base, x`` with x rounded to 0 or 1. ``largest``: documents of the largest stratum."""
-    item = F.struct("size", "tie", "doc_id", "base", "x")
+    """``source, doc_id, own, tie, size, base, x`` with x rounded to 0 or 1. ``largest``: documents of the largest stratum."""
+    item = F.struct("size", "tie", "doc_id", "own", "base", "x")
     kept = F.get("strata", stratum(F.col("size")))
     now = rows.select("source", stratum(F.col("size")).alias("stratum"), item.alias("item"), F.ceil(kept / GROUP).alias("groups"))
     kind = now.schema["item"].dataType.simpleString()
@@ -157,7 +175,7 @@ def mix_sources(
     most: float = 2.0,
     seed: int = 9,
 ) -> DataFrame:
-    """How often each document is taken: ``doc_id, tie, size, source_size, target, copies, taken``.
+    """How often each document is taken: ``doc_id, own, size, source_size, target, copies, taken``.
 
     Sources by code point (null last) weigh ``weights`` in turn and share ``ratio`` times all words;
     a source gets at most ``most`` times its own, the excess is shared again. Every document gets
@@ -165,29 +183,28 @@ def mix_sources(
     reruns agree whatever the partitions.
 
     Null texts have 0 words and are taken the whole part of their source's copies; a null source is
-    a source of its own; null ids and repeated rows are documents like others (``tie`` is a hash of
+    a source of its own; null ids and repeated rows are documents like others (``own`` is a hash of
     id and text); an empty table gives no rows; other columns are ignored.
     """
-    docs = keep(
-        df.select(
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).alias("source"),
-            F.xxhash64(F.col(id_col), F.col(text_col)).alias("tie"),
-            word_count(F.col(text_col)).alias("size"),
-        )
+    given = df.select(
+        F.col(id_col).alias("doc_id"),
+        F.col(source_col).alias("source"),
+        F.xxhash64(F.col(id_col), F.col(text_col)).alias("own"),
+        word_count(F.col(text_col)).alias("size"),
     )
+    docs = keep(told_apart(keep(given.groupBy("source", "doc_id", "own", "size").agg(F.count("*").alias("n")))))
     sources = keep(targets(docs, weights, ratio, most))
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = attach(docs, sources).withColumn("base", F.floor(expected).cast("int")).withColumn("x", expected - F.col("base"))
     open_ = (F.col("size") > 0) & (F.col("x") > 0)
     largest = sources.agg(F.max(F.array_max("strata"))).first()[0] or 0
     rounded = round_copies(rows.where(open_), largest, seed)
-    columns = ["source", "doc_id", "tie", "size", "base", "x"]
+    columns = ["source", "doc_id", "own", "tie", "size", "base", "x"]
     settled = rows.where(~open_).withColumn("x", F.lit(0.0)).select(columns).unionByName(rounded.select(columns))
     copies = (F.col("base") + F.col("x")).cast("int")
     done = attach(settled, sources).withColumn("copies", copies)
     return done.select(
-        "doc_id", "tie", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken")
+        "doc_id", "own", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken")
     )
 
 
@@ -196,9 +213,9 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     Rows with equal id and text count as one document with the sum of their copies.
     """
-    taken = mix_sources(docs, **options).groupBy("doc_id", "tie").agg(F.sum("copies").alias("__copies")).where("__copies > 0")
+    taken = mix_sources(docs, **options).groupBy("doc_id", "own").agg(F.sum("copies").alias("__copies")).where("__copies > 0")
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    taken = taken.select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"), "__copies")
+    taken = taken.select(F.col("doc_id").alias("__id"), F.col("own").alias("__tie"), "__copies")
     rows = docs.withColumn("__own", F.xxhash64(F.col(id_col), F.col(text_col))).dropDuplicates([id_col, "__own"])
     on = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__tie"))
     each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))

@@ -51,6 +51,22 @@ def test_targets_and_taken_words(docs_of):
         assert abs(taken - target) <= 0.01 * target + 40
 
 
+def test_equal_rows_are_no_group(docs_of, spark, monkeypatch):
+    """A third of all rows are one document: each has a tie of its own, and words come near the target."""
+    monkeypatch.setattr(mixing, "REPEATS", 64)
+    counted = spark.createDataFrame([("a", 1, 77, 5, 1000), ("a", 2, 78, 5, 1), (None, None, 79, 0, 65)], "source string, doc_id long, own long, size long, n long")
+    apart = mixing.told_apart(counted).collect()
+    assert len(apart) == 1066 == len({r["tie"] for r in apart})
+    assert {77, 78, 79} <= {r["tie"] for r in apart}
+    rows = corpus(5, 400) + [(1000, prose(7, 30), None, "a")] * 200
+    got = mixing.mix_sources(docs_of(rows)).collect()
+    assert len(got) == len(rows)
+    for taken, target in check(rows, got).values():
+        assert abs(taken - target) <= 0.01 * target + 40
+    copies = sum(r["copies"] for r in got if r["doc_id"] == 1000)
+    assert mixing.mixed_documents(docs_of(rows)).where("doc_id = 1000").count() == copies
+
+
 def test_reruns_agree_on_other_partitions(docs_of):
     df = docs_of(corpus(2, 400))
     first = mixing.mix_sources(df).select("doc_id", "copies").collect()
