@@ -61,15 +61,14 @@ class Lengths(dict):
 def frequent_words(docs: DataFrame, model: str, sample_rows: int, entries: int) -> dict[str, int]:
     """Tokens of the commonest pre-tokens in a sample of about ``sample_rows`` documents.
 
-    The sample is taken by a hash of the id. It only decides what the workers needn't encode;
-    results are the same with any table. Counting stays in the tasks: each of the four gives
+    Every row is drawn on its own, whatever its id and text. The sample only decides what the workers
+    needn't encode; results are the same with any table. Counting stays in the tasks: each gives
     its own ``entries`` commonest, and no pre-token is shuffled.
     """
     total = docs.count()
     if not total:
         return {}
-    part = 1 << 30
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(part)) <= int(part * min(1, sample_rows / total)))
+    chosen = docs.sample(min(1.0, sample_rows / total), seed=3)
 
     def commonest(batches_):
         seen, lengths = Counter(), Lengths(model, {}, 1 << 17)
@@ -83,7 +82,7 @@ def frequent_words(docs: DataFrame, model: str, sample_rows: int, entries: int)
             pa.schema([("word", pa.string()), ("seen", pa.int64()), ("tokens", pa.int32())]),
         )
 
-    found = chosen.select("text").repartition(4).mapInArrow(commonest, "word string, seen long, tokens int")
+    found = chosen.select("text").repartition(-(-sample_rows // 500)).mapInArrow(commonest, "word string, seen long, tokens int")
     seen, tokens = Counter(), {}
     for r in found.collect():
         seen[r["word"]] += r["seen"]
