@@ -224,7 +224,7 @@ def owner_or_parent(owner: Column) -> Column:
 
 
 def ignored_files(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """Add ``ignored`` to the files (one row per path; take paths, not texts, through here).
+    """Add ``ignored`` to the files (take paths, not texts, through here).
 
     Every directory points to the directories at and above it that own rules: a short list of names,
     never their rules. Directories are judged first, each once; below an ignored one nothing is asked
@@ -238,17 +238,27 @@ def ignored_files(files: DataFrame, rules: DataFrame) -> DataFrame:
     probes = _probes(rules)
     lookup = _keyed(rules)
     dirs = _written(_directories(files, rules))
-    gone = _below_ignored(dirs, _judged(dirs.where("dir <> ''").select(
-        F.col("dir").alias("path"), _owners_of_parent().alias("__owners")), lookup, probes, True))
+    nodes = dirs.where("dir <> ''").select(F.col("dir").alias("path"), _owners_of_parent().alias("__owners"))
+    gone = _below_ignored(dirs, _judged(nodes, lookup, probes))
     known = dirs.join(gone, "dir", "left").select(
         F.col("dir").alias("__dir"), F.col("owners").alias("__owners"), F.coalesce("gone", F.lit(False)).alias("__gone")
     )
     met = spread_join(files.withColumn("__dir", parent("path")), known, ["__dir"], "left")
-    asked = met.where("not __gone").select("path", "__owners")
-    own = _judged(asked, lookup, probes, False).withColumnRenamed("ignored", "__own")
-    return met.join(own, "path", "left").select(
-        *(F.col(c) for c in files.columns), F.coalesce(F.col("__gone") | F.coalesce("__own", F.lit(False)), F.lit(False)).alias("ignored")
-    )
+    # Each file has one key that no rule has, by which its copies are counted.
+    keys = F.concat(F.array(F.lit("")), F.coalesce(F.when(~F.col("__gone"), probes), F.array().cast("array<string>")))
+    asked = met.select(*files.columns, "__gone", F.explode(keys).alias("probe"))
+    tried = spread_join(asked, lookup.where("not dir_only"), ["probe"], "left")
+    verdict = F.max_by("negated", F.when(_matches(), F.col("order")))
+    judged = tried.groupBy(*files.columns, "__gone").agg(F.count_if(F.col("probe") == "").alias("__n"), verdict.alias("__back"))
+    ignored = F.coalesce(F.col("__gone") | F.coalesce(~F.col("__back"), F.lit(False)), F.lit(False))
+    each = judged.select(*files.columns, ignored.alias("ignored"), F.explode(F.array_repeat(F.lit(0), F.col("__n").cast("int"))))
+    return each.drop("col")
+
+
+def _matches() -> Column:
+    """Whether a node meets a rule that it shares a key with."""
+    inside = F.when(F.col("owner") == "", F.col("path")).otherwise(F.substr("path", F.length("owner") + 2))
+    return F.col("owner").isNotNull() & (F.col("regex").isNull() | F.regexp_like(inside, F.col("regex")))
 
 
 def _written(rows: DataFrame) -> DataFrame:
@@ -265,7 +275,7 @@ def _directories(files: DataFrame, rules: DataFrame) -> DataFrame:
     """``dir, owners``: every directory at or below one that owns rules, and those owners."""
     above = F.concat(F.array(F.lit("")), ancestors("dir"), F.array("dir"))
     held = files.select(parent("path").alias("dir")).where("dir is not null").distinct()
-    dirs = held.select(F.explode(F.array_distinct(above)).alias("dir")).distinct()
+    dirs = held.select(F.explode(F.array_distinct(above)).alias("dir"))
     reached = dirs.select("dir", F.explode(F.array_distinct(above)).alias("owner"))
     met = spread_join(reached, rules.select("owner").distinct(), ["owner"])
     return met.groupBy("dir").agg(F.array_sort(F.collect_set("owner")).alias("owners"))
@@ -320,15 +330,10 @@ def _probes(rules: DataFrame) -> Column:
     return F.array_compact(F.concat(*keys))
 
 
-def _judged(nodes: DataFrame, lookup: DataFrame, probes: Column, are_dirs: bool) -> DataFrame:
-    """``path, ignored`` of the nodes (``path, __owners``) that some rule matches: the strongest one decides."""
-    if not are_dirs:
-        lookup = lookup.where("not dir_only")
-    asked = nodes.select("path", F.explode(probes).alias("probe"))
-    met = spread_join(asked, lookup, ["probe"])
-    inside = F.when(F.col("owner") == "", F.col("path")).otherwise(F.substr("path", F.length("owner") + 2))
-    matching = met.where(F.col("regex").isNull() | F.regexp_like(inside, F.col("regex")))
-    return matching.groupBy("path").agg((~F.max_by("negated", "order")).alias("ignored"))
+def _judged(dirs: DataFrame, lookup: DataFrame, probes: Column) -> DataFrame:
+    """``path, ignored`` of the directories (``path, __owners``) that some rule matches: the strongest one decides."""
+    met = spread_join(dirs.select("path", F.explode(probes).alias("probe")), lookup, ["probe"])
+    return met.where(_matches()).groupBy("path").agg((~F.max_by("negated", "order")).alias("ignored"))
 
 
 def in_repositories(rules: DataFrame, repositories: DataFrame) -> DataFrame:

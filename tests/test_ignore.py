@@ -94,6 +94,15 @@ def test_nothing_below_an_ignored_directory_comes_back(spark):
     assert got == {"v/a/keep"}
 
 
+def test_rows_that_repeat_stay(spark):
+    """As do null paths, paths at the top and other columns."""
+    rows = [("a.o", 1), ("a.o", 1), ("a.o", 2), ("d/b", None), ("d/b", None), (None, 3), (None, 3), ("x/y/z", 4)]
+    files = spark.createDataFrame(rows, "path string, size int")
+    got = ignored_files(files, rules_of(spark, [("", "gitignore", "*.o\nx/\n"), ("q", "gitignore", "*")]))
+    assert got.columns == ["path", "size", "ignored"]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(repr((p, n, p in ("a.o", "x/y/z"))) for p, n in rows)
+
+
 def test_no_rules(spark):
     assert ignored(spark, ["a", "b/c"], ("", "gitignore", "# only a note\n")) == set()
 
@@ -124,6 +133,7 @@ def test_a_directory_with_most_files_is_spread(spark):
         done = ignored_files(files, rules)
         assert done.where("ignored").count() == 300
         assert done.select(F.spark_partition_id()).distinct().count() > 3
+        assert done.count() == 3000
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
