@@ -33,4 +33,5 @@ from .plans.documents import (
 )
 from .plans.ingest import ingest
 from .sources.files import list_files, read_corpus, read_files, write_files
+from .sources.listed import commit_listing, read_listing
 from .sources.tables import corpus_from_table

@@ -20,6 +20,7 @@ from .operators import ignore, matches, order, rules, snapshots, tree
 from .operators.rules import DEFAULT_RULES, EXTENDED_RULES, Rule
 from .plans import documents
 from .sources import files as file_source
+from .sources import listed
 from .sources.tables import corpus_from_table
 from .sources.workspace import workspace
 
@@ -617,6 +618,14 @@ def file_contents(spark, sf_dir):
     return files.select("path", "size", "status", "reason", F.md5(F.col("content").cast("binary")).alias("digest"))
 
 
+def file_pushdown(spark, sf_dir):
+    """Documents written as files, listed and committed; of some kinds and sizes the bytes are read."""
+    folder = _as_files(spark, document_files(spark, sf_dir))
+    listing = listed.commit_listing(file_source.list_files(spark, folder, folder))
+    files = listed.read_listing(spark, listing).where("path LIKE 'docs/src1/%' AND size >= 500 AND size < 20000")
+    return files.select("path", "size", F.md5("raw").alias("digest"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -629,6 +638,6 @@ QUERIES = {
         xml_escaped, json_records, md_bundle, xml_bundle, json_bundle, bundle_totals,
         document_totals, document_parts, document_sink, json_sink, source_specs, size_literals, subpath, vcs_dirs,
         ref_select, ref_symbolic, snapshot_diff, ignored, ignored_by_name, unknown_rule_type, bad_pattern, file_scan, file_admission,
-        file_contents,
+        file_contents, file_pushdown,
     )
 }

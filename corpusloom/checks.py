@@ -499,6 +499,8 @@ FROM (SELECT *, status = 'text' AND regexp_matches(path, '\\.(cfg|json)$') AS ba
     "file_scan": f"SELECT path, strlen(content) AS size FROM ({DOCS})",
     "file_admission": f"""WITH {_admitted(NAMED)} SELECT path, strlen(given) AS size, status, reason,
   md5(content) AS digest FROM c0""",
+    "file_pushdown": f"""SELECT path, strlen(content) AS size, md5(content) AS digest FROM ({DOCS})
+WHERE starts_with(path, 'docs/src1/') AND strlen(content) >= 500 AND strlen(content) < 20000""",
     "file_contents": f"""WITH {_admitted(NAMED)} SELECT path, strlen(given) AS size, status, reason,
   md5(content) AS digest FROM c0""",
 }

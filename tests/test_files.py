@@ -158,3 +158,31 @@ def test_names_that_are_no_text(spark, tmp_path):
         "caf\ufffd/a.txt": b"/a.txt", "caf\ufffd/\ufffd.txt": b"/\xfe.txt", "caf\ufffd/sub\ufffd/b.txt": b"/sub\xff/b.txt",
     }
     assert all(r.read_error is None for r in rows)
+
+
+def test_filters_decide_before_a_file_is_opened(spark, tmp_path, monkeypatch):
+    """Filters stand in the plan at the source; of what they exclude, nothing is opened, and rows are the same."""
+    from pyspark.sql import datasource as D
+
+    from corpusloom.sources import listed
+
+    for i in range(40):
+        (tmp_path / "in" / f"d{i % 3}").mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / f"d{i % 3}" / f"{i}.txt").write_bytes(bytes([i]) * (10 * i))
+    files = list_files(spark, str(tmp_path / "in"), str(tmp_path / "in"))
+    folder = listed.commit_listing(files, str(tmp_path / "listing"))
+    table = listed.read_listing(spark, folder)
+    assert {(r.path, r.size, bytes(r.raw)) for r in table.collect()} == {(f"d{i % 3}/{i}.txt", 10 * i, bytes([i]) * (10 * i)) for i in range(40)}
+    some = table.where("path LIKE 'd1/%' AND size > 50 AND size <= 200 AND length(raw) > 0")
+    assert {r.size for r in some.collect()} == {10 * i for i in range(40) if i % 3 == 1 and 50 < 10 * i <= 200}
+    plan = spark._jvm.PythonSQLUtils.explainString(some._jdf.queryExecution(), "formatted")
+    for part in ("StringStartsWith(path,d1/)", "GreaterThan(size,50)", "LessThanOrEqual(size,200)"):
+        assert part in plan.split("PushedFilters: ")[1].splitlines()[0]
+    opened = []
+    monkeypatch.setattr("corpusloom.sources.files._fetch", lambda path: opened.append(path) or b"x")
+    reader = listed.Reader(folder)
+    left = [*reader.pushFilters([D.GreaterThan(("size",), 350), D.StringEndsWith(("path",), "7.txt"), D.StringContains(("raw",), "a"),
+                                 D.In(("size",), [370, 380, None]), D.IsNotNull(("path",)), D.Not(D.EqualTo(("size",), 1))])]
+    assert [type(f).__name__ for f in left] == ["StringContains", "Not"]
+    rows = [b for part in reader.partitions() for b in reader.read(part)]
+    assert sum(map(len, rows)) == 1 and [p.rsplit("/", 1)[1] for p in opened] == ["37.txt"]
