@@ -22,7 +22,7 @@ TOGETHER = 512
 #: Bytes of text worked on at once; a longer text is worked on alone.
 SLICE = 4 << 20
 #: Marks that end words.
-MARKS = b".,;:!?"
+MARKS = ".,;:!?"
 
 
 class Recent:
@@ -50,51 +50,45 @@ class Recent:
 
 
 class Words:
-    """Ids as little-endian 32-bit bytes, by word and by what words come down to."""
+    """Ids as little-endian 32-bit bytes, by what words come down to."""
 
     def __init__(self, path: str, room: int):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.tokenizer, self.words, self.cores = Tokenizer.from_file(path), Recent(room), Recent(room)
+        self.tokenizer, self.cores = Tokenizer.from_file(path), Recent(room)
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, ``end`` behind each text's, and how many each has.
 
-        Only distinct words are looked up, and what isn't known of them is encoded together, once. The
-        texts' ids are then taken from those of the words by position.
+        Words become places in a list of distinct ones, and these come down to fewer cores and marks.
+        Only cores and marks are looked up, and what isn't known of them is encoded together, once.
+        The texts' ids are then taken from the words' by place.
         """
-        self.words.turn()
-        self.cores.turn()
         split = pc.ascii_split_whitespace(texts)
-        counts = np.diff(split.offsets.to_numpy())
-        coded = split.flatten().dictionary_encode()
-        words, known = coded.dictionary.cast(pa.large_binary()).to_pylist(), self.words.known
-        known[b""] = b""  # in front of the first blank and behind the last one
-        fresh = {w for w in words if w not in known}
-        if fresh:
-            self.learn(fresh)
-        ids = [*map(known.__getitem__, words), np.array([end], "<i4").tobytes()]
-        raw, sizes = np.frombuffer(b"".join(ids), "<i4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        behind = np.cumsum(counts)
-        place = np.insert(coded.indices.to_numpy().astype(np.int64), behind, len(words))
-        held = sizes[place]
-        ends = np.cumsum(held)
-        taken = raw[np.arange(ends[-1]) + np.repeat((np.cumsum(sizes) - sizes)[place] - ends + held, held)]
-        return taken, np.add.reduceat(held, behind - counts + np.arange(len(texts)))
+        words = split.flatten().dictionary_encode()
+        parts = [x.dictionary_encode() for x in parted(words.dictionary)]
+        self.cores.turn()
+        spelt = [x.dictionary.cast(pa.large_binary()).to_pylist() for x in parts]
+        self.learn({w for part in spelt for w in part if w and w not in self.cores.known})
+        ids = []
+        for part, x in zip(spelt, parts, strict=True):
+            found = pa.array([self.cores.known[w] if w else b"" for w in part], pa.large_binary())
+            ids.append(found.take(x.indices))
+        last = pa.array([np.array([end], "<i4").tobytes()], pa.large_binary())
+        of_word = pa.concat_arrays([pc.binary_join_element_wise(*ids, pa.scalar(b"", pa.large_binary())), last])
+        behind = split.offsets.to_numpy()[1:] - split.offsets.to_numpy()[0]
+        place = np.insert(words.indices.to_numpy(), behind, len(of_word) - 1)
+        taken = of_word.take(pa.array(place))
+        _, bounds, data = taken.buffers()
+        bounds = np.frombuffer(bounds, np.int64, len(taken) + 1)
+        ends = bounds[behind + np.arange(1, len(texts) + 1)] // 4
+        return np.frombuffer(data, "<i4", int(bounds[-1]) // 4), np.diff(ends, prepend=0)
 
     def learn(self, words: set) -> None:
-        """Words in ASCII letters come down to lower case, others as :func:`parted` says."""
-        new, known, cores = self.words.unknown(words), self.words.known, self.cores.known
-        plain = [w for w in new if w.isalpha()]
-        lower = [w.lower() for w in plain]
-        parts = {w: parted(w) for w in new if not w.isalpha()}
-        wanted = {*lower, *(p for pair in parts.values() for p in pair if p)}.difference(cores)
-        missing = self.cores.unknown(wanted)
+        missing = self.cores.unknown(words)
         for at in range(0, len(missing), TOGETHER):
-            cores.update(self.encoded(missing[at : at + TOGETHER]))
-        known.update(zip(plain, map(cores.__getitem__, lower), strict=True))
-        known.update((w, cores[core] + cores[marks] if marks else cores[core]) for w, (core, marks) in parts.items())
+            self.cores.known.update(self.encoded(missing[at : at + TOGETHER]))
 
     def encoded(self, words: list[bytes]):
         """(word, ids) of some words, out of one text; a token belongs to the word in which it begins."""
@@ -106,23 +100,43 @@ class Words:
         return zip(words, (raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)), strict=True)
 
 
-def parted(word: bytes) -> tuple[bytes, bytes]:
-    """A word as a core in lower case and the marks behind it, where these are tokens of their own.
+#: Two-byte characters, by their bytes' bits, that are letters in lower case: those of the Latin blocks.
+LATIN = np.array([0xAA <= c < 0x250 and chr(c).lower().isalpha() for c in range(0x800)])
+
+
+def parted(words: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Each word as a core in lower case and the marks behind it, where these are tokens of their own.
 
     That is sure behind an ASCII letter, and behind others of the Latin blocks that are letters in
     lower case too. Only ASCII is lowered: other letters may compose differently in lower case.
     Special tokens are spelt in lower case, so ``<|`` is left.
     """
-    core = word.rstrip(MARKS)
-    if core != word and not core[-1:].isalpha():
-        last = core.decode()[-1:]
-        if not ("\u00aa" <= last < "\u0250" and last.lower().isalpha()):
-            core = word
-    return core.lower() if core.isascii() and b"<|" not in core else core, word[len(core) :]
+    core = pc.ascii_rtrim(words, MARKS)
+    raw, whole = bytes_of(words)
+    size, short = np.diff(whole), pc.binary_length(core).to_numpy(zero_copy_only=False)
+    at = whole[:-1] + short  # the byte behind the core
+    last, before = (np.where(short >= n, raw[np.maximum(at - n, 0)] if len(raw) else 0, 0).astype(np.int64) for n in (1, 2))
+    letter = ((last | 32) >= 97) & ((last | 32) <= 122) & (last < 128)
+    pair = (last >> 6 == 2) & (before >> 5 == 6)
+    sure = (letter | (pair & LATIN[np.where(pair, (before & 31) << 6 | (last & 63), 0)])) & (short < size)
+    core = pc.if_else(pa.array(sure), core, words)
+    plain = pc.and_(pc.string_is_ascii(core), pc.invert(pc.match_substring(core, "<|")))
+    behind = np.where(sure, size - short, 0)
+    ends = np.cumsum(behind)
+    marks = raw[np.arange(ends[-1] if len(ends) else 0) + np.repeat(at - ends + behind, behind)]
+    bounds = pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64))
+    return pc.if_else(plain, pc.ascii_lower(core), core), pa.LargeStringArray.from_buffers(len(words), bounds, pa.py_buffer(marks))
+
+
+def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes behind a large string array and where each text begins among them."""
+    _, bounds, data = texts.buffers()
+    bounds = np.frombuffer(bounds, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), bounds
 
 
 def encode_documents(
-    df: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", room: int = 1 << 18
+    df: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", room: int = 1 << 19
 ) -> DataFrame:
     """``doc_id, n_tokens, token_offset, ids`` in ascending id order, one range of ids per partition.
 
