@@ -23,6 +23,8 @@ ship(__name__)
 
 #: Windows that are handled at once, to bound memory for very long texts.
 PART = 1 << 15
+#: Bound of the keys that are broadcast because many rows have them.
+HOT_KEYS = 1 << 16
 
 
 def sums(words: np.ndarray, seed: int):
@@ -90,12 +92,12 @@ def parse(docs: DataFrame, window: int, gram: int) -> DataFrame:
             )
 
     return docs.mapInArrow(
-        run, f"doc_id {kind}, version int, anchor long, r1 long, r2 long, first int, windows int"
+        run, f"doc_id {kind}, version long, anchor long, r1 long, r2 long, first int, windows int"
     )
 
 
 def boundary_windows(docs: DataFrame, window: int) -> DataFrame:
-    """``doc_id, place, w1, w2`` of the windows in the column ``ranges``; place is version and first word."""
+    """``doc_id, version, first, w1, w2`` of the windows in the column ``ranges``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches_):
@@ -106,49 +108,65 @@ def boundary_windows(docs: DataFrame, window: int) -> DataFrame:
                 continue
             rows = pa.array(np.repeat(np.arange(len(own)), [len(x[0]) for x in own]))
             first, w1, w2 = (np.concatenate(x) for x in zip(*own, strict=True))
-            version = batch.column("version").take(rows).to_numpy().astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").take(rows),
-                    pa.array(version << 32 | first),
+                    batch.column("version").take(rows),
+                    pa.array(first.astype(np.int32)),
                     pa.array(w1.view(np.int64)),
                     pa.array(w2.view(np.int64)),
                 ],
-                ["doc_id", "place", "w1", "w2"],
+                ["doc_id", "version", "first", "w1", "w2"],
             )
 
-    return docs.mapInArrow(run, f"doc_id {kind}, place long, w1 long, w2 long")
+    return docs.mapInArrow(run, f"doc_id {kind}, version long, first int, w1 long, w2 long")
+
+
+def counted(rows: DataFrame, *keys: str, **more) -> DataFrame:
+    """Keys that stand in rows of different documents: rows ``__n``, smallest id ``__first``, and ``more``.
+    Rows of a key are added up before the shuffle."""
+    found = rows.groupBy(*keys).agg(
+        F.count("*").alias("__n"),
+        F.min("doc_id").alias("__first"),
+        F.max("doc_id").alias("__last"),
+        *(c.alias(n) for n, c in more.items()),
+    )
+    return keep(found.where("__first < __last").drop("__last"))
+
 
+def met(rows: DataFrame, found: DataFrame, *keys: str, how: str = "inner") -> DataFrame:
+    """Rows joined with the counted keys they have; no key's rows are one task's work.
 
-def earlier(rows: DataFrame, *keys: str) -> DataFrame:
-    """Rows whose keys also stand in a row of a smaller document. Counting combines before the shuffle
-    and the join's hot keys are split by the adaptive planner."""
-    first = rows.groupBy(*keys).agg(F.min("doc_id").alias("__first"), F.max("doc_id").alias("__last"))
-    return rows.join(first.where("__first < __last").drop("__last"), list(keys))
+    A key is hot that has more than one in ``HOT_KEYS`` of the counted rows, so there are fewer hot keys
+    than ``HOT_KEYS`` at any size: these are broadcast, and their rows stay where they are.
+    """
+    limit = (found.agg(F.sum("__n")).first()[0] or 0) // HOT_KEYS
+    hot = F.broadcast(found.where(F.col("__n") > limit).drop("__n"))
+    others = rows.join(hot.select(*keys), list(keys), "left_anti")
+    others = others.join(found.where(F.col("__n") <= limit).drop("__n"), list(keys), how)
+    return rows.join(hot, list(keys)).unionByName(others)
 
 
 def duplicate_spans(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """``doc_id, version, ranges``: runs of windows that stand in a document with a smaller id."""
     usable = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     parsed = keep(parse(usable, window, gram))
-    shared = keep(earlier(parsed, "anchor").drop("__first"))
-    first = shared.groupBy("r1", "r2").agg(F.min("doc_id").alias("__first"))
     # Where all blocks of an anchor are equal, there is no boundary.
-    mixed = shared.groupBy("anchor").agg(F.min("r1").alias("__a"), F.max("r1").alias("__b")).where("__a != __b")
-    whole = (F.col("doc_id") > F.col("__first")).alias("whole")
-    factors = shared.join(first, ["r1", "r2"]).select("anchor", "doc_id", "version", "first", "windows", whole)
-    factors = factors.join(mixed.select("anchor", F.lit(True).alias("__mixed")), "anchor", "left")
-    factors = keep(factors.where("whole or __mixed").drop("anchor", "__mixed"))
+    anchors = counted(parsed, "anchor", mixed=F.min("r1") != F.max("r1"))
+    shared = keep(met(parsed, anchors.drop("__first"), "anchor").drop("anchor"))
+    factors = met(shared, counted(shared, "r1", "r2"), "r1", "r2", how="left")
+    whole = F.coalesce(F.col("doc_id") > F.col("__first"), F.lit(False))
+    factors = factors.withColumn("whole", whole).where("whole or mixed")
+    factors = keep(factors.select("doc_id", "version", "first", "windows", "whole"))
+    # A set: rows that are repeated whole have the same ranges.
     per_doc = lambda rows: rows.groupBy("doc_id", "version").agg(
-        F.collect_list(F.struct("first", "windows")).alias("ranges")
+        F.collect_set(F.struct("first", "windows")).alias("ranges")
     )
     open_docs = usable.join(per_doc(factors.where("not whole")), ["doc_id", "version"])
     single = keep(boundary_windows(open_docs, window))
-    found = earlier(single, "w1", "w2").where("doc_id > __first")
+    found = met(single, counted(single, "w1", "w2"), "w1", "w2").where("doc_id > __first")
     runs = factors.where("whole").select("doc_id", "version", "first", "windows")
-    version, word = F.shiftright("place", 32).cast("int"), F.col("place").bitwiseAND(0xFFFFFFFF).cast("int")
-    single_runs = found.select("doc_id", version.alias("version"), word.alias("first"), F.lit(1).alias("windows"))
-    return per_doc(runs.unionByName(single_runs))
+    return per_doc(runs.unionByName(found.select("doc_id", "version", "first", F.lit(1).alias("windows"))))
 
 
 def remove_repeats(
@@ -164,7 +182,7 @@ def remove_repeats(
     stays whole; rows that share an id aren't each other's source; repeated rows are all given;
     texts shorter than a window stay; other columns are ignored; an empty table gives no rows.
     """
-    docs = identified(df, id_col, text_col).withColumn("version", F.hash("text"))
+    docs = identified(df, id_col, text_col).withColumn("version", F.xxhash64("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     spans = duplicate_spans(docs, window, gram)
 

@@ -59,6 +59,26 @@ def test_short_windows_and_parts(docs_of, monkeypatch):
     assert sorted(repr(tuple(r)) for r in got) == brute(rows, 12)
 
 
+def test_hot_keys_are_split_off_and_nothing_changes(docs_of, monkeypatch):
+    monkeypatch.setattr(substrings, "HOT_KEYS", 6)
+    passage = prose(9, 90).split()
+    mid = [(3000 + i, " ".join(prose(i, 12).split() + passage[i % 7 : 60 + i % 5])) for i in range(60)]
+    rows = spliced(4) + mid + [(4000, mid[0][1])] * 20 + [(4000, mid[1][1])]
+    got = substrings.repeat_digests(docs_of(rows)).collect()
+    assert sorted(repr(tuple(r)) for r in got) == brute(rows, 50)
+
+
+def test_keys_to_broadcast_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "HOT_KEYS", 5)
+    keys = [0] * 300 + [1] * 200 + list(range(2, 120)) * 2
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, doc_id long")
+    found = substrings.counted(rows, "k")
+    joined = substrings.met(rows, found, "k")
+    assert sorted(map(tuple, joined.collect())) == sorted((k, i, keys.index(k)) for i, k in enumerate(keys))
+    limit = found.agg({"__n": "sum"}).first()[0] // 5
+    assert {r["k"] for r in found.where(f"__n > {limit}").collect()} == {0, 1}
+
+
 def test_kept_text(docs_of):
     passage = prose(7, 55)
     rows = [(1, passage), (2, f"before {passage}\nafter")]
