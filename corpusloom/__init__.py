@@ -28,10 +28,12 @@ from .plans.documents import (
     numbered_pieces,
     pieces,
     section,
+    tree_parts,
     whole_documents,
     write_document,
 )
 from .plans.ingest import ingest
+from .plans.written import commit_document, manifest, read_bytes, read_ranges
 from .sources.files import list_files, read_corpus, read_files, write_files
 from .sources.listed import commit_listing, read_listing
 from .sources.tables import corpus_from_table

@@ -18,7 +18,7 @@ from .functions.languages import fence_language
 from .operators import admit as admission
 from .operators import ignore, matches, order, rules, snapshots, tree
 from .operators.rules import DEFAULT_RULES, EXTENDED_RULES, Rule
-from .plans import documents
+from .plans import documents, written
 from .sources import files as file_source
 from .sources import listed
 from .sources.tables import corpus_from_table
@@ -446,6 +446,21 @@ def json_sink(spark, sf_dir):
     return tree_part.unionByName(_written_lines(spark, f"{folder}/1-files").withColumn("part", F.lit("files")))
 
 
+def document_ranges(spark, sf_dir):
+    """Write the whole corpus as one JSON object, commit it, and read a byte range of it for every document."""
+    folder = workspace(spark)
+    parts = written.commit_document(corpus(spark, sf_dir), folder, format="json")
+    total = F.lit(parts.agg(F.max(F.col("start") + F.col("bytes"))).first()[0] or 1)
+    length = F.coalesce(F.octet_length("text"), F.lit(0)) % 5000 + 1
+    wanted = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.col("doc_id") * 9973 % total).alias("start"), length.cast("bigint").alias("length")
+    )
+    pieces = written.read_ranges(spark, folder, wanted.withColumn("document", F.lit(None).cast("string")))
+    data = F.transform(F.array_sort(F.collect_list(F.struct("part", "data"))), lambda p: F.hex(p["data"]))
+    found = pieces.groupBy("start", "length").agg(F.md5(F.unhex(F.array_join(data, ""))).alias("digest"))
+    return wanted.join(found, ["start", "length"]).select("doc_id", "start", "length", "digest")
+
+
 def source_specs(spark, sf_dir):
     host = F.regexp_extract("url", "://([^/]+)", 1)
     forms = F.array(
@@ -604,6 +619,14 @@ def file_scan(spark, sf_dir):
     return file_source.list_files(spark, folder, folder).select("path", "size")
 
 
+def flat_scan(spark, sf_dir):
+    """All documents as files of one directory, listed with a base outside it: paths stay whole."""
+    files = table(spark, sf_dir, "documents").select(_join("flat/", F.col("doc_id")).alias("path"), F.col("text").alias("content"))
+    folder = _as_files(spark, files)
+    found = file_source.list_files(spark, f"{folder}/flat", f"{folder}/flat/elsewhere")
+    return found.select(paths.relative_to("path", folder).alias("path"), "size")
+
+
 def file_admission(spark, sf_dir):
     """Documents written as files of all kinds of names, read and admitted up to the default limit."""
     folder = _as_files(spark, named_files(spark, sf_dir))
@@ -636,8 +659,8 @@ QUERIES = {
         match_lines, line_offsets, safe_log, unsafe_log, log_headers, lines_grouped,
         tree_dirs, tree_lines, tree_text, path_order, sample_files, md_sections, xml_sections,
         xml_escaped, json_records, md_bundle, xml_bundle, json_bundle, bundle_totals,
-        document_totals, document_parts, document_sink, json_sink, source_specs, size_literals, subpath, vcs_dirs,
-        ref_select, ref_symbolic, snapshot_diff, ignored, ignored_by_name, unknown_rule_type, bad_pattern, file_scan, file_admission,
-        file_contents, file_pushdown,
+        document_totals, document_parts, document_sink, json_sink, document_ranges, source_specs, size_literals, subpath, vcs_dirs,
+        ref_select, ref_symbolic, snapshot_diff, ignored, ignored_by_name, unknown_rule_type, bad_pattern, file_scan,
+        flat_scan, file_admission, file_contents, file_pushdown,
     )
 }

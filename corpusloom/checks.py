@@ -354,6 +354,10 @@ LINES_OF_WHOLE = """SELECT unnest(range(len(lines))) AS position, md5(unnest(lin
 FROM (SELECT string_split(text[:-2], chr(10)) AS lines FROM whole)"""
 ENTITY_RULES = [c.ENTITY, *c.CUSTOM_RULES]
 
+JSON_WHOLE = f"""whole AS (SELECT {_lines(JSON_HEAD.removesuffix('"'))} || (SELECT CAST(to_json({TREE_TEXT}) AS VARCHAR) FROM ({_tree(CORPUS)}))
+  || {_lines(JSON_TREE_END.removeprefix('"'))} || string_agg({JSON_SECTION}, {_lines(JSON_BETWEEN)} ORDER BY {FILE_ORDER})
+  || {_lines(JSON_END)} AS text FROM done)"""
+
 SQL = {
     "corpus_counts": f"""SELECT {_ext("path")} AS ext, count(*) AS files,
   CAST(sum(strlen(content)) AS BIGINT) AS bytes FROM ({CORPUS}) GROUP BY ext""",
@@ -466,13 +470,17 @@ whole AS (SELECT {_lines(MARKDOWN_HEAD)} || (SELECT {TREE_TEXT} FROM ({_tree(COR
   || {_lines(MARKDOWN_TREE_END)} || string_agg({MD_SECTION}, '' ORDER BY {FILE_ORDER}) AS text FROM done)
 {LINES_OF_WHOLE}""",
     "json_sink": f"""{_rewritten(CORPUS)},
-whole AS (SELECT {_lines(JSON_HEAD.removesuffix('"'))} || (SELECT CAST(to_json({TREE_TEXT}) AS VARCHAR) FROM ({_tree(CORPUS)}))
-  || {_lines(JSON_TREE_END.removeprefix('"'))} || string_agg({JSON_SECTION}, {_lines(JSON_BETWEEN)} ORDER BY {FILE_ORDER})
-  || {_lines(JSON_END)} AS text FROM done),
+{JSON_WHOLE},
 lines AS (SELECT string_split(text, chr(10)) AS l FROM whole),
 trees AS (SELECT l, string_split(l[1] || chr(10) || l[2], chr(92) || 'n') AS t FROM lines)
 SELECT 'tree' AS part, unnest(range(len(t) - 1)) AS position, md5(unnest(t[:-2])) AS digest FROM trees
 UNION ALL SELECT 'files', unnest(range(len(l) - 1)), md5(unnest([t[-1]] || l[3:])) FROM trees""",
+    "document_ranges": f"""{_rewritten(CORPUS)},
+{JSON_WHOLE},
+bytes AS MATERIALIZED (SELECT encode(text || chr(10)) AS b, strlen(text) + 1 AS total FROM whole),
+ranges AS (SELECT doc_id, doc_id * 9973 % total AS start, coalesce(strlen(text), 0) % 5000 + 1 AS length
+  FROM documents, bytes)
+SELECT doc_id, start, length, md5(array_slice(b, start + 1, start + length)) AS digest FROM ranges, bytes""",
     "source_specs": SPECS,
     "size_literals": """SELECT doc_id, literal, CASE doc_id % 7 WHEN 0 THEN n_chars
   WHEN 1 THEN n_chars * 1024 WHEN 2 THEN n_chars * 1048576 WHEN 3 THEN n_chars * 1073741824 END AS bytes
@@ -497,6 +505,7 @@ FROM before b FULL JOIN after a ON a.path = b.path""",
     + """SELECT path, CASE WHEN bad THEN 'error' ELSE status END AS status, CASE WHEN NOT bad THEN md5(content) END AS digest
 FROM (SELECT *, status = 'text' AND regexp_matches(path, '\\.(cfg|json)$') AS bad FROM done)""",
     "file_scan": f"SELECT path, strlen(content) AS size FROM ({DOCS})",
+    "flat_scan": "SELECT 'flat/' || doc_id AS path, coalesce(strlen(text), 0) AS size FROM documents",
     "file_admission": f"""WITH {_admitted(NAMED)} SELECT path, strlen(given) AS size, status, reason,
   md5(content) AS digest FROM c0""",
     "file_pushdown": f"""SELECT path, strlen(content) AS size, md5(content) AS digest FROM ({DOCS})

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.paths import ancestors, depth, file_name, parent, path_key
 
 ROOT_LINE = "+ ."
+#: The largest tree that is put into one cell.
+TEXT_BYTES = 16 << 20
 
 
 def directories(files: DataFrame, by: str | None = None) -> DataFrame:
@@ -79,14 +81,20 @@ def tree_lines(files: DataFrame, by: str | None = None) -> DataFrame:
     return root.unionByName(rows)
 
 
-def tree_text(files: DataFrame, by: str, order: str = "path") -> DataFrame:
+def tree_text(files: DataFrame, by: str, order: str = "path", limit: int = TEXT_BYTES) -> DataFrame:
     """``by, tree``: the tree of each ``by`` as one text, lines parted by line feeds.
 
-    For trees that fit into a cell; :func:`tree_lines` gives the lines of any.
+    Sizes are added up first: if a tree has more than ``limit`` bytes this raises, and
+    :func:`tree_lines` or :func:`.documents.tree_parts` give it.
     """
     [key, _] = tree_order(order)
+    lines = tree_lines(files, by)
+    sizes = lines.groupBy(by).agg(F.sum(F.octet_length("line") + 1).alias("bytes"))
+    large = sizes.where(F.col("bytes") > limit).first()
+    if large:
+        raise ValueError(f"the tree of {large[by]!r} has {large['bytes']} bytes, more than {limit}")
     cell = F.struct(key.alias("key"), (~F.col("is_dir")).alias("leaf"), "line")
     ordered = F.array_sort(F.collect_list(cell))
-    return tree_lines(files, by).groupBy(by).agg(
+    return lines.groupBy(by).agg(
         F.array_join(F.transform(ordered, lambda c: c["line"]), "\n").alias("tree")
     )

@@ -348,6 +348,22 @@ def assemble(
     return parts.select(by, "part", "document")
 
 
+def tree_parts(
+    files: DataFrame, by: str, *, cell_bytes: int = CELL_BYTES, order: str = "path"
+) -> DataFrame:
+    """``by, part, tree``: the tree of each ``by`` in parts numbered from 0, lines parted by line feeds.
+
+    Ordered by ``part`` they concatenate to what :func:`.tree.tree_text` gives, whatever the size.
+    """
+    place = dict(zip(("__key", "__leaf"), (tree_order(order)[0], ~F.col("is_dir"))))
+    feed = F.when(F.col("depth") > 0, "\n").otherwise("")
+    text = F.concat(feed, "line").alias("piece")
+    lines = tree_lines(files, by).select(F.col(by).cast("string").alias(by), text, *(c.alias(n) for n, c in place.items()))
+    lines = lines.repartitionByRange(by, *place).sortWithinPartitions(by, *place).select(by, "piece")
+    cells = lines.mapInArrow(lambda batches: _cut(batches, by, cell_bytes), f"{by} string, document string")
+    return numbered(cells, by, "part").select(by, "part", F.col("document").alias("tree"))
+
+
 def whole_documents(
     corpus: DataFrame, by: str, *, limit: int = CELL_BYTES, **options
 ) -> DataFrame:

@@ -54,17 +54,6 @@ def _opened(path: str | None, raw: bytes | None) -> str | None:
     return path if raw is None else os.fsdecode(raw)
 
 
-def _entry(path: str, is_link: bool) -> tuple[str, bool, int] | None:
-    """One listed entry, links followed for files but not for directories."""
-    try:
-        if os.path.isdir(path):
-            return None if is_link else (path, True, 0)
-        return path, False, os.stat(path).st_size
-    except OSError as e:
-        _log.warning("cannot read metadata of %s: %s", path, e)
-        return None
-
-
 def _kind(source: str) -> tuple[bool, int]:
     """Whether the source is a directory, and the size of a file."""
     if "://" in source:
@@ -78,7 +67,11 @@ def _kind(source: str) -> tuple[bool, int]:
     return os.path.isdir(source), os.stat(source).st_size
 
 
-def _children(directory: str) -> Iterator[tuple[str, bool, int]]:
+def _children(directory: str) -> Iterator[tuple[str, bool, int | None]]:
+    """Path, whether it is a directory, and size of what a directory holds; links are followed to files only.
+
+    The operating system gives names as a stream; sizes, which cost a call each, are left open.
+    """
     if "://" in directory:
         from pyarrow import fs
 
@@ -90,9 +83,29 @@ def _children(directory: str) -> Iterator[tuple[str, bool, int]]:
         return
     with os.scandir(directory) as entries:
         for entry in entries:
-            found = _entry(entry.path, entry.is_symlink())
-            if found:
-                yield found
+            try:
+                is_dir = entry.is_dir()
+            except OSError as e:
+                _log.warning("cannot read metadata of %s: %s", entry.path, e)
+                continue
+            if not (is_dir and entry.is_symlink()):
+                yield entry.path, is_dir, 0 if is_dir else None
+
+
+def _measured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Listed files with their sizes; one that cannot be looked at is left out with a warning."""
+    for batch in batches:
+        paths, raws, sizes = (c.to_pylist() for c in batch.columns)
+        for i, size in enumerate(sizes):
+            if size is None:
+                path = _opened(paths[i], raws[i])
+                try:
+                    sizes[i] = os.stat(path).st_size
+                except OSError as e:
+                    _log.warning("cannot read metadata of %s: %s", path, e)
+        sized = pa.array(sizes, pa.int64())
+        held = pa.RecordBatch.from_arrays([*batch.columns[:2], sized], batch.schema.names)
+        yield held.filter(sized.is_valid())
 
 
 def _list(batches: Iterable[pa.RecordBatch], ignore_git: bool) -> Iterator[pa.RecordBatch]:
@@ -132,11 +145,12 @@ def _list(batches: Iterable[pa.RecordBatch], ignore_git: bool) -> Iterator[pa.Re
 def _walk(spark: SparkSession, source: str, ignore_git: bool) -> DataFrame:
     """Every file below a directory, one level of directories after the other.
 
-    A directory is listed by one task, as a stream where the operating system
-    does it.
     A level's directories are listed by as many tasks as there are cores, and
     each level is a written table: nothing is listed on the driver, and a lost
-    executor costs the listing of its directories only.
+    executor costs the listing of its directories only. The names of one
+    directory are a stream that one task writes in pages, in bounded memory
+    where the operating system lists; sizes are looked up afterwards, dealt out
+    by path, so the files of one huge directory are looked at all over the cluster.
     """
     folder = workspace(spark)
     tasks = spark.sparkContext.defaultParallelism
@@ -150,7 +164,12 @@ def _walk(spark: SparkSession, source: str, ignore_git: bool) -> DataFrame:
         if level.isEmpty():
             break
     found = spark.read.schema(_LISTED).parquet(*levels)
-    return found.where("not is_dir").select("absolute_path", "raw_path", "size")
+    found = found.where("not is_dir").select("absolute_path", "raw_path", "size")
+    if "://" in source:
+        return found
+    sized = f"{folder}/sized"
+    found.repartition(tasks, "absolute_path").mapInArrow(_measured, found.schema).write.parquet(sized)
+    return spark.read.schema(found.schema).parquet(sized)
 
 
 def _rules_above(root: str) -> tuple[str, list[tuple[str, str, str]], bool]:

@@ -186,3 +186,56 @@ def test_filters_decide_before_a_file_is_opened(spark, tmp_path, monkeypatch):
     assert [type(f).__name__ for f in left] == ["StringContains", "Not"]
     rows = [b for part in reader.partitions() for b in reader.read(part)]
     assert sum(map(len, rows)) == 1 and [p.rsplit("/", 1)[1] for p in opened] == ["37.txt"]
+
+
+def test_one_directory_is_listed_in_pages(tmp_path, monkeypatch):
+    """Names are handed on while the directory is still being read, and no size is asked for."""
+    from corpusloom.sources import files as F
+
+    read = []
+
+    class Entry:
+        def __init__(self, i):
+            self.path = f"{tmp_path}/{i}"
+
+        is_dir = is_symlink = lambda self: False
+
+    class Listing:
+        __enter__ = lambda self: self
+        __exit__ = lambda *_: None
+
+        def __iter__(self):
+            for i in range(35):
+                read.append(i)
+                yield Entry(i)
+
+    monkeypatch.setattr(F, "_BATCH_ROWS", 10)
+    monkeypatch.setattr(F.os, "scandir", lambda _: Listing())
+    monkeypatch.setattr(F.os, "stat", None)
+    given = F.pa.RecordBatch.from_pydict({"absolute_path": [str(tmp_path)], "raw_path": F.pa.array([None], F.pa.binary())})
+    seen = []
+    for page in F._list([given], True):
+        seen.append((page.num_rows, len(read)))
+        assert page.column("size").null_count == page.num_rows
+    assert seen == [(10, 10), (10, 20), (10, 30), (5, 35)]
+
+
+def test_files_of_one_directory_are_looked_at_by_many_tasks(spark, tmp_path, caplog):
+    for i in range(300):
+        (tmp_path / f"f{i}").write_bytes(b"x" * i)
+    (tmp_path / "gone").symlink_to(tmp_path / "nowhere")
+    (tmp_path / "linked").symlink_to(tmp_path / "f7")
+    (tmp_path / "d").mkdir()
+    (tmp_path / "round").symlink_to(tmp_path / "d")
+    listed = list_files(spark, str(tmp_path), str(tmp_path))
+    got = {r["path"]: r["size"] for r in listed.collect()}
+    assert got == {f"f{i}": i for i in range(300)} | {"linked": 7}
+    assert len({f for f in listed.inputFiles()}) >= spark.sparkContext.defaultParallelism
+
+
+def test_base_outside_the_source(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x").write_bytes(b"1")
+    for base in (str(tmp_path / "b"), str(tmp_path / "a" / "deeper"), str(tmp_path) + "/a-"):
+        [row] = list_files(spark, str(tmp_path / "a"), base).collect()
+        assert row["path"] == f"{tmp_path}/a/x"
