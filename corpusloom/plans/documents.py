@@ -42,6 +42,8 @@ JSON_END = "\n  ]\n}"
 
 # Bytes of a part, and the largest document that is put into one cell.
 CELL_BYTES = 16 << 20
+# Bytes of cells that begin in one step, which are joined at once.
+_JOINED = 2 << 20
 _HEAD, _TREE, _TREE_END, _FILE, _END = range(5)
 
 
@@ -299,7 +301,8 @@ def document_totals(corpus: DataFrame, *, by: str | None = None, **options) -> D
 def _cut(batches: Iterable[pa.RecordBatch], by: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Join consecutive pieces of one document into cells of about ``limit`` bytes.
 
-    A batch's pieces are cut where the document changes or a further ``limit`` is full.
+    A batch's pieces are cut where the document changes or a further ``limit`` is full. Cells are
+    joined and handed on some megabytes at a time, so that a batch is never held twice.
     """
     for batch in batches:
         names, texts = batch.column(0), batch.column(1)
@@ -314,8 +317,14 @@ def _cut(batches: Iterable[pa.RecordBatch], by: str, limit: int) -> Iterator[pa.
         full = (begins - begins[np.flatnonzero(fresh)][run]) // limit
         fresh[1:] |= full[1:] != full[:-1]
         bounds = np.append(np.flatnonzero(fresh), len(names))
-        cells = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), texts), "")
-        yield pa.RecordBatch.from_arrays([names.take(pa.array(bounds[:-1])), cells], [by, "document"])
+        steps = begins[bounds[:-1]] // _JOINED
+        turns = [0, *(np.flatnonzero(np.diff(steps)) + 1), len(steps)]
+        for a, b in zip(turns, turns[1:]):
+            first, own = bounds[a], pa.array(bounds[a : b + 1] - bounds[a], pa.int32())
+            cells = pc.binary_join(pa.ListArray.from_arrays(own, texts.slice(first, bounds[b] - first)), "")
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(bounds[a:b])), cells], [by, "document"])
+            del cells
+        pa.default_memory_pool().release_unused()
 
 
 def _pieces_in_order(corpus: DataFrame, by: str, options: dict) -> DataFrame:

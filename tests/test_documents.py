@@ -1,10 +1,12 @@
 import json
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators.rules import REDACTED, Rule
+from corpusloom.plans import documents
 from corpusloom.plans.documents import (
     assemble,
     document_totals,
@@ -265,3 +267,21 @@ def test_rules_run_after_the_sort(corpus_of):
     plan = pieces(corpus_of(FILES))._jdf.queryExecution().executedPlan().toString()
     assert plan.index("ArrowEvalPython") < plan.index("rangepartitioning")
     assert "ArrowEvalPython" not in plan[plan.index("rangepartitioning") :]
+
+
+def test_cells_are_joined_a_few_at_a_time(monkeypatch):
+    """The cells of a batch come in several steps, and are those that one step gave."""
+    names = pa.array([n for n in "aaabbc" for _ in range(20)])
+    texts = pa.array([str(i) * (i % 7) for i in range(len(names))])
+    batch = pa.RecordBatch.from_arrays([names, texts], ["by", "piece"])
+
+    def cells(step):
+        monkeypatch.setattr(documents, "_JOINED", step)
+        found = [*documents._cut([batch, batch.slice(3, 50)], "by", 60)]
+        return len(found), [tuple(r.values()) for b in found for r in b.to_pylist()]
+
+    steps, whole = cells(1 << 20)
+    assert steps == 2 and all(len(text) < 60 + 18 for _, text in whole)
+    many, parts = cells(100)
+    assert many > 4 and parts == whole
+    assert "".join(t for _, t in parts) == "".join(texts.to_pylist() + texts.slice(3, 50).to_pylist())
