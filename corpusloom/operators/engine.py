@@ -4,12 +4,14 @@ Arrow's compute functions search and replace; Python sees columns, not texts. Wh
 be told apart, they are marked: replaced by themselves between two characters that no text of the
 batch holds. Positions of all marks of a batch are then read off its one buffer of bytes at once:
 which text a mark lies in, which line and which character, are binary searches in sorted offsets.
-Batches are worked on in slices of a few megabytes, which bounds the offsets.
+Batches are worked on in slices of a few megabytes, each handed back as it is done: that bounds the
+offsets, and a worker holds one slice's copies of its texts, not a whole batch's.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import Tuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ MATCH = pa.struct(
 LINE = pa.struct([("start", pa.int64()), ("len", pa.int64()), ("line", pa.string())])
 #: Characters of private use that can be marks, four bytes each; bytes of text worked on at once.
 _PRIVATE = np.concatenate([np.arange(0xF0000, 0xFFFFE), np.arange(0x100000, 0x10FFFE)])
-_SLICE = 8 << 20
+_SLICE = 2 << 20
 
 
 def compiles(pattern: str) -> str | None:
@@ -105,20 +107,26 @@ class _AllTaken(ValueError):
     pass
 
 
-def sliced(paths: pa.Array, texts: pa.Array, work: Callable) -> pa.Array:
-    """``work(paths, texts)`` over slices of some megabytes; one whose marks are all taken is halved."""
+def slices(paths: pa.Array, texts: pa.Array, work: Callable) -> Iterator[pa.Array]:
+    """``work(paths, texts)`` of slices of some megabytes, in order; one whose marks are all taken is halved."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     cuts = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // _SLICE)) + 1
-    todo, done = [*zip([0, *cuts], [*cuts, len(texts)], strict=True)][::-1], []
+    todo = [*zip([0, *cuts], [*cuts, len(texts)], strict=True)][::-1]
     while todo:
         a, b = todo.pop()
         try:
-            done.append(work(paths.slice(a, b - a), texts.slice(a, b - a)))
+            done = work(paths.slice(a, b - a), texts.slice(a, b - a))
         except _AllTaken:
             if b - a < 2:
                 raise
             todo += [((a + b) // 2, b), (a, (a + b) // 2)]
-    return pa.concat_arrays(done)
+        else:
+            yield done
+
+
+def sliced(paths: pa.Array, texts: pa.Array, work: Callable) -> pa.Array:
+    """All of :func:`slices` in one."""
+    return pa.concat_arrays([*slices(paths, texts, work)])
 
 
 def listed(rows: list[np.ndarray], parts: list[pa.StructArray], kind: pa.DataType, n: int) -> pa.Array:
@@ -155,10 +163,7 @@ def rewriting(steps: list, counts: bool):
         fresh = pc.replace_with_mask(pa.nulls(len(texts), texts.type), changed, batch.texts.filter(changed))
         return pa.StructArray.from_arrays([fresh, listed(found, items, COUNT, len(texts))], ["content", "rule_counts"])
 
-    def run(paths: pa.Array, texts: pa.Array) -> pa.Array:
-        return sliced(paths, texts, work)
-
-    return _udf(run, "content string, rule_counts array<struct<rule_id: int, type: string, matches: bigint>>")
+    return _udf(work, "content string, rule_counts array<struct<rule_id: int, type: string, matches: bigint>>")
 
 
 def placed(before: pa.Array, marked: pa.Array, opening: str, closing: str) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
@@ -209,10 +214,7 @@ def finding(steps: list, safe: bool):
             batch.replace(rows, step)
         return pa.StructArray.from_arrays([listed(found, items, MATCH, len(texts))], ["matches"])
 
-    def run(paths: pa.Array, texts: pa.Array) -> pa.Array:
-        return sliced(paths, texts, work)
-
-    return _udf(run, f"matches array<struct<{MATCH_FIELDS.replace(' ', ': ')}>>".replace(",: ", ", "))
+    return _udf(work, f"matches array<struct<{MATCH_FIELDS.replace(' ', ': ')}>>".replace(",: ", ", "))
 
 
 def lines_of(texts: pa.Array) -> pa.Array:
@@ -234,11 +236,21 @@ def lines_of(texts: pa.Array) -> pa.Array:
 def lining():
     """A function of text: its lines."""
 
-    def run(texts: pa.Array) -> pa.Array:
+    def work(_, texts: pa.Array) -> pa.Array:
         return pa.StructArray.from_arrays([lines_of(texts)], ["lines"])
 
-    return _udf(run, "lines array<struct<start: bigint, len: bigint, line: string>>")
+    return _udf(work, "lines array<struct<start: bigint, len: bigint, line: string>>", of_text=True)
+
+
+def _udf(work: Callable, kind: str, of_text: bool = False):
+    """``work`` as a function of path and text (or of text alone), slice by slice."""
+
+    def run(batches: Iterator[Tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for paths, texts in batches:
+            yield from slices(paths, texts, work)
+            pa.default_memory_pool().release_unused()
 
+    def run_text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return run((texts, texts) for texts in batches)
 
-def _udf(run: Callable, kind: str):
-    return F.arrow_udf(run, returnType=f"struct<{kind}>")
+    return F.arrow_udf(run_text if of_text else run, returnType=f"struct<{kind}>")

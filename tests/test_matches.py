@@ -190,3 +190,22 @@ def test_a_text_with_every_mark_is_refused():
         engine.sliced(texts, texts, lambda p, t: pa.array([engine.marks(engine.raw_of(t)[0])[0]] * len(t)))
     some = engine.sliced(texts.slice(0, 1), texts.slice(0, 1), lambda p, t: pa.array([engine.marks(engine.raw_of(t)[0])[0]]))
     assert some.to_pylist() == [chr(engine._PRIVATE[0])]
+
+
+def test_slices_are_handed_back_one_by_one(monkeypatch):
+    """A worker lets go of a slice before it works on the next: no batch is put together again."""
+    monkeypatch.setattr(engine, "_SLICE", 64)
+    monkeypatch.setattr(engine.F, "arrow_udf", lambda run, returnType: run)
+    seen = []
+
+    def work(paths, texts):
+        seen.append(len(texts))
+        return pa.array(texts.to_pylist(), pa.string())
+
+    texts = pa.array(["x" * 40, None, "y" * 40, "", "z" * 200, "w"])
+    for run, batch in ((engine._udf(work, ""), (texts, texts)), (engine._udf(work, "", of_text=True), texts)):
+        seen.clear()
+        out = run(iter([batch, batch]))
+        first = next(out)
+        assert len(seen) == 1 and len(first) == seen[0] < len(texts)
+        assert first.to_pylist() + [t for part in out for t in part.to_pylist()] == 2 * texts.to_pylist()
