@@ -423,12 +423,18 @@ def document_totals(spark, sf_dir):
 
 
 def _written_lines(spark, folder, sep="\n"):
-    """Lines of a written document with their places."""
-    held = spark.read.option("lineSep", sep).text(folder).select("value", F.col("_metadata.file_path").alias("file"),
+    """Lines of a written document with their places.
+
+    What is moved to be numbered is what a digest is made of: short lines, and the digests of longer ones.
+    """
+    long, line = F.octet_length("value") > 32, F.col("value").cast("binary")
+    held = spark.read.option("lineSep", sep).text(folder).select(F.when(~long, line).alias("short"),
+                                          F.when(long, F.unhex(F.md5(line))).alias("long"),
+                                          F.col("_metadata.file_name").alias("file"),
                                           F.col("_metadata.file_block_start").alias("block"),
                                           F.monotonically_increasing_id().alias("at"))
     lines = order.in_order(held, ["file", "block", "at"])
-    return lines.select("position", F.md5(F.col("value").cast("binary")).alias("digest"))
+    return lines.select("position", F.coalesce(F.lower(F.hex("long")), F.md5("short")).alias("digest"))
 
 
 def document_sink(spark, sf_dir):
