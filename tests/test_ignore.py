@@ -181,3 +181,13 @@ def test_no_rules_are_copied_next_to_directories(spark):
     plan = ignored_files(files, rules_of(spark, [("", "gitignore", "x\n*.y\nz?")]))._jdf.queryExecution().optimizedPlan().toString()
     for line in plan.splitlines():
         assert "collect_list" not in line and ("collect_set" not in line or "regex" not in line)
+
+
+def test_matches_are_dealt_out_before_they_are_gathered(spark):
+    """No task gathers the files of its own split: what it would hold grows with the split."""
+    files = spark.createDataFrame([("a/x.txt",), ("a/x.txt",), ("b/y.txt",)], "path string")
+    done = ignored_files(files, rules_of(spark, [("", "gitignore", "*.txt\n!y.txt")]))
+    text = done._jdf.queryExecution().executedPlan().toString()
+    gathered = text[text.index("count_if") if "count_if" in text else text.index("max_by("):]
+    assert "REPARTITION_BY_COL" in gathered
+    assert sorted((r.path, r.ignored) for r in done.collect()) == [("a/x.txt", True), ("a/x.txt", True), ("b/y.txt", False)]
