@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shipping import ship
-from .shared import identified, keep, texts_of, worker_state
+from .shared import identified, keep, sliced, texts_of, worker_state
 
 ship(__name__)
 
@@ -129,7 +129,7 @@ def fit(rows: DataFrame, rows_per_language: int) -> Model:
 
     def profiles(batches_):
         sums: dict[str, np.ndarray] = {}
-        for batch in batches_:
+        for batch in sliced(batches_, "text"):
             for lang, text in zip(batch.column("lang").to_pylist(), texts_of(batch, "text"), strict=True):
                 if has_letter(text):
                     sums[lang] = sums.get(lang, 0) + grams(text)
@@ -149,7 +149,7 @@ def fit(rows: DataFrame, rows_per_language: int) -> Model:
     place = {x: i for i, x in enumerate(model.languages)}
 
     def right(batches_):
-        for batch in batches_:
+        for batch in sliced(batches_, "text"):
             langs, texts = batch.column("lang").to_pylist(), texts_of(batch, "text")
             rows_ = [(x, (model.margins(t) * model.code[place[x]] > 0).tolist()) for x, t in zip(langs, texts, strict=True) if x in place and has_letter(t)]
             if rows_:
@@ -194,9 +194,8 @@ def identify_languages(
 
     def run(batches_):
         own = model()
-        for batch in batches_:
-            out = [own.predict(t) for t in texts_of(batch, "text")]
-            columns = list(zip(*out, strict=True)) if out else [[], [], []]
+        for batch in sliced(batches_, "text"):
+            columns = list(zip(*(own.predict(t) for t in texts_of(batch, "text")), strict=True))
             kinds = (pa.string(), pa.float64(), pa.bool_())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))],
@@ -223,7 +222,7 @@ def with_language(
 
     def run(batches_):
         own = model()
-        for batch in batches_:
+        for batch in sliced(batches_, text_col):
             told = [own.predict(t) for t in texts_of(batch, text_col)]
             yield batch.filter(pa.array([lang != UNKNOWN and not near for lang, _, near in told], pa.bool_()))
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shipping import ship
-from .shared import identified, keep, texts_of
+from .shared import SLICE, identified, keep, sliced, texts_of
 from .words import mix, run_hashes, word_hashes
 
 ship(__name__)
@@ -71,7 +71,7 @@ def sketched(docs: DataFrame, k: int, similarity: float) -> DataFrame:
     item = pa.struct([("c", pa.int32()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches_):
-        for batch in batches_:
+        for batch in sliced(batches_, "text"):
             n, s1, s2, found = [], [], [], []
             for text in texts_of(batch, "text"):
                 items = shingles(text, k)
@@ -133,9 +133,13 @@ def union(sets: list[np.ndarray], percent: int, probes: list[int]) -> list[int]:
         return i
 
     size = np.array([len(s) for s in sets])
-    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
     bounds = np.concatenate([[0], np.cumsum(size)])
-    flag = np.zeros(int(ids.max()) + 1, bool)
+    distinct = np.unique(np.concatenate(sets))
+    ids = np.empty(bounds[-1], np.int32 if len(distinct) < 1 << 31 else np.int64)
+    for s, a, b in zip(sets, bounds[:-1], bounds[1:], strict=True):
+        ids[a:b] = np.searchsorted(distinct, s)
+    flag = np.zeros(len(distinct), bool)
+    del distinct
     for i in [0, *(p for p in probes if p)]:
         if i and find(i) == find(0):
             continue
@@ -149,25 +153,31 @@ def union(sets: list[np.ndarray], percent: int, probes: list[int]) -> list[int]:
     return [find(i) for i in range(len(sets))]
 
 
+def placed(batches_, keys: list[str], k: int):
+    """The full set of each document of ``doc_id, text, places`` once for each place, in batches of about ``SLICE`` bytes."""
+    for batch in sliced(batches_, "text"):
+        texts, listed = texts_of(batch, "text"), batch.column("places")
+        index = np.repeat(np.arange(len(texts)), np.diff(listed.offsets.to_numpy()))
+        sets = [shingles(t, k).tobytes() for t in texts]
+        items, flat = pa.array(sets, pa.binary()), listed.flatten()
+        held = np.cumsum(np.array([len(s) for s in sets], np.int64)[index])
+        at = 0
+        while at < len(index):
+            end = max(at + 1, int(np.searchsorted(held, (held[at - 1] if at else 0) + SLICE, "right")))
+            part, own = flat.slice(at, end - at), pa.array(index[at:end])
+            yield pa.RecordBatch.from_arrays(
+                [*(part.field(key) for key in keys), batch.column("doc_id").take(own), items.take(own)],
+                [*keys, "rep", "items"],
+            )
+            at = end
+
+
 def set_rows(docs: DataFrame, places: DataFrame, keys: list[str], k: int) -> DataFrame:
     """The full shingle set of each rep for each of its places: ``*keys, rep, items``."""
     kinds = {f.name: f.dataType.simpleString() for f in places.schema}
     where = places.groupBy("rep").agg(F.collect_list(F.struct(*keys)).alias("places"))
     rows = docs.join(where.withColumnRenamed("rep", "doc_id"), "doc_id").select("doc_id", "text", "places")
-
-    def run(batches_):
-        for batch in batches_:
-            texts, listed = texts_of(batch, "text"), batch.column("places")
-            counts = np.diff(listed.offsets.to_numpy())
-            index = pa.array(np.repeat(np.arange(len(texts)), counts))
-            items = pa.array([shingles(t, k).tobytes() for t in texts], pa.binary())
-            flat = listed.flatten()
-            yield pa.RecordBatch.from_arrays(
-                [*(flat.field(key) for key in keys), batch.column("doc_id").take(index), items.take(index)],
-                [*keys, "rep", "items"],
-            )
-
-    return rows.mapInArrow(run, ", ".join(f"{key} {kinds[key]}" for key in [*keys, "rep"]) + ", items binary")
+    return rows.mapInArrow(lambda batches_: placed(batches_, keys, k), ", ".join(f"{key} {kinds[key]}" for key in [*keys, "rep"]) + ", items binary")
 
 
 def linked(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
@@ -176,7 +186,7 @@ def linked(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("lead", "descending"), ("rep", "ascending")])
-        sets = [np.frombuffer(x, np.uint64) for x in table["items"].to_pylist()]
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["items"]]
         probes = np.flatnonzero(table["probe"].to_numpy(zero_copy_only=False)).tolist()
         roots = union(sets, percent, probes)
         return pa.table(

@@ -18,6 +18,8 @@ ship(__name__)
 
 #: A word of the contracts: a run without ASCII white space, as a Java, RE2 or Python pattern.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes that a task copies out of a batch, or puts into one, at once.
+SLICE = 1 << 20
 
 
 def keep(df: DataFrame) -> DataFrame:
@@ -77,3 +79,10 @@ def slices(column: pa.Array, limit: int):
         filled += n + 1
     if at < len(sizes):
         yield at, len(sizes)
+
+
+def sliced(batches_, column: str, limit: int = SLICE):
+    """The batches in slices of about ``limit`` bytes of text, so that only these are copied and worked on at once."""
+    for batch in batches_:
+        for a, b in slices(batch.column(column).cast(pa.binary()), limit):
+            yield batch.slice(a, b - a)

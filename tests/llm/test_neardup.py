@@ -1,9 +1,12 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import types as T
 from support import prose, words_of
 
-from corpusloom.llm import neardup
+from corpusloom.llm import language, neardup
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -112,3 +115,45 @@ def test_components(spark):
 def test_empty_table(docs_of):
     assert neardup.near_duplicates(docs_of([])).count() == 0
     assert neardup.one_of_each(docs_of([])).count() == 0
+
+
+def peak_of(run):
+    """Most bytes that Python and numpy held in it, beside what was there before."""
+    tracemalloc.start()
+    try:
+        list(map(type, run()))
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+class Local:
+    """Takes a function for Arrow batches and runs it here over one batch."""
+
+    def __init__(self, batch, schema):
+        self.batch, self.schema = batch, T._parse_datatype_string(schema)
+
+    def mapInArrow(self, run, _):  # noqa: N802
+        return run(iter([self.batch]))
+
+
+def test_a_task_copies_little_of_a_batch(monkeypatch, spark):
+    text = prose(8, 1200)
+    n = (24 << 20) // len(text)
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(n), "text": [text] * n})
+    df = Local(batch, "doc_id long, text string")
+    assert peak_of(lambda: neardup.sketched(df, 5, 0.8)) < 12 << 20
+    model = language.Model(["en"], np.ones((1, 1)), np.ones((language.BUCKETS, 1)), np.ones((1, 1)))
+    monkeypatch.setattr(language, "learned", lambda *_: lambda: model)
+    assert peak_of(lambda: language.with_language(df)) < 12 << 20
+
+
+def test_sets_of_many_places_are_handed_on_bit_by_bit():
+    text = " ".join(f"w{i}" for i in range(20_000))
+    places = [[{"c": i, "label": 7 * i} for i in range(m)] for m in (300, 0, 1)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [5, 6, 7], "text": [text, "a b", "c d e"], "places": places})
+    got = list(neardup.placed(iter([batch.slice(0, 2), batch.slice(2)]), ["c", "label"], 2))
+    assert max(b.column("items").nbytes for b in got) < 2 * neardup.SLICE
+    rows = [r for b in got for r in zip(*(b.column(x).to_pylist() for x in ("rep", "c", "label", "items")), strict=True)]
+    full = neardup.shingles(text.encode(), 2).tobytes()
+    assert rows == [(5, i, 7 * i, full) for i in range(300)] + [(7, 0, 0, neardup.shingles(b"c d e", 2).tobytes())]
