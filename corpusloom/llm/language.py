@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shipping import ship
-from .shared import identified, keep, sliced, texts_of, worker_state
+from .shared import identified, keep, sliced, texts_of, tidy, worker_state
 
 ship(__name__)
 
@@ -33,6 +33,8 @@ SMOOTH, GAIN, STEEP = 1e-6, 4.0, 12.0
 NEAR = 0.1
 PIECE = 1 << 20
 UNKNOWN = "und"
+#: Name of the model among a worker's objects.
+STATE = "language model"
 LETTER = re.compile(rb"[A-Za-z]")
 #: Lower case for A-Z, a blank for other ASCII that is no letter.
 PLAIN = bytes(
@@ -141,7 +143,7 @@ def fit(rows: DataFrame, rows_per_language: int) -> Model:
         return pa.table({"lang": [table["lang"][0].as_py()], "profile": [total.tobytes()]})
 
     shape = "lang string, profile binary"
-    found = sample.mapInArrow(profiles, shape).groupBy("lang").applyInArrow(added, shape).collect()
+    found = sample.mapInArrow(tidy(profiles, STATE), shape).groupBy("lang").applyInArrow(added, shape).collect()
     found.sort(key=lambda r: r["lang"])
     model = learn([r["lang"] for r in found], np.array([np.frombuffer(r["profile"]) for r in found]).reshape(-1, BUCKETS))
     if len(found) < 2:
@@ -155,7 +157,7 @@ def fit(rows: DataFrame, rows_per_language: int) -> Model:
             if rows_:
                 yield pa.RecordBatch.from_pydict({"lang": [x for x, _ in rows_], "hit": [h for _, h in rows_]})
 
-    hits = sample.mapInArrow(right, "lang string, hit array<boolean>").select("lang", F.posexplode("hit").alias("bit", "hit"))
+    hits = sample.mapInArrow(tidy(right, STATE), "lang string, hit array<boolean>").select("lang", F.posexplode("hit").alias("bit", "hit"))
     for r in hits.groupBy("lang", "bit").agg(F.avg(F.col("hit").cast("int")).alias("rate")).collect():
         model.trust[place[r["lang"]], r["bit"]] = max(r["rate"], 1e-3)
     return model
@@ -167,7 +169,7 @@ def learned(df: DataFrame, id_col: str, text_col: str, lang_col: str, rows_per_l
     labelled = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     model = fit(labelled.where(~held_out(F.col("doc_id"))), rows_per_language)
     sent, version = df.sparkSession.sparkContext.broadcast(model.arrays()), uuid.uuid4().hex
-    return lambda: worker_state("language model", lambda: Model(*sent.value), version)
+    return lambda: worker_state(STATE, lambda: Model(*sent.value), version)
 
 
 def identify_languages(
@@ -203,7 +205,7 @@ def identify_languages(
             )
 
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(
-        run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, ambiguous boolean"
+        tidy(run, STATE), f"doc_id {kind}, held_out boolean, lang_pred string, score double, ambiguous boolean"
     )
 
 
@@ -226,4 +228,4 @@ def with_language(
             told = [own.predict(t) for t in texts_of(batch, text_col)]
             yield batch.filter(pa.array([lang != UNKNOWN and not near for lang, _, near in told], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidy(run, STATE), df.schema)

@@ -18,12 +18,13 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shipping import ship
-from .shared import SLICE, identified, keep, sliced, texts_of
-from .words import mix, run_hashes, word_hashes
+from .shared import SLICE, give_back, identified, keep, only_state, sliced, texts_of, tidy
+from .words import STATE, mix, run_hashes, word_hashes
 
 ship(__name__)
 
@@ -96,7 +97,7 @@ def sketched(docs: DataFrame, k: int, similarity: float) -> DataFrame:
             )
 
     return docs.mapInArrow(
-        run, f"doc_id {kind}, n long, s1 long, s2 long, sketches array<struct<c: int, bands: array<bigint>>>"
+        tidy(run, STATE), f"doc_id {kind}, n long, s1 long, s2 long, sketches array<struct<c: int, bands: array<bigint>>>"
     )
 
 
@@ -134,7 +135,9 @@ def union(sets: list[np.ndarray], percent: int, probes: list[int]) -> list[int]:
 
     size = np.array([len(s) for s in sets])
     bounds = np.concatenate([[0], np.cumsum(size)])
-    distinct = np.unique(np.concatenate(sets))
+    distinct = np.concatenate(sets)
+    distinct.sort()
+    distinct = distinct[np.concatenate([[True], distinct[1:] != distinct[:-1]])]
     ids = np.empty(bounds[-1], np.int32 if len(distinct) < 1 << 31 else np.int64)
     for s, a, b in zip(sets, bounds[:-1], bounds[1:], strict=True):
         ids[a:b] = np.searchsorted(distinct, s)
@@ -177,7 +180,8 @@ def set_rows(docs: DataFrame, places: DataFrame, keys: list[str], k: int) -> Dat
     kinds = {f.name: f.dataType.simpleString() for f in places.schema}
     where = places.groupBy("rep").agg(F.collect_list(F.struct(*keys)).alias("places"))
     rows = docs.join(where.withColumnRenamed("rep", "doc_id"), "doc_id").select("doc_id", "text", "places")
-    return rows.mapInArrow(lambda batches_: placed(batches_, keys, k), ", ".join(f"{key} {kinds[key]}" for key in [*keys, "rep"]) + ", items binary")
+    schema = ", ".join(f"{key} {kinds[key]}" for key in [*keys, "rep"]) + ", items binary"
+    return rows.mapInArrow(tidy(lambda batches_: placed(batches_, keys, k), STATE), schema)
 
 
 def linked(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
@@ -185,10 +189,14 @@ def linked(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("lead", "descending"), ("rep", "ascending")])
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["items"]]
+        only_state(STATE)
+        order = pc.sort_indices(table.select(["lead", "rep"]), [("lead", "descending"), ("rep", "ascending")])
+        items, held, table = table["items"], table.nbytes, table.drop_columns(["items"]).take(order)
+        sets = [np.frombuffer(items[i].as_buffer(), np.uint64) for i in order.to_pylist()]
         probes = np.flatnonzero(table["probe"].to_numpy(zero_copy_only=False)).tolist()
         roots = union(sets, percent, probes)
+        if held > 8 * SLICE:
+            give_back()
         return pa.table(
             [
                 *(table[key] for key in keys),
@@ -227,6 +235,7 @@ def drop_unlikely(members: DataFrame, similarity: float) -> DataFrame:
     kind = members.schema["rep"].dataType.simpleString()
 
     def run(table: pa.Table) -> pa.Table:
+        only_state(STATE)
         bands = table["bands"].combine_chunks()
         rows = bands.flatten().to_numpy().view(np.uint16).reshape(len(bands), REGISTERS)
         fit = likely(rows, table["n"].to_numpy(), similarity)

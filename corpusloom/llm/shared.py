@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 
@@ -55,6 +56,37 @@ def worker_state(name: str, make, version: str = ""):
     return getattr(store, name)[1]
 
 
+def only_state(*names: str) -> None:
+    """Let go of what tasks of other operators have left in this Python worker: all of it but ``names``."""
+    store = sys.modules.get("corpusloom_worker_state")
+    others = [x for x in vars(store) if not x.startswith("__") and x not in names] if store else []
+    for other in others:
+        delattr(store, other)
+    if others:
+        give_back()
+
+
+def give_back() -> None:
+    """Hand freed memory to the system; allocators else keep it for this worker's tasks in later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def tidy(run, *names: str):
+    """``run``, a function for Arrow batches, in a worker that holds nothing of other operators and gives back what it frees."""
+
+    def tidied(batches_):
+        only_state(*names)
+        try:
+            yield from run(batches_)
+        finally:
+            give_back()
+
+    return tidied
+
+
 def batches(rows: list[tuple], schema: pa.Schema):
     """Rows (tuples) as one record batch."""
     columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.shipping import ship
-from .shared import identified, shared_folder, slices, worker_state
+from .shared import identified, shared_folder, slices, tidy, worker_state
 
 ship(__name__)
 
@@ -166,7 +166,7 @@ def encode_documents(
                 before += int(ends[-1])
 
     ranged = docs.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id")
-    return ranged.mapInArrow(run, f"doc_id {kind}, n_tokens long, token_offset long, ids array<int>")
+    return ranged.mapInArrow(tidy(run, "words"), f"doc_id {kind}, n_tokens long, token_offset long, ids array<int>")
 
 
 def write_token_files(df: DataFrame, tokenizer: str, end_id: int, path: str, stripe_bytes: int = 64 << 20, **columns) -> str:
@@ -233,7 +233,7 @@ def digests(tokens: DataFrame) -> DataFrame:
             )
 
     return tokens.select("doc_id", "start", "ids").mapInArrow(
-        run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long"
+        tidy(run), f"doc_id {kind}, start long, n_tokens long, ids_crc32 long"
     )
 
 

@@ -17,6 +17,8 @@ ship(__name__)
 PIECE = 1 << 18
 BASE = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
+#: Name of the tables of powers among a worker's objects.
+STATE = "word_powers"
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -27,7 +29,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         blank[[0x20, *range(0x09, 0x0E)]] = True
         return power, inverse, blank
 
-    return worker_state("word_powers", make)
+    return worker_state(STATE, make)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -1,4 +1,5 @@
 import random
+import sys
 import tracemalloc
 
 import numpy as np
@@ -6,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import types as T
 from support import prose, words_of
 
-from corpusloom.llm import language, neardup
+from corpusloom.llm import language, neardup, shared
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -157,3 +158,54 @@ def test_sets_of_many_places_are_handed_on_bit_by_bit():
     rows = [r for b in got for r in zip(*(b.column(x).to_pylist() for x in ("rep", "c", "label", "items")), strict=True)]
     full = neardup.shingles(text.encode(), 2).tobytes()
     assert rows == [(5, i, 7 * i, full) for i in range(300)] + [(7, 0, 0, neardup.shingles(b"c d e", 2).tobytes())]
+
+
+class Grouped(Local):
+    """Takes a function for groups and runs it here over one group."""
+
+    def groupBy(self, *_):  # noqa: N802
+        return self
+
+    def applyInArrow(self, run, _):  # noqa: N802
+        return [run(self.batch)]
+
+
+def group_of(n, size):
+    """A group of n sets of one size that have nine tenths in common, in no order."""
+    pick = np.random.default_rng(7)
+    base = pick.integers(0, 1 << 63, size, dtype=np.uint64)
+    sets = [np.sort(np.concatenate([base[size // 10 :], pick.integers(0, 1 << 63, size // 10, dtype=np.uint64)])) for _ in range(n)]
+    reps = list(range(n))[::-1]
+    items = pa.array([x.tobytes() for x in sets], pa.binary())
+    columns = {"c": [9] * n, "label": [0] * n, "block": [0] * n, "rep": reps, "items": items, "lead": [r == 0 for r in reps], "probe": [True] * n}
+    return Grouped(pa.table(columns), "c int, label long, block int, rep long, items binary, lead boolean, probe boolean")
+
+
+def test_a_group_is_compared_in_little_more_than_its_sets(monkeypatch, spark):
+    group, union, copied = group_of(200, 10_000), neardup.union, []
+    held, before = group.batch["items"].nbytes, pa.total_allocated_bytes()
+    monkeypatch.setattr(neardup, "union", lambda *x: copied.append(pa.total_allocated_bytes() - before) or union(*x))
+    assert peak_of(lambda: neardup.linked(group, ["c", "label", "block"], 80)) < 1.9 * held
+    assert copied[0] < held / 10
+    (got,) = neardup.linked(group, ["c", "label", "block"], 80)
+    assert got["rep"].to_pylist() == list(range(200)) and set(got["root"].to_pylist()) == {0}
+    assert all(got["with_first"].to_pylist())
+
+
+def held_by_worker():
+    return {x for x in vars(sys.modules["corpusloom_worker_state"]) if not x.startswith("__")}
+
+
+def test_tasks_let_go_of_what_other_operators_left(monkeypatch, spark):
+    text = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": [prose(8, 60)] * 2})
+    df, group = Local(text, "doc_id long, text string"), group_of(2, 50)
+    model = language.Model(["en"], np.ones((1, 1)), np.ones((language.BUCKETS, 1)), np.ones((1, 1)))
+    monkeypatch.setattr(language, "learned", lambda *_: lambda: shared.worker_state("language model", lambda: model))
+    for step, own in (
+        (lambda: list(language.with_language(df)), "language model"),
+        (lambda: list(neardup.sketched(df, 5, 0.8)), "word_powers"),
+        (lambda: neardup.linked(group, ["c", "label", "block"], 80), "word_powers"),
+    ):
+        shared.worker_state("words", lambda: [0] * 10)
+        step()
+        assert held_by_worker() <= {own}
