@@ -166,25 +166,25 @@ def write_archives(
     names = ["record_type", "archive", "frame", "offset", "length"]
 
     def run(batches_):
-        archive, frame = None, []  # records of the open frame, with their index rows
+        archive, frame, held = None, [], 0  # records of the open frame, which batches share, and their bytes
 
         def flush():
             if frame:
-                archive.frame(b"".join(r for r, *_ in frame))
+                archive.frame(b"".join(frame))
 
         for batch in batches_:
-            places, held = [], sum(len(r) for r in frame)
+            places = []
             columns = ("page_id", "url", "payload", "size", "sha1", "refers_to", "revisit")
             for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
                 if archive is None:
                     archive = Archive(folder, level)
                     about = b"software: corpusloom\r\nformat: WARC File Format 1.1\r\n"
                     info = {"WARC-Record-ID": f"<urn:uuid:{uuid.uuid4()}>", "WARC-Date": date, "Content-Type": "application/warc-fields"}
-                    frame.append((record("warcinfo", info, about),))
-                    held = len(frame[0][0])
+                    frame.append(record("warcinfo", info, about))
+                    held = len(frame[0])
                 raw = page_record(*row, date)
                 places.append(("revisit" if row[6] else "response", archive.name, len(archive.entries), held, len(raw)))
-                frame.append((raw,))
+                frame.append(raw)
                 held += len(raw)
                 if held >= frame_bytes:
                     flush()
@@ -192,7 +192,6 @@ def write_archives(
                     if archive.size >= archive_bytes:
                         archive.close()
                         archive = None
-            frame = [(b"".join(r for r, in frame),)] if frame else []
             if places:
                 arrays = [pa.array(c, t) for c, t in zip(zip(*places, strict=True), (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64()), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("page_id"), *arrays], ["page_id", *names])

@@ -38,6 +38,23 @@ def test_round_trip(pages):
         assert sorted(repr(tuple(r)) for r in got) == brute()
 
 
+def test_frames_go_on_across_batches(spark, pages, tmp_path):
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    try:
+        for rows in (1, 2, 5):
+            spark.conf.set(batch, rows)
+            for options in ({}, {"frame_bytes": 1, "archive_bytes": 1}, {"frame_bytes": 5000, "archive_bytes": 3000}):
+                got = warc.archive_round_trip(pages.coalesce(1), **options).collect()
+                assert sorted(repr(tuple(r)) for r in got) == brute()
+            index = warc.write_archives(pages.coalesce(1), str(tmp_path / str(rows)), frame_bytes=5000).collect()
+            places = sorted((r["archive"], r["frame"], r["offset"], r["length"]) for r in index)
+            for (archive, frame, offset, length), following in zip(places, places[1:], strict=False):
+                assert (archive, frame) != following[:2] or following[2] == offset + length
+    finally:
+        spark.conf.set(batch, before)
+
+
 def test_archives_are_plain_zstandard_with_a_seek_table(pages, tmp_path):
     index = warc.write_archives(pages, str(tmp_path / "w"), frame_bytes=2000).collect()
     names = {r["archive"] for r in index}
